@@ -18,6 +18,7 @@ so each can be decoded by itself.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -62,62 +63,79 @@ def decode_blocks(index: list[dict], payload: bytes, n_ids: int, block_ids: int)
     return out.reshape(-1).view("<u4")
 
 
+#: A space before other white space or the end.
+LOOSE = re.compile(r" (?:\s|\Z)")
+
+
 class Encoder:
     """Ids of whole texts, by way of the ids of their blank-separated pieces.
 
     A byte-level BPE never merges over the boundary before a single space that
     a character other than white space follows, so the pieces of a text can be
-    encoded apart, and common ones only once in each worker. A text with other
-    white space beside its spaces (double spaces, a tab after a space) is given
-    to the tokenizer whole. The memory of pieces is emptied when it is full.
+    encoded apart, and common ones only once in each worker. New pieces are
+    encoded many at a time; a token that begins with a space begins a piece. A
+    text with other white space beside its spaces is given to the tokenizer
+    whole. The memory of pieces is emptied when it is full.
     """
 
-    FULL = 400_000
+    FULL = 2_000_000
+    SPACE = "\u0120"  # how byte-level BPE writes a space
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size()
+        self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith(self.SPACE) for i in range(size)])
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.ids = np.empty(1 << 20, np.uint32)
-        self.stops = [0]
+        self.stops = np.zeros(1 << 18, np.int64)  # of piece k from stops[k] to stops[k + 1]
 
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, pieces: list[str]) -> None:
-        for found in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False):
-            start, stop = self.stops[-1], self.stops[-1] + len(found.ids)
-            while stop > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.empty(len(self.ids), np.uint32)))
-            self.ids[start:stop] = found.ids
-            self.stops.append(stop)
-        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces))))
+        (ids,) = self.encode([" " + " ".join(pieces)])
+        starts = np.flatnonzero(self.begins[ids])
+        if len(starts) != len(pieces):  # an unusual vocabulary
+            each = self.encode([" " + x for x in pieces])
+            ids, starts = np.concatenate(each), np.cumsum([0, *map(len, each)])[:-1]
+        n, at = len(self.known), int(self.stops[len(self.known)])
+        while at + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.empty(len(self.ids), np.uint32)))
+        while n + len(pieces) + 1 > len(self.stops):
+            self.stops = np.concatenate((self.stops, np.zeros(len(self.stops), np.int64)))
+        self.ids[at : at + len(ids)] = ids
+        self.stops[n + 1 : n + 1 + len(pieces)] = at + np.append(starts[1:], len(ids))
+        self.known.update(zip(pieces, range(n, n + len(pieces))))
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > self.FULL:
             self.clear()
-        cut = []
+        heads, pieces, counts = [], [], []
         for text in texts:
-            first, *rest = text.split(" ")
-            plain = all(rest) and not any(map(str.isspace, {x[0] for x in rest}))
-            cut.append([first, *[" " + x for x in rest]] if plain else None)
-        if new := list({x for pieces in cut if pieces for x in pieces if x and x not in self.known}):
-            self.learn(new)
-        stops, out = np.array(self.stops), []
-        for text, pieces in zip(texts, cut):
-            if pieces is None:
-                out.append(self.whole(text))
+            if LOOSE.search(text):
+                heads.append(text)
+                counts.append(0)
                 continue
-            at = np.fromiter((self.known[x] for x in pieces if x), np.int64)
-            sizes = stops[at + 1] - stops[at]
-            n = int(sizes.sum())
-            gather = np.repeat(stops[at] - (np.cumsum(sizes) - sizes), sizes) + np.arange(n) if n else np.empty(0, np.int64)
-            out.append(self.ids[gather])
-        return out
+            cut = text.split(" ")
+            heads.append(cut[0])
+            counts.append(len(cut) - 1)
+            del cut[0]
+            pieces += cut
+        if new := list(set(pieces).difference(self.known)):
+            self.learn(new)
+        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        begin = self.stops[at]
+        sizes = self.stops[at + 1] - begin
+        ends = np.cumsum(sizes)
+        n = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[np.repeat(begin - (ends - sizes), sizes) + np.arange(n)]
+        cuts = np.append(0, ends)[np.cumsum([0, *counts])]
+        return [np.concatenate((head, ids[a:b])) for head, a, b in zip(self.encode(heads), cuts, cuts[1:])]
 
 
 _ENCODERS: dict[str, Encoder] = {}
