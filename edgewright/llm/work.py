@@ -51,6 +51,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of stages that nothing refers to any more."""
+    """Let Spark's cleaner drop the shuffle files of stages that nothing refers to any more.
+
+    The last plan that ran stays referenced until another has run.
+    """
     gc.collect()
+    spark.range(1).write.format("noop").mode("overwrite").save()
     spark.sparkContext._jvm.System.gc()
