@@ -1,0 +1 @@
+"""Causal reasoning over prior-knowledge graphs, as Spark DataFrame plans."""
