@@ -109,11 +109,16 @@ def _column(f, n_df: int):
             out[ok] = f(*(v[ok] for v in values))
         return pd.Series(out).astype("Float64")
 
-    if n_df == 0:
-        return F.pandas_udf(lambda x: run(x), "double", F.PandasUDFType.SCALAR)
-    if n_df == 1:
-        return F.pandas_udf(lambda x, a: run(x, a), "double", F.PandasUDFType.SCALAR)
-    return F.pandas_udf(lambda x, a, b: run(x, a, b), "double", F.PandasUDFType.SCALAR)
+    def one(x: pd.Series) -> pd.Series:
+        return run(x)
+
+    def two(x: pd.Series, a: pd.Series) -> pd.Series:
+        return run(x, a)
+
+    def three(x: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        return run(x, a, b)
+
+    return F.pandas_udf((one, two, three)[n_df], "double")
 
 
 def t_p(t: Column, df: Column) -> Column:
