@@ -65,11 +65,12 @@ def scanned(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> Data
     """
     digests = F.broadcast(known_digests(docs.sparkSession, known))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    whole = rows.select("doc_id", digest(F.col("text")).alias("text_digest"))
-    lines = rows.select("doc_id", digest(F.col("text")).alias("text_digest"), F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.where(F.length("line") > 0).select("doc_id", "text_digest", digest(F.col("line")).alias("digest"))
-    noted = lines.join(digests, "digest").groupBy(F.col("doc_id").alias("d"), F.col("text_digest").alias("t")).agg(F.array_join(F.sort_array(F.collect_set("license")), ",").alias("found"))
-    out = whole.join(noted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_digest") == F.col("t")), "left")
+    # rows that share a doc_id are told apart by their text
+    whole = rows.select("doc_id", F.xxhash64("text").alias("h"), digest(F.col("text")).alias("text_digest"))
+    lines = rows.select("doc_id", F.xxhash64("text").alias("h"), F.explode(F.split("text", "\n")).alias("line"))
+    lines = lines.where(F.length("line") > 0).select("doc_id", "h", digest(F.col("line")).alias("digest"))
+    noted = lines.join(digests, "digest").groupBy(F.col("doc_id").alias("d"), F.col("h").alias("t")).agg(F.array_join(F.sort_array(F.collect_set("license")), ",").alias("found"))
+    out = whole.join(noted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("t")), "left")
     out = out.join(digests, F.col("text_digest") == F.col("digest"), "left")
     return out.select("doc_id", "text_digest", "license", F.coalesce("found", F.lit("")).alias("line_licenses"))
 

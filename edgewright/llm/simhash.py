@@ -124,7 +124,102 @@ def components(docs: DataFrame, words: int = 3, max_distance: int = 3) -> DataFr
     return prints.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
-def one_of_each(docs: DataFrame, words: int = 3, max_distance: int = 3) -> DataFrame:
-    """The rows of ``docs``, unchanged, whose doc_id is the smallest of its component."""
-    labels = components(docs, words, max_distance).where("doc_id <> component_id").select(F.col("doc_id").alias("__copy")).distinct()
-    return docs.join(labels, F.col("doc_id").cast("long") == F.col("__copy"), "left_anti")
+LANES, BANDS, BAND_BYTES = 8, 21, 3
+ODD = (np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+ONES = np.uint64(0x0101010101010101)
+
+
+def gram_hashes(found: list[bytes], words: int, distinct: bool) -> np.ndarray:
+    """XXH64 of the shingles of ``words`` words (the whole sequence if there are fewer)."""
+    joined = b" ".join(found)
+    stops = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
+    starts = np.concatenate(([0], stops[:-1])).tolist()
+    ends = (stops - 1).tolist()[min(words, len(found)) - 1 :]
+    digest = xxhash.xxh64_digest
+    h = np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends)]), ">u8").astype(np.uint64)
+    return np.unique(h) if distinct else h
+
+
+def wide_print(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of LANES * 64 bits: each hash stands for LANES numbers mixed from it. Bits are counted in the bytes of words, 255 rows at a time."""
+    mixed = hashes[:, None] * ODD
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0xD6E8FEB86659FD93)
+    mixed ^= mixed >> np.uint64(29)
+    counts = np.zeros((8, LANES, 8), np.int64)  # bit in byte, lane, byte
+    for at in range(0, len(mixed), 255):
+        part = mixed[at : at + 255]
+        for bit in range(8):
+            sums = ((part >> np.uint64(bit)) & ONES).sum(0, dtype=np.uint64)
+            counts[bit] += sums.view(np.uint8).reshape(LANES, 8)
+    ones = (2 * counts > len(hashes)).astype(np.uint64)
+    shifts = np.arange(8, dtype=np.uint64)[:, None, None] + 8 * np.arange(8, dtype=np.uint64)
+    return (ones << shifts).sum((0, 2), dtype=np.uint64)
+
+
+def sketches(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, the 64-bit fp of 3-word shingles, a wide print of shingles of ``words`` words, and BANDS keys.
+
+    A key is a number and three bytes of a wide print of the distinct word
+    pairs, which edits change least.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, wide, bands = [], [], []
+            for x in b.column(1):
+                found = (x.as_py() or b"").translate(LOWER).split()
+                fps.append(fingerprint(x.as_py()))
+                if found:
+                    wide.append(wide_print(gram_hashes(found, words, True)).view(np.int64).tolist())
+                    raw = np.frombuffer(wide_print(gram_hashes(found, 2, True)).astype("<u8").tobytes(), np.uint8)[: BANDS * BAND_BYTES].reshape(BANDS, BAND_BYTES).astype(np.int64)
+                    bands.append((np.arange(BANDS) << 24 | raw[:, 0] << 16 | raw[:, 1] << 8 | raw[:, 2]).tolist())
+                else:
+                    wide.append([0] * LANES)
+                    bands.append([])
+            types = pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())
+            arrays = [pa.array(np.array(fps, np.uint64).view(np.int64), types[0]), pa.array(wide, types[1]), pa.array(bands, types[2])]
+            yield pa.RecordBatch.from_arrays([b.column(0), *arrays], ["doc_id", "fp", "wide", "bands"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long, wide array<long>, bands array<long>")
+
+
+def similar_links(distinct: DataFrame, similarity: float) -> DataFrame:
+    """``distinct(id, wide, bands)`` -> ``(u, v)`` whose wide prints estimate a Jaccard similarity of ``similarity`` or more.
+
+    Inverted index over three-byte positions of the word-pair print: pairs that
+    share a key (most pairs in reach share several of the 21) are verified by
+    the differing bits of the wide print. With sets, cosine is 2 J / (1 + J),
+    and the expected share of differing bits is its angle over pi; one standard
+    deviation is allowed on top.
+    """
+    angle = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    bits = 64 * LANES
+    limit = int(bits * angle + np.sqrt(bits * angle * (1 - angle)))
+    index = distinct.select("id", *(F.col("wide")[i].alias(f"w{i}") for i in range(LANES)), F.explode("bands").alias("band"))
+    a, b = index.alias("a"), index.alias("b")
+    differ = sum((F.bit_count(F.col(f"a.w{i}").bitwiseXOR(F.col(f"b.w{i}"))) for i in range(LANES)), F.lit(0))
+    near = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id")) & (differ <= limit))
+    return near.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_distance: int = 3) -> DataFrame:
+    """The rows of ``docs``, unchanged, but for near duplicates of a smaller doc_id.
+
+    Two texts are near duplicates if their shingles of ``words`` words have a
+    Jaccard similarity of ``similarity`` or more as estimated by SimHash, or if
+    their 64-bit fingerprints of 3-word shingles differ in ``max_distance``
+    bits or fewer; of each group that such links connect, the smallest doc_id
+    stays. Texts without words are one group. Rows with a null doc_id stay;
+    rows that repeat a doc_id share its fate.
+    """
+    rows = written(sketches(docs, words).where("doc_id IS NOT NULL"), "sketches")
+    distinct = rows.groupBy("fp", "wide").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
+    distinct = written(distinct, "distinct")
+    by_fp = distinct.groupBy("fp").agg(F.min("id").alias("id"))
+    same_fp = distinct.join(by_fp.withColumnRenamed("id", "v"), "fp").where("id <> v").select(F.col("id").alias("u"), "v")
+    edges = links(by_fp, max_distance).unionByName(same_fp).unionByName(similar_links(distinct, similarity))
+    groups = connected_components(edges).withColumnRenamed("component", "kept")
+    labels = distinct.join(groups, "id", "left").select("fp", "wide", F.coalesce("kept", "id").alias("kept"))
+    copies = rows.join(labels, ["fp", "wide"]).where("doc_id <> kept").select(F.col("doc_id").alias("__copy")).distinct()
+    return docs.join(written(copies, "copies"), F.col("doc_id").cast("long") == F.col("__copy"), "left_anti")
