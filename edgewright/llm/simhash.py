@@ -124,7 +124,9 @@ def components(docs: DataFrame, words: int = 3, max_distance: int = 3) -> DataFr
     return prints.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
-LANES, BANDS, BAND_BYTES = 8, 21, 3
+LANES, BANDS = 8, 42
+#: Three byte positions for each band: neighbours first, then positions 21 apart.
+BAND_BYTES = np.array([(3 * i, 3 * i + 1, 3 * i + 2) for i in range(21)] + [(i, i + 21, i + 42) for i in range(21)])
 ODD = (np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 ONES = np.uint64(0x0101010101010101)
 
@@ -172,7 +174,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 fps.append(fingerprint(x.as_py()))
                 if found:
                     wide.append(wide_print(gram_hashes(found, words, True)).view(np.int64).tolist())
-                    raw = np.frombuffer(wide_print(gram_hashes(found, 2, True)).astype("<u8").tobytes(), np.uint8)[: BANDS * BAND_BYTES].reshape(BANDS, BAND_BYTES).astype(np.int64)
+                    raw = np.frombuffer(wide_print(gram_hashes(found, 2, True)).astype("<u8").tobytes(), np.uint8)[BAND_BYTES].astype(np.int64)
                     bands.append((np.arange(BANDS) << 24 | raw[:, 0] << 16 | raw[:, 1] << 8 | raw[:, 2]).tolist())
                 else:
                     wide.append([0] * LANES)
@@ -188,7 +190,7 @@ def similar_links(distinct: DataFrame, similarity: float) -> DataFrame:
     """``distinct(id, wide, bands)`` -> ``(u, v)`` whose wide prints estimate a Jaccard similarity of ``similarity`` or more.
 
     Inverted index over three-byte positions of the word-pair print: pairs that
-    share a key (most pairs in reach share several of the 21) are verified by
+    share a key (most pairs in reach share several of the 42) are verified by
     the differing bits of the wide print. With sets, cosine is 2 J / (1 + J),
     and the expected share of differing bits is its angle over pi; one standard
     deviation is allowed on top.

@@ -63,65 +63,86 @@ def decode_blocks(index: list[dict], payload: bytes, n_ids: int, block_ids: int)
     return out.reshape(-1).view("<u4")
 
 
-#: A space before other white space or the end.
-LOOSE = re.compile(r" (?:\s|\Z)")
+#: A space or line end before other white space or the end of the text.
+LOOSE = re.compile(r"[ \n](?:\s|\Z)")
 
 
 class Encoder:
     """Ids of whole texts, by way of the ids of their blank-separated pieces.
 
-    A byte-level BPE never merges over the boundary before a single space that
-    a character other than white space follows, so the pieces of a text can be
-    encoded apart, and common ones only once in each worker. New pieces are
-    encoded many at a time; a token that begins with a space begins a piece. A
-    text with other white space beside its spaces is given to the tokenizer
-    whole. The memory of pieces is emptied when it is full.
+    A byte-level BPE never merges over the boundary before a single space or
+    line end that a character other than white space follows, so the pieces of
+    a text can be encoded apart, and common ones only once in each worker. New
+    pieces are encoded many at a time; a token that begins with a space or line
+    end begins a piece. A text in which other white space or nothing follows a
+    space or line end is given to the tokenizer whole. When the memory
+    is full, pieces met once are forgotten.
     """
 
-    FULL = 2_000_000
-    SPACE = "\u0120"  # how byte-level BPE writes a space
+    FULL = 900_000
+    BEGIN = ("\u0120", "\u010a")  # how byte-level BPE writes a space and a line end
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
-        self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith(self.SPACE) for i in range(size)])
+        self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith(self.BEGIN) for i in range(size)])
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.ids = np.empty(1 << 20, np.uint32)
         self.stops = np.zeros(1 << 18, np.int64)  # of piece k from stops[k] to stops[k + 1]
+        self.again = np.zeros(1 << 18, bool)  # used in a batch after its own
+
+    def trim(self) -> None:
+        """Forget the pieces that were not met again; all of them if that leaves more than half."""
+        names, keep = list(self.known), np.flatnonzero(self.again[: len(self.known)])
+        if 2 * len(keep) > self.FULL:
+            self.clear()
+            return
+        begin, sizes = self.stops[keep], np.diff(self.stops)[keep]
+        ends = np.cumsum(sizes)
+        ids = self.ids[np.repeat(begin - (ends - sizes), sizes) + np.arange(sizes.sum())]
+        self.known = {names[k]: i for i, k in enumerate(keep.tolist())}
+        self.ids[: len(ids)] = ids
+        self.stops[1 : len(keep) + 1] = ends
+        self.again[:] = False
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, pieces: list[str]) -> None:
-        (ids,) = self.encode([" " + " ".join(pieces)])
+        lines = [x for x in pieces if x[0] == "\n"]
+        words = [x for x in pieces if x[0] != "\n"]
+        pieces = words + lines
+        (ids,) = self.encode(["".join([" " * bool(words), " ".join(words), *lines])])
         starts = np.flatnonzero(self.begins[ids])
         if len(starts) != len(pieces):  # an unusual vocabulary
-            each = self.encode([" " + x for x in pieces])
+            each = self.encode([*(" " + x for x in words), *lines])
             ids, starts = np.concatenate(each), np.cumsum([0, *map(len, each)])[:-1]
         n, at = len(self.known), int(self.stops[len(self.known)])
         while at + len(ids) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.empty(len(self.ids), np.uint32)))
         while n + len(pieces) + 1 > len(self.stops):
             self.stops = np.concatenate((self.stops, np.zeros(len(self.stops), np.int64)))
+            self.again = np.concatenate((self.again, np.zeros(len(self.again), bool)))
         self.ids[at : at + len(ids)] = ids
         self.stops[n + 1 : n + 1 + len(pieces)] = at + np.append(starts[1:], len(ids))
         self.known.update(zip(pieces, range(n, n + len(pieces))))
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > self.FULL:
-            self.clear()
+            self.trim()
+        before = len(self.known)
         heads, pieces, counts = [], [], []
         for text in texts:
             if LOOSE.search(text):
                 heads.append(text)
                 counts.append(0)
                 continue
-            cut = text.split(" ")
+            cut = text.replace("\n", " \n").split(" ")
             heads.append(cut[0])
             counts.append(len(cut) - 1)
             del cut[0]
@@ -129,6 +150,7 @@ class Encoder:
         if new := list(set(pieces).difference(self.known)):
             self.learn(new)
         at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        self.again[at[at < before]] = True
         begin = self.stops[at]
         sizes = self.stops[at + 1] - begin
         ends = np.cumsum(sizes)

@@ -254,6 +254,35 @@ def test_components_of_a_long_path(spark):
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 101: 100}
 
 
+def test_simhash_stage_finds_similar_texts(spark):
+    """All pairs of 0.8 or more, but for estimates at the limit; none far below."""
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    texts, edits = [], []
+    for k in range(60):
+        base = list(rng.choice(vocabulary, 400))
+        texts.append(" ".join(base))
+        n = [2, 4, 6, 40][k % 4]
+        for at in rng.choice(400, n, replace=False):
+            base[at] = "changed"
+        texts.append(" ".join(base))
+        edits.append(n)
+    kept = {r.doc_id for r in simhash.one_of_each(docs_of(spark, texts)).collect()}
+    assert {2 * k for k in range(60)} <= kept
+    gone = [2 * k + 1 not in kept for k in range(60)]
+    assert all(g for g, n in zip(gone, edits) if n <= 6) and not any(g for g, n in zip(gone, edits) if n == 40)
+
+
+def test_wide_print_is_a_majority_of_bits():
+    h = np.random.default_rng(9).integers(0, 1 << 63, 700, dtype=np.uint64)
+    mixed = h[:, None] * simhash.ODD
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0xD6E8FEB86659FD93)
+    mixed ^= mixed >> np.uint64(29)
+    want = [sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in mixed[:, lane]) > 700) for lane in range(simhash.LANES)]
+    assert simhash.wide_print(h).tolist() == want
+
+
 def test_simhash_stage_keeps_one_of_each(spark):
     texts = ["one two three four five six", "One two three four five six", None, "", "another text altogether with words"]
     kept = simhash.one_of_each(docs_of(spark, texts))
@@ -437,6 +466,16 @@ def test_tokens_match_the_tokenizer(spark, corpus):
     assert token_store.tokenized(docs_of(spark, []), path).collect() == []
 
 
+def test_encoder_with_a_small_memory(corpus, monkeypatch):
+    monkeypatch.setattr(token_store.Encoder, "FULL", 2000)
+    encoder = token_store.Encoder(queries.tokenizer_path())
+    texts = [t for _, t in corpus]
+    for at in range(0, len(texts), 16):
+        for text, ids in zip(texts[at : at + 16], encoder.batch(texts[at : at + 16])):
+            assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(encoder.known) < 20_000
+
+
 # --- the pipeline
 
 
