@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .work import text_batches
+
 UPPER, DIGITS, SYMBOLS, BLANKS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&|<>", b" \t\n\r\x0b\x0c"
 PUNCTUATION = b".,;:!?'\"()-"
 N_FEATURES = 13
@@ -154,5 +156,6 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFr
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs``, unchanged, whose score reaches ``threshold``."""
+    text_batches(docs.sparkSession)
     score = score_column(train(docs, labels), F.col("text"))
     return docs.where(score >= threshold)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .work import written
+from .work import text_batches, written
 
 SEED = 42
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -215,6 +215,7 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_di
     stays. Texts without words are one group. Rows with a null doc_id stay;
     rows that repeat a doc_id share its fate.
     """
+    text_batches(docs.sparkSession)
     rows = written(sketches(docs, words).where("doc_id IS NOT NULL"), "sketches")
     distinct = rows.groupBy("fp", "wide").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
     distinct = written(distinct, "distinct")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .work import new_path
+from .work import new_path, text_batches
 
 PLANES = 4
 SCHEMA = (
@@ -79,7 +79,7 @@ class Encoder:
     is full, pieces met once are forgotten.
     """
 
-    FULL = 900_000
+    FULL = 2_000_000
     BEGIN = ("\u0120", "\u010a")  # how byte-level BPE writes a space and a line end
 
     def __init__(self, path: str):
@@ -192,8 +192,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, blo
 
         for batch in batches:
             ids_of, texts = batch.column(0).to_pylist(), batch.column(1)
-            for start in range(0, len(ids_of), 64):
-                for doc_id, ids in zip(ids_of[start : start + 64], encode.batch([x or "" for x in texts[start : start + 64].to_pylist()])):
+            for start in range(0, len(ids_of), 256):
+                for doc_id, ids in zip(ids_of[start : start + 256], encode.batch([x or "" for x in texts[start : start + 256].to_pylist()])):
                     doc_ids.append(doc_id)
                     sizes.append(len(ids) + 1)
                     parts += [ids, end]
@@ -211,6 +211,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, blo
             ("n_ids", pa.int64()), ("block_ids", pa.int32()), ("index", pa.list_(entry)), ("payload", pa.binary()),
         ]
     )
+    text_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     dealt = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     dealt.mapInArrow(run, SCHEMA).write.option("compression", "none").parquet(path)

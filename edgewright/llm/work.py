@@ -58,3 +58,10 @@ def release(spark: SparkSession) -> None:
     gc.collect()
     spark.range(1).write.format("noop").mode("overwrite").save()
     spark.sparkContext._jvm.System.gc()
+
+
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python in batches of ``rows`` unless the session asks for another number than Spark's default: a batch of 10,000 texts takes tens of MB several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(rows))
