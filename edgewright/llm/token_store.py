@@ -79,12 +79,13 @@ class Encoder:
     is full, pieces met once are forgotten.
     """
 
-    FULL = 2_000_000
+    FULL = 2_000_000  # pieces, of about 200 bytes each
     BEGIN = ("\u0120", "\u010a")  # how byte-level BPE writes a space and a line end
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, full: int | None = None):
         from tokenizers import Tokenizer
 
+        self.full = full or self.FULL
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith(self.BEGIN) for i in range(size)])
@@ -99,7 +100,7 @@ class Encoder:
     def trim(self) -> None:
         """Forget the pieces that were not met again; all of them if that leaves more than half."""
         names, keep = list(self.known), np.flatnonzero(self.again[: len(self.known)])
-        if 2 * len(keep) > self.FULL:
+        if 2 * len(keep) > self.full:
             self.clear()
             return
         begin, sizes = self.stops[keep], np.diff(self.stops)[keep]
@@ -133,7 +134,7 @@ class Encoder:
         self.known.update(zip(pieces, range(n, n + len(pieces))))
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > self.FULL:
+        if len(self.known) > self.full:
             self.trim()
         before = len(self.known)
         heads, pieces, counts = [], [], []
@@ -160,27 +161,30 @@ class Encoder:
         return [np.concatenate((head, ids[a:b])) for head, a, b in zip(self.encode(heads), cuts, cuts[1:])]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int | None], Encoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def _encoder(path: str, pieces: int | None) -> Encoder:
+    """The worker's encoder; it holds one at a time."""
+    if (path, pieces) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, pieces] = Encoder(path, pieces)
+    return _ENCODERS[path, pieces]
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, block_ids: int = 1 << 16, record_ids: int = 1 << 20) -> None:
+def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, block_ids: int = 1 << 16, record_ids: int = 1 << 20, pieces: int | None = None) -> None:
     """Encode ``docs(doc_id, text)`` and write the store at ``path``.
 
     Texts are dealt into ranges of doc_id and sorted within each; every text,
     also an empty or null one, ends with ``end_id``. Rows with equal doc_id
     keep one order (by text); a null doc_id comes first. ``tokenizer`` is the
-    path of a tokenizer file that every executor has. An empty table gives a
+    path of a tokenizer file that every executor has, ``pieces`` how many pieces
+    of texts a worker remembers. An empty table gives a
     store without records.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard, record = _encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encode, shard, record = _encoder(tokenizer, pieces), TaskContext.get().partitionId(), 0
         doc_ids, sizes, parts, held = [], [], [], 0
         end = np.array([end_id], np.uint32)
 
@@ -242,8 +246,8 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return decoded.join(begin, ["shard", "record"]).select("doc_id", (F.col("start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 2, pieces: int | None = None) -> DataFrame:
     """Write a store for ``docs`` in the shared folder and return what reading it back gives."""
     path = new_path(docs.sparkSession, "tokens")
-    write_store(docs, path, tokenizer, end_id)
+    write_store(docs, path, tokenizer, end_id, pieces=pieces)
     return read_store(docs.sparkSession, path)
