@@ -186,23 +186,50 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long, wide array<long>, bands array<long>")
 
 
-def similar_links(distinct: DataFrame, similarity: float) -> DataFrame:
-    """``distinct(id, wide, bands)`` -> ``(u, v)`` whose wide prints estimate a Jaccard similarity of ``similarity`` or more.
-
-    Inverted index over three-byte positions of the word-pair print: pairs that
-    share a key (most pairs in reach share several of the 42) are verified by
-    the differing bits of the wide print. With sets, cosine is 2 J / (1 + J),
-    and the expected share of differing bits is its angle over pi; one standard
-    deviation is allowed on top.
+def near_limit(similarity: float) -> int:
+    """Differing bits of wide prints up to which a pair counts as ``similarity`` alike.
+
+    With sets, cosine is 2 J / (1 + J), and the expected share of differing
+    bits is its angle over pi; one standard deviation is allowed on top.
     """
     angle = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     bits = 64 * LANES
-    limit = int(bits * angle + np.sqrt(bits * angle * (1 - angle)))
-    index = distinct.select("id", *(F.col("wide")[i].alias(f"w{i}") for i in range(LANES)), F.explode("bands").alias("band"))
-    a, b = index.alias("a"), index.alias("b")
-    differ = sum((F.bit_count(F.col(f"a.w{i}").bitwiseXOR(F.col(f"b.w{i}"))) for i in range(LANES)), F.lit(0))
-    near = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id")) & (differ <= limit))
-    return near.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
+    return int(bits * angle + np.sqrt(bits * angle * (1 - angle)))
+
+
+def _differing(a: str, b: str) -> Column:
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(LANES)), F.lit(0))
+
+
+def similar_components(variants: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """``variants(vid, node, wide, bands)`` and ``links(u, v)`` of nodes -> ``(node, component)``.
+
+    Nodes are joined by ``links``, and by pairs of variants that share a band
+    (three byte positions of the word-pair print; most pairs in reach share
+    several of the 42) and whose wide prints differ in ``near_limit`` bits or
+    fewer. The components are those of all such pairs, but most pairs need no
+    look: first each variant is held against the smallest and the largest of
+    its bands, which is linear in the variants and joins groups of near copies
+    whole; then pairs of a band count only where their components still differ.
+    """
+    limit = near_limit(similarity)
+    index = variants.select("vid", "node", F.explode("bands").alias("band"))
+    ends = index.groupBy("band").agg(F.min("vid").alias("low"), F.max("vid").alias("high")).where("low < high")
+    index = written(index.join(ends, "band"), "bands")
+    prints = variants.select("vid", "node", "wide")
+    pivots = index.select("vid", F.explode(F.array("low", "high")).alias("pivot")).where("vid <> pivot").distinct()
+    other = prints.select(F.col("vid").alias("pivot"), F.col("node").alias("v"), F.col("wide").alias("theirs"))
+    star = pivots.join(prints, "vid").join(other, "pivot").where(_differing("wide", "theirs") <= limit).select(F.col("node").alias("u"), "v")
+    joined = connected_components(links.select("u", "v").unionByName(star)).withColumnRenamed("id", "node")
+    placed = index.select("vid", "node", "band").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = written(placed, "placed")
+    mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
+    rest = written(placed.join(mixed, "band", "left_semi").join(prints.select("vid", "wide"), "vid").select("band", "component", "wide"), "mixed")
+    left, right = rest.select("band", F.col("component").alias("u"), F.col("wide").alias("mine")), rest.select("band", F.col("component").alias("v"), F.col("wide").alias("theirs"))
+    near = left.join(right, (left.band == right.band) & (F.col("u") > F.col("v")) & (_differing("mine", "theirs") <= limit)).select("u", "v")
+    further = connected_components(near).select(F.col("id").alias("component"), F.col("component").alias("whole"))
+    nodes = variants.select("node").distinct().join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return nodes.join(further, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_distance: int = 3) -> DataFrame:
@@ -217,12 +244,10 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_di
     """
     text_batches(docs.sparkSession)
     rows = written(sketches(docs, words).where("doc_id IS NOT NULL"), "sketches")
-    distinct = rows.groupBy("fp", "wide").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
-    distinct = written(distinct, "distinct")
-    by_fp = distinct.groupBy("fp").agg(F.min("id").alias("id"))
-    same_fp = distinct.join(by_fp.withColumnRenamed("id", "v"), "fp").where("id <> v").select(F.col("id").alias("u"), "v")
-    edges = links(by_fp, max_distance).unionByName(same_fp).unionByName(similar_links(distinct, similarity))
-    groups = connected_components(edges).withColumnRenamed("component", "kept")
-    labels = distinct.join(groups, "id", "left").select("fp", "wide", F.coalesce("kept", "id").alias("kept"))
-    copies = rows.join(labels, ["fp", "wide"]).where("doc_id <> kept").select(F.col("doc_id").alias("__copy")).distinct()
+    by_fp = written(rows.groupBy("fp").agg(F.min("doc_id").alias("id")), "fingerprints")
+    variants = rows.groupBy("fp", "wide", "bands").agg(F.min("doc_id").alias("vid")).join(by_fp, "fp")
+    variants = written(variants.select("vid", F.col("id").alias("node"), "wide", "bands"), "variants")
+    groups = similar_components(variants, links(by_fp, max_distance), similarity)
+    kept = by_fp.join(groups, F.col("id") == F.col("node")).select("fp", F.col("component").alias("kept"))
+    copies = rows.select("doc_id", "fp").join(kept, "fp").where("doc_id <> kept").select(F.col("doc_id").alias("__copy")).distinct()
     return docs.join(written(copies, "copies"), F.col("doc_id").cast("long") == F.col("__copy"), "left_anti")

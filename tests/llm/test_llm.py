@@ -273,6 +273,43 @@ def test_simhash_stage_finds_similar_texts(spark):
     assert all(g for g, n in zip(gone, edits) if n <= 6) and not any(g for g, n in zip(gone, edits) if n == 40)
 
 
+@pytest.mark.parametrize("spread", [2, 25, 60])
+def test_similar_components_are_those_of_all_pairs(spark, spread):
+    """Variants around a few centres, from one group of near copies to chains whose ends differ."""
+    rng = np.random.default_rng(spread)
+    rows = []
+    for centre in rng.integers(0, 256, (6, 64), dtype=np.uint8):
+        for _ in range(40):
+            bits = np.unpackbits(centre)
+            bits[rng.choice(512, rng.integers(0, spread + 1), replace=False)] ^= 1
+            raw = np.packbits(bits)
+            wide = raw.view("<i8").tolist()
+            bands = [int(b) << 24 | int(raw[p]) << 16 | int(raw[q]) << 8 | int(raw[r]) for b, (p, q, r) in enumerate(simhash.BAND_BYTES)]
+            rows.append((len(rows) * 7 % 1000 + 1, wide, bands))
+    node = {vid: vid - vid % 3 if i % 5 == 0 else vid for i, (vid, _, _) in enumerate(rows)}
+    given = [(rows[3][0], rows[90][0])]
+    parent = {n: n for n in {*node.values(), *given[0]}}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def union(x, y):
+        x, y = root(x), root(y)
+        parent[max(x, y)] = min(x, y)
+
+    limit = simhash.near_limit(0.8)
+    for i, (x, wx, bx) in enumerate(rows):
+        for y, wy, by in rows[:i]:
+            if set(bx) & set(by) and sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(wx, wy)) <= limit:
+                union(node[x], node[y])
+    union(*given[0])
+    variants = spark.createDataFrame([(v, node[v], w, b) for v, w, b in rows], "vid long, node long, wide array<long>, bands array<long>")
+    got = simhash.similar_components(variants, spark.createDataFrame(given, "u long, v long"), 0.8)
+    assert {r.node: r.component for r in got.collect()} == {n: root(n) for n in node.values()}
+
+
 def test_wide_print_is_a_majority_of_bits():
     h = np.random.default_rng(9).integers(0, 1 << 63, 700, dtype=np.uint64)
     mixed = h[:, None] * simhash.ODD
