@@ -27,6 +27,7 @@ class Analysis:
     pairs: DataFrame | None = None
     significance: DataFrame | None = None
     graph_p: float | None = None
+    reused: bool = False
 
     def result(self, causal: bool = True) -> DataFrame:
         found = search.satisfying(self.pairs, causal)
@@ -113,8 +114,11 @@ def correlation_limits(config: params.Config) -> pairwise.CorrelationLimits:
     return pairwise.CorrelationLimits(get("correlation-value-threshold", 0.0), get("correlation-upper-threshold", 0.0), p, get("minimum-sample-size") or 3)
 
 
-def run(analysis: Analysis) -> Analysis:
-    """Changes, search, false-discovery control and, if asked for, network significance."""
+def run(analysis: Analysis, known: tuple[DataFrame, float] | None = None) -> Analysis:
+    """Changes, search, false-discovery control and, if asked for, network significance.
+
+    ``known`` is a network significance from an earlier run, used in place of new permutations.
+    """
     get, rules = analysis.config.get, analysis.config.rules()
     mode = get("value-transformation", "as-is-single-value")
     if mode == "correlation":
@@ -124,9 +128,13 @@ def run(analysis: Analysis) -> Analysis:
         shown = detectors.presence(analysis.values, analysis.rows) if get("use-missing-proteomic-data-for-test", False) else None
         corr = pairwise.correlate(ends, analysis.rows, analysis.values, limits, shown)
         analysis.pairs = pairwise.correlation_pairs(found, corr).cache()
+        signs_of = lambda e: pairwise.correlate(e, analysis.rows, analysis.values, limits, shown)
         if get("fdr-threshold-for-correlation") is not None:
             limit = fdr.correlation_threshold(analysis.pairs.where("verdict <> 0"), get("fdr-threshold-for-correlation"))
+            signs_of = lambda e: pairwise.correlate(e, analysis.rows, analysis.values, limits, shown).where(F.col("p") <= limit)
             analysis.pairs = analysis.pairs.withColumn("verdict", F.when(F.col("corr_p") <= limit, F.col("verdict")).otherwise(0))
+        if get("calculate-network-significance", False):
+            _with_significance(analysis, known, lambda n, least: significance.correlation_permutation_test(analysis.pairs, signs_of, analysis.rows, n, minimum=least))
         return analysis
     rates = get("fdr-threshold-for-data-significance", {})
     limits = {**get("threshold-for-data-significance", {}), **{t: 1.0 for t in rates}}
@@ -144,14 +152,18 @@ def run(analysis: Analysis) -> Analysis:
         analysis.pairs = search.pairs(analysis.priors, analysis.rows, analysis.changes, rules).cache()
     if get("calculate-network-significance", False):
         signs = analysis.rows.select("row_id", "data_type").join(analysis.changes.select("row_id", "sign"), "row_id")
-        analysis.significance, analysis.graph_p = significance.permutation_test(
-            analysis.pairs, signs, get("permutations-for-significance", 1000), minimum=get("minimum-potential-targets-to-consider-for-downstream-significance", 5), persist=lambda df: df.cache()
-        )
+        _with_significance(analysis, known, lambda n, least: significance.permutation_test(analysis.pairs, signs, n, minimum=least, persist=lambda df: df.cache()))
         if get("use-network-significance-for-causal-reasoning", False):
             _with_network_activity(analysis, rules, get("fdr-threshold-for-network-significance", 0.1))
     return analysis
 
 
+def _with_significance(analysis: Analysis, known: tuple[DataFrame, float] | None, test: Callable[[int, int], tuple[DataFrame, float]]) -> None:
+    get = analysis.config.get
+    analysis.reused = known is not None
+    analysis.significance, analysis.graph_p = known or test(get("permutations-for-significance", 1000), get("minimum-potential-targets-to-consider-for-downstream-significance", 5))
+
+
 def _with_p(changes: DataFrame, both: DataFrame, rows: DataFrame, limits: dict[str, float]) -> DataFrame:
     """Replace value, p and sign of proteomic rows by those of the combined test."""
     from ..functions.scalars import sign_by_p
@@ -192,15 +204,20 @@ def write(analysis: Analysis, out: str) -> None:
     if analysis.changes is not None and by_p:
         sinks.write_tsv(fdr.value_changes(analysis.rows, analysis.changes).orderBy("class", "p", "row_id"), f"{out}/value-changes")
         sinks.write_tsv(search.unknown_effects(analysis.priors, analysis.rows, analysis.changes, analysis.config.rules()).orderBy("site"), f"{out}/unknown-site-effects")
-    if analysis.significance is not None:
-        least = F.least("p_changed", "p_activating", "p_inhibiting")
-        sinks.write_tsv(analysis.significance.withColumn("graph_p", F.lit(analysis.graph_p)).orderBy(F.asc_nulls_last(least), "source"), f"{out}/significance-pvals")
+    if analysis.significance is not None and not analysis.reused:
+        sinks.write_lines(sinks.significance_lines(analysis.significance, analysis.graph_p), f"{out}/significance-pvals")
 
 
 def run_directory(spark: SparkSession, base: str, out: str | None = None) -> Analysis:
-    """One analysis of a directory with parameters.txt."""
-    analysis = run(load(spark, base, params.read_parameters(spark, f"{base}/parameters.txt")))
-    write(analysis, out or f"{base}/output")
+    """One analysis of a directory with parameters.txt.
+
+    A network significance in the output folder is used again; remove it to
+    run new permutations.
+    """
+    out = out or f"{base}/output"
+    loaded = load(spark, base, params.read_parameters(spark, f"{base}/parameters.txt"))
+    analysis = run(loaded, tables.significance(spark, f"{out}/significance-pvals"))
+    write(analysis, out)
     return analysis
 
 

@@ -81,6 +81,25 @@ def series(steps: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges, full.withColumn("colour", F.coalesce("colour", F.lit("255 255 255")))
 
 
+#: First line and column names of significance files, by p column.
+GRAPH_SIZE = "Overall graph size pval = "
+PVALS = {"p_changed": "Downstream crowded pval", "p_activating": "Downstream suggests activation pval", "p_inhibiting": "Downstream suggests inhibition pval", "p": "Downstream size pval"}
+
+
+def significance_lines(found: DataFrame, graph_p: float) -> DataFrame:
+    """``line`` in order: the p of the graph's size, names, then each source, the smallest p first."""
+    columns = [c for c in PVALS if c in found.columns]
+    head = f"{GRAPH_SIZE}{graph_p}\n" + "\t".join(["Gene", *(PVALS[c] for c in columns)])
+    text = F.concat_ws("\t", "source", *(F.coalesce(F.col(c).cast("string"), F.lit("1.0")) for c in columns))
+    rows = found.select(F.lit(1).alias("part"), F.array_min(F.array(*columns)).alias("least"), "source", text.alias("line"))
+    first = found.sparkSession.createDataFrame([(0, None, None, head)], "part int, least double, source string, line string")
+    return first.unionByName(rows).orderBy("part", F.asc_nulls_last("least"), "source").select("line")
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    lines.coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_tsv(df: DataFrame, path: str, single: bool = True) -> None:
     """Tab-separated with a header; ``single`` writes one part, in the frame's order (reports of results, not of corpora)."""
     (df.coalesce(1) if single else df).write.mode("overwrite").option("sep", "\t").option("header", True).option("emptyValue", "").option("nullValue", "").csv(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -171,6 +172,25 @@ def fill_effects(rows: DataFrame, effects: DataFrame, k: int = 0) -> DataFrame:
     return rows.join(filled, "row_id", "left").withColumn("effect", F.coalesce("__e", "effect")).drop("__e").select(*rows.columns)
 
 
+def significance(spark: SparkSession, path: str) -> tuple[DataFrame, float] | None:
+    """A significance file: source with p_changed, p_activating and p_inhibiting (correlation mode: p), and the p of the graph's size. None if there is no such path."""
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    first = lines.where(F.col("value").startswith("Overall graph size pval")).first()
+    names = lines.where(F.col("value").startswith("Gene\t")).first()
+    if first is None or names is None:
+        raise ValueError(f"not a significance file: {path}")
+    columns = ["p"] if names.value.count("\t") == 1 else ["p_changed", "p_activating", "p_inhibiting"]
+    part = F.split("value", "\t")
+    rows = lines.where("value <> ''").where(~F.col("value").isin(first.value, names.value))
+    found = rows.select(part[0].alias("source"), *(F.try_element_at(part, F.lit(i + 2)).try_cast("double").alias(c) for i, c in enumerate(columns)))
+    return found, float(first.value.partition("=")[2])
+
+
 def sif(spark: SparkSession, path: str) -> DataFrame:
     """source, rel_type, target, mediators, sites as text; single names have null type and target."""
     part = lambda i: blank_to_null(F.try_element_at(F.split("value", "\t"), F.lit(i + 1)))

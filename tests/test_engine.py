@@ -1,5 +1,6 @@
 """The causality engine on small hand-computed tables and against SQL."""
 
+import json
 import math
 
 import duckdb
@@ -11,7 +12,7 @@ from edgewright.functions import stats
 from edgewright.functions.multiple_testing import q_values, thresholds
 from edgewright.model import PRIORS, ROWS, VALUES, Rules
 from edgewright.operators import detectors, kinase, pairwise, priors, search, significance
-from edgewright.plans import analysis, queries
+from edgewright.plans import analysis, queries, tools
 from edgewright.sources import params, sinks, tables
 
 ROWS_T1 = [
@@ -199,6 +200,60 @@ def test_run_from_files(spark, tmp_path):
     assert (tmp_path / "out/results").exists() and (tmp_path / "out/value-changes").exists()
 
 
+def test_significance_is_used_again(spark, tmp_path):
+    assert tables.significance(spark, str(tmp_path / "none")) is None
+    found = spark.createDataFrame([("A", 0.5, None, 0.01), ("B", 0.001, 1.0, 1.0)], "source string, p_changed double, p_activating double, p_inhibiting double")
+    sinks.write_lines(sinks.significance_lines(found, 0.25), str(tmp_path / "pvals"))
+    again, graph_p = tables.significance(spark, str(tmp_path / "pvals"))
+    assert graph_p == 0.25 and [tuple(r) for r in again.collect()] == [("B", 0.001, 1.0, 1.0), ("A", 0.5, 1.0, 0.01)]
+    single = spark.createDataFrame([("A", 0.5)], "source string, p double")
+    sinks.write_lines(sinks.significance_lines(single, 0.0), str(tmp_path / "one"))
+    assert [tuple(r) for r in tables.significance(spark, str(tmp_path / "one"))[0].collect()] == [("A", 0.5)]
+
+
+def test_correlation_run_with_permutations(spark, tmp_path):
+    names = [f"s{i}" for i in range(8)]
+    base = [1.0, 4.0, 2.0, 8.0, 5.0, 7.0, 3.0, 6.0]
+    lines = ["\t".join(["ID", "Symbols", "Sites", "Effect", *names])]
+    lines.append("\t".join(["A", "A", "", "", *map(str, base)]))
+    for t in range(6):
+        own = [x + 0.1 * ((i * (t + 2)) % 3) for i, x in enumerate(base)]
+        lines.append("\t".join([f"T{t}", f"T{t}", "", "", *map(str, own)]))
+    (tmp_path / "data.txt").write_text("\n".join(lines) + "\n")
+    (tmp_path / "priors.txt").write_text("".join(f"A\tupregulates-expression\tT{t}\n" for t in range(6)))
+    keys = ["proteomics-values-file = data.txt", "id-column = ID", "value-transformation = correlation", "pval-threshold-for-correlation = 0.05", "custom-causal-priors-file = priors.txt", "calculate-network-significance = true", "permutations-for-significance = 10"]
+    (tmp_path / "parameters.txt").write_text("\n".join([*keys, *(f"value-column = {n}" for n in names)]) + "\n")
+    done = analysis.run_directory(spark, str(tmp_path))
+    assert {r.target for r in done.result().collect()} == {f"T{t}" for t in range(6)}
+    got = done.significance.collect()
+    assert [(r.source, r.n) for r in got] == [("A", 6)] and got[0].p == 1.0 and done.graph_p == 1.0  # every row follows every other, so permutations change nothing
+    again = analysis.run_directory(spark, str(tmp_path))
+    assert again.reused and [tuple(r) for r in again.significance.collect()] == [("A", 1.0)]
+
+
+def test_views_of_graphs(spark, tmp_path):
+    for name, extra in (("early", ""), ("late", "B\tphosphorylates\tC\t\tS3\n")):
+        where = tmp_path / "runs" / name / "deep"
+        where.mkdir(parents=True)
+        (where / "causative.sif").write_text("A\tphosphorylates\tB\t\tS1\n" + extra + "Lonely\n")
+        (where / "causative.format").write_text("node\tall-nodes\tcolor\t255 255 255\nnode\tB\trppasite\tB_S1|p|1 2 3|0 0 0|0.5\n" + ("node\tC\trppasite\tC_S3|p|4 5 6|0 0 0|1\nedge\tB phosphorylates C\tcolor\t0 0 0\n" if extra else ""))
+    stems = tools.graphs_below(spark, str(tmp_path / "runs"))
+    assert [s.rsplit("/", 3)[1:] for s in stems] == [["early", "deep", "causative"], ["late", "deep", "causative"]]
+    assert tools.step_names(stems) == ["early", "late"] and tools.step_names(["x"]) == ["x"]
+    edge, marks = tools.series_view(spark, stems)
+    assert {(r.source, r.target): list(r.steps) for r in edge.collect()} == {("A", "B"): ["early", "late"], ("B", "C"): ["late"]}
+    assert {(r.step, r.row_id, r.ghost) for r in marks.collect()} == {("early", "B_S1", False), ("late", "B_S1", False), ("early", "C_S3", True), ("late", "C_S3", False)}
+    assert tools.jsonize(spark, str(tmp_path / "runs")) == stems
+    texts = [json.loads(r.value) for r in spark.read.text(f"{stems[1]}.json").collect()]
+    assert {t["id"] for t in texts} == {"A", "B", "C", "A phosphorylates B", "B phosphorylates C"}
+    sif, lines = tables.sif(spark, f"{stems[1]}.sif"), tables.format_lines(spark, f"{stems[1]}.format")
+    kept, shown = tools.graph_view(sif, lines, ["C"])
+    assert [(r.source, r.target) for r in kept.collect()] == [("B", "C")] and {r.id for r in shown.collect()} == {"all-nodes", "B", "C", "B phosphorylates C"}
+    assert [(r.source, r.target) for r in tools.graph_view(sif, lines)[0].collect()] == [("B", "C")]
+    with pytest.raises(ValueError):
+        tools.series_view(spark, [])
+
+
 def test_effects_nearby(spark):
     rows = spark.createDataFrame([("a", "phosphoprotein", ["G"], [("G", "S", 10)], 0), ("b", "phosphoprotein", ["G"], [("G", "S", 30)], 0)], ROWS)
     known = spark.createDataFrame([("G", 12, -1), ("G", 14, 1)], "gene string, pos int, effect int")
