@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -186,68 +186,120 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long, wide array<long>, bands array<long>")
 
 
-def near_limit(similarity: float) -> int:
+def near_limit(similarity: float, deviations: float = 1.0) -> int:
     """Differing bits of wide prints up to which a pair counts as ``similarity`` alike.
 
     With sets, cosine is 2 J / (1 + J), and the expected share of differing
-    bits is its angle over pi; one standard deviation is allowed on top.
+    bits is its angle over pi; ``deviations`` standard deviations are allowed on top.
     """
     angle = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     bits = 64 * LANES
-    return int(bits * angle + np.sqrt(bits * angle * (1 - angle)))
+    return int(bits * angle + deviations * np.sqrt(bits * angle * (1 - angle)))
 
 
 def _differing(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(LANES)), F.lit(0))
 
 
-def similar_components(variants: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``(vid, grams)``: the distinct hashes of a text's shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(x.as_py() or b"").translate(LOWER).split() for x in b.column(1)]
+            grams = [gram_hashes(f, words, True).view(np.int64) if f else [] for f in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(grams, pa.list_(pa.int64()))], ["vid", "grams"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "vid long, grams array<long>")
+
+
+def alike(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The rows of ``pairs(vid, pivot, ...)`` whose texts have that Jaccard similarity, by their shingles.
+
+    Only texts of ids in ``pairs`` are read; of a repeated doc_id any text may pass.
+    """
+    pairs = written(pairs.distinct(), "pairs")
+    need = pairs.select(F.col("vid").alias("need")).unionByName(pairs.select(F.col("pivot").alias("need"))).distinct()
+    texts = docs.select("doc_id", "text").join(need, F.col("doc_id").cast("long") == F.col("need"), "left_semi")
+    sets = written(shingle_sets(texts, words), "shingles")
+    both = pairs.join(sets.withColumnRenamed("grams", "mine"), "vid").join(sets.select(F.col("vid").alias("pivot"), F.col("grams").alias("theirs")), "pivot")
+    common = F.size(F.array_intersect("mine", "theirs"))
+    enough = common * (1 + similarity) >= similarity * (F.size("mine") + F.size("theirs")) - 1e-9
+    return both.where((common > 0) & enough).select(pairs.columns)
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels(node, component)`` after ``links(u, v)`` between components."""
+    further = connected_components(links).select(F.col("id").alias("component"), F.col("component").alias("whole"))
+    return labels.join(further, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+
+
+def similar_components(
+    variants: DataFrame, links: DataFrame | None, similarity: float, candidates: DataFrame | None = None, check: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """``variants(vid, node, wide, bands)`` and ``links(u, v)`` of nodes -> ``(node, component)``.
 
     Nodes are joined by ``links``, and by pairs of variants that share a band
     (three byte positions of the word-pair print; most pairs in reach share
-    several of the 42) and whose wide prints differ in ``near_limit`` bits or
-    fewer. The components are those of all such pairs, but most pairs need no
-    look: first each variant is held against the smallest and the largest of
-    its bands, which is linear in the variants and joins groups of near copies
+    several of the 42), or are among ``candidates(vid, pivot)``, and whose wide
+    prints differ in ``near_limit`` bits or fewer. With ``check``, which keeps
+    the pairs ``(vid, pivot, u, v)`` that are alike, the limit is wider, and
+    ``check`` decides all pairs but those far inside it.
+
+    The components are those of all such pairs, but most pairs need no look:
+    first each variant is held against the smallest and the largest of its
+    bands, which is linear in the variants and joins groups of near copies
     whole; then pairs of a band count only where their components still differ.
     """
-    limit = near_limit(similarity)
+    limit = near_limit(similarity, 2.0 if check else 1.0)
+    sure = near_limit(similarity, -3.0) if check else limit
     index = variants.select("vid", "node", F.explode("bands").alias("band"))
     ends = index.groupBy("band").agg(F.min("vid").alias("low"), F.max("vid").alias("high")).where("low < high")
     index = written(index.join(ends, "band"), "bands")
     prints = variants.select("vid", "node", "wide")
-    pivots = index.select("vid", F.explode(F.array("low", "high")).alias("pivot")).where("vid <> pivot").distinct()
+    pivots = index.select("vid", F.explode(F.array("low", "high")).alias("pivot")).where("vid <> pivot")
+    pivots = pivots if candidates is None else pivots.unionByName(candidates)
     other = prints.select(F.col("vid").alias("pivot"), F.col("node").alias("v"), F.col("wide").alias("theirs"))
-    star = pivots.join(prints, "vid").join(other, "pivot").where(_differing("wide", "theirs") <= limit).select(F.col("node").alias("u"), "v")
-    joined = connected_components(links.select("u", "v").unionByName(star)).withColumnRenamed("id", "node")
-    placed = index.select("vid", "node", "band").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = written(placed, "placed")
+    star = pivots.distinct().join(prints, "vid").join(other, "pivot").withColumn("bits", _differing("wide", "theirs"))
+    star = written(star.where(F.col("bits") <= limit).select("vid", "pivot", F.col("node").alias("u"), "v", "bits"), "star")
+    near = star.where(F.col("bits") <= sure).select("u", "v")
+    labels = variants.select("node", F.col("node").alias("component")).distinct()
+    labels = written(_joined(labels, near if links is None else near.unionByName(links.select("u", "v"))), "labels")
+    if check:
+        # most unsure pairs have their ends joined by sure ones already
+        mine, theirs = labels.select(F.col("node").alias("u"), F.col("component").alias("cu")), labels.select(F.col("node").alias("v"), F.col("component").alias("cv"))
+        unsure = star.where(F.col("bits") > sure).join(mine, "u").join(theirs, "v").where("cu <> cv")
+        passed = check(unsure.select("vid", "pivot", F.col("cu").alias("u"), F.col("cv").alias("v")))
+        labels = written(_joined(labels, passed.select("u", "v")), "labels")
+    placed = written(index.select("vid", "node", "band").join(labels, "node"), "placed")
     mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    rest = written(placed.join(mixed, "band", "left_semi").join(prints.select("vid", "wide"), "vid").select("band", "component", "wide"), "mixed")
-    left, right = rest.select("band", F.col("component").alias("u"), F.col("wide").alias("mine")), rest.select("band", F.col("component").alias("v"), F.col("wide").alias("theirs"))
-    near = left.join(right, (left.band == right.band) & (F.col("u") > F.col("v")) & (_differing("mine", "theirs") <= limit)).select("u", "v")
-    further = connected_components(near).select(F.col("id").alias("component"), F.col("component").alias("whole"))
-    nodes = variants.select("node").distinct().join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return nodes.join(further, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    rest = written(placed.join(mixed, "band", "left_semi").join(prints.select("vid", "wide"), "vid").select("vid", "band", "component", "wide"), "mixed")
+    left = rest.select("vid", "band", F.col("component").alias("u"), F.col("wide").alias("mine"))
+    right = rest.select(F.col("vid").alias("pivot"), "band", F.col("component").alias("v"), F.col("wide").alias("theirs"))
+    found = left.join(right, (left.band == right.band) & (F.col("u") > F.col("v")) & (_differing("mine", "theirs") <= limit)).select("vid", "pivot", "u", "v")
+    return _joined(labels, (check(found) if check else found).select("u", "v"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_distance: int = 3) -> DataFrame:
     """The rows of ``docs``, unchanged, but for near duplicates of a smaller doc_id.
 
-    Two texts are near duplicates if their shingles of ``words`` words have a
-    Jaccard similarity of ``similarity`` or more as estimated by SimHash, or if
-    their 64-bit fingerprints of 3-word shingles differ in ``max_distance``
-    bits or fewer; of each group that such links connect, the smallest doc_id
-    stays. Texts without words are one group. Rows with a null doc_id stay;
-    rows that repeat a doc_id share its fate.
+    Two texts are near duplicates if their sets of shingles of ``words`` words
+    have a Jaccard similarity of ``similarity`` or more. Candidates are texts
+    whose 64-bit fingerprints of 3-word shingles differ in ``max_distance`` bits
+    or fewer, and those that share a band of a wide print; wide prints settle
+    the clear pairs (three standard deviations inside, two outside), the
+    shingles themselves all others. Of each group that such links connect, the
+    smallest doc_id stays. Texts without words are one group. Rows with a null
+    doc_id stay; rows that repeat a doc_id share its fate.
     """
     text_batches(docs.sparkSession)
     rows = written(sketches(docs, words).where("doc_id IS NOT NULL"), "sketches")
-    by_fp = written(rows.groupBy("fp").agg(F.min("doc_id").alias("id")), "fingerprints")
-    variants = rows.groupBy("fp", "wide", "bands").agg(F.min("doc_id").alias("vid")).join(by_fp, "fp")
-    variants = written(variants.select("vid", F.col("id").alias("node"), "wide", "bands"), "variants")
-    groups = similar_components(variants, links(by_fp, max_distance), similarity)
-    kept = by_fp.join(groups, F.col("id") == F.col("node")).select("fp", F.col("component").alias("kept"))
-    copies = rows.select("doc_id", "fp").join(kept, "fp").where("doc_id <> kept").select(F.col("doc_id").alias("__copy")).distinct()
+    variants = rows.groupBy("fp", "wide", "bands").agg(F.min("doc_id").alias("vid"))
+    variants = written(variants.withColumn("node", F.col("vid")), "variants")
+    by_fp = written(variants.groupBy("fp").agg(F.min("vid").alias("id")), "fingerprints")
+    close = links(by_fp, max_distance).select(F.col("u").alias("vid"), F.col("v").alias("pivot"))
+    same = variants.join(by_fp, "fp").where("vid <> id").select("vid", F.col("id").alias("pivot"))
+    groups = similar_components(variants, None, similarity, close.unionByName(same), lambda pairs: alike(pairs, docs, words, similarity))
+    kept = variants.join(groups, "node").select("fp", "wide", "bands", F.col("component").alias("kept"))
+    copies = rows.join(kept, ["fp", "wide", "bands"]).where("doc_id <> kept").select(F.col("doc_id").alias("__copy")).distinct()
     return docs.join(written(copies, "copies"), F.col("doc_id").cast("long") == F.col("__copy"), "left_anti")

@@ -273,6 +273,29 @@ def test_simhash_stage_finds_similar_texts(spark):
     assert all(g for g, n in zip(gone, edits) if n <= 6) and not any(g for g, n in zip(gone, edits) if n == 40)
 
 
+def test_simhash_stage_matches_exact_similarity(spark):
+    """Groups of edited copies of which many pairs lie just below or above 0.8: what stays is what exact sets give."""
+    rng = np.random.default_rng(18)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = ["", None, "one word"]
+    for _ in range(8):
+        base = list(rng.choice(vocabulary, 150))
+        for n in rng.integers(1, 6, 12):
+            text = list(base)
+            for at in rng.choice(150, n, replace=False):
+                text[at] = f"new{rng.integers(1 << 30)}"
+            texts.append(" ".join(text))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").split() for t in texts)]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    kept = {r.doc_id for r in simhash.one_of_each(docs_of(spark, texts)).collect()}
+    assert len(set(root)) > 15 and kept == set(root)
+
+
 @pytest.mark.parametrize("spread", [2, 25, 60])
 def test_similar_components_are_those_of_all_pairs(spark, spread):
     """Variants around a few centres, from one group of near copies to chains whose ends differ."""
