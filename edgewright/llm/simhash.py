@@ -273,10 +273,14 @@ def similar_components(
         labels = written(_joined(labels, passed.select("u", "v")), "labels")
     placed = written(index.select("vid", "node", "band").join(labels, "node"), "placed")
     mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    rest = written(placed.join(mixed, "band", "left_semi").join(prints.select("vid", "wide"), "vid").select("vid", "band", "component", "wide"), "mixed")
-    left = rest.select("vid", "band", F.col("component").alias("u"), F.col("wide").alias("mine"))
-    right = rest.select(F.col("vid").alias("pivot"), "band", F.col("component").alias("v"), F.col("wide").alias("theirs"))
-    found = left.join(right, (left.band == right.band) & (F.col("u") > F.col("v")) & (_differing("mine", "theirs") <= limit)).select("vid", "pivot", "u", "v")
+    mine = variants.select("vid", "wide", "bands")
+    rest = written(placed.join(mixed, "band", "left_semi").join(mine, "vid").select("vid", "band", "component", "wide", "bands"), "mixed")
+    left = rest.select("vid", "band", F.col("component").alias("u"), F.col("wide").alias("mine"), "bands")
+    right = rest.select(F.col("vid").alias("pivot"), "band", F.col("component").alias("v"), F.col("wide").alias("theirs"), F.col("bands").alias("others"))
+    # a pair counts only under the first band it shares, so that nothing is emitted twice
+    first = F.array_min(F.array_intersect("bands", "others")) == left.band
+    apart = (left.band == right.band) & (F.col("u") > F.col("v"))
+    found = left.join(right, apart & (_differing("mine", "theirs") <= limit) & first).select("vid", "pivot", "u", "v")
     return _joined(labels, (check(found) if check else found).select("u", "v"))
 
 
