@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .work import written
@@ -126,44 +125,42 @@ def _block_matches(docs: DataFrame, rows: list[tuple[int, bytes]], n: int, thres
                     continue
                 for part in np.split(at, np.flatnonzero(np.diff(at) > reach) + 1):
                     low, high = max(0, part[0] - reach), min(len(ids), part[-1] + n + reach)
-                    out.append((doc_id, int(part[0]), ids[low:high].astype(np.int32).tobytes(), np.unique(keys[part]).view(np.int64).tolist()))
-            columns = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())))], ["doc_id", "at", "passage", "seeds"])
+                    out.append((doc_id, ids[low:high].astype(np.int32).tobytes(), np.unique(keys[part]).view(np.int64).tolist()))
+            columns = list(zip(*out)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.list_(pa.int64())))], ["doc_id", "passage", "seeds"])
 
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(seek, "doc_id long, at long, passage binary, seeds array<long>")
-    found = written(found, "passages")
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(seek, "doc_id long, passage binary, seeds array<long>")
+    found = written(found.withColumn("key", F.sha2("passage", 256)), "passages")
 
     block = Items(rows, n)
     seed_rows = list(zip(block.keys.view(np.int64).tolist(), block.items.tolist()))
     seeds = spark.createDataFrame(seed_rows, "seed long, item int")
-    spread = found.select("doc_id", "at", F.explode("seeds").alias("seed"))
-    df = spread.groupBy("seed").agg(F.count_distinct("doc_id").alias("df"))
-    of_item = W.partitionBy("item")
-    seeds = seeds.join(df, "seed").withColumn("usual", F.percentile("df", 0.25).over(of_item))
-    rare = seeds.where(F.col("df") <= 4 * F.greatest("usual", F.lit(1.0))).select("seed", "item")
-    pairs = spread.join(F.broadcast(rare), "seed").select("doc_id", "at", "item").distinct()
+    # equal passages are one; a passage meets each item of a seed once, however many documents hold that seed
+    spread = found.select("key", F.explode("seeds").alias("seed")).distinct()
+    pairs = spread.join(F.broadcast(seeds), "seed").select("key", "item").distinct()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = items()
         for batch in batches:
-            doc_ids, places, scores = batch.column(0), batch.column(1).to_pylist(), []
+            keys, places, scores = batch.column(0), batch.column(1).to_pylist(), []
             for item, passage in zip(places, batch.column(2)):
-                ids = block.ids[item]
-                best, _ = align(ids, np.frombuffer(passage.as_py(), np.int32).astype(np.uint64))
-                scores.append(best / (2 * len(ids)))
-            yield pa.RecordBatch.from_arrays([doc_ids, pa.array([shared.value[x][0] for x in places], pa.int64()), pa.array(scores, pa.float64())], ["doc_id", "item_id", "score"])
+                ids, words = block.ids[item], np.frombuffer(passage.as_py(), np.int32).astype(np.uint64)
+                # the item's words in the passage bound its matches, so the score
+                most = np.isin(ids, words).sum() / len(ids)
+                scores.append(align(ids, words)[0] / (2 * len(ids)) if most >= threshold else float(most))
+            yield pa.RecordBatch.from_arrays([keys, pa.array([shared.value[x][0] for x in places], pa.int64()), pa.array(scores, pa.float64())], ["key", "item_id", "score"])
 
-    both = pairs.join(found.select(F.col("doc_id").alias("d"), F.col("at").alias("a"), "passage"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("at") == F.col("a")))
-    scored = both.select("doc_id", "item", "passage").mapInArrow(score, "doc_id long, item_id long, score double")
-    return scored.groupBy("doc_id", "item_id").agg(F.max("score").alias("score")).where(F.col("score") >= threshold)
+    both = pairs.join(found.select("key", "passage").distinct(), "key").select("key", "item", "passage")
+    scored = both.mapInArrow(score, "key string, item_id long, score double").where(F.col("score") >= threshold)
+    return found.select("doc_id", "key").join(scored, "key").groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 
 
 def matches(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.5) -> DataFrame:
     """``doc_id, item_id, score`` for each document that holds a copy of an item.
 
     Seeds are the item's n-grams of words (case and ASCII punctuation don't
-    count); how many documents hold each is counted over the whole corpus, and
-    those far more frequent than is usual in their item don't join. ``score``
+    count); every passage that holds one is aligned with the item, however many
+    documents hold that seed. ``score``
     is the alignment's share of the item's own score: 1 for a whole copy, less
     for edited ones. Items of fewer than n words aren't sought. Null and empty
     texts hold nothing; repeated rows give one match; null doc_ids are matched

@@ -436,6 +436,15 @@ def test_decontamination_in_blocks_gives_the_same(spark, monkeypatch):
     assert sorted(map(tuple, decontaminate.matches(docs, bench).collect())) == whole and whole
 
 
+def test_decontamination_scores_passages_of_frequent_seeds_only(spark):
+    """Many documents hold words 1-28 of an item, one holds it whole: 24 seeds are far more frequent than the other 12."""
+    item = [f"w{i}" for i in range(40)]
+    texts = [" ".join([f"a{k}", *item[:28], f"b{k}"]) for k in range(30)] + [" ".join(item)] + [" ".join([f"c{k}", *item[:10]]) for k in range(20)]
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, " ".join([*item[:5], *(f"v{i}" for i in range(35))]))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.matches(docs_of(spark, texts), bench).collect()}
+    assert got == {(30, 7): 1.0} | {(k, 7): 0.7 for k in range(30)}
+
+
 # --- op 9
 
 
