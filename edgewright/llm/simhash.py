@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .graph import connected_components
@@ -202,30 +203,118 @@ def _differing(a: str, b: str) -> Column:
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(vid, grams)``: the distinct hashes of a text's shingles."""
+    """``docs(doc_id, text)`` -> ``(sid, grams)``: the distinct hashes of a text's shingles, and a hash of them all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [(x.as_py() or b"").translate(LOWER).split() for x in b.column(1)]
-            grams = [gram_hashes(f, words, True).view(np.int64) if f else [] for f in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(grams, pa.list_(pa.int64()))], ["vid", "grams"])
+            grams = [gram_hashes(f, words, True).view(np.int64) if f else np.empty(0, np.int64) for f in found]
+            yield pa.RecordBatch.from_arrays([pa.array([_set_id(g) for g in grams], pa.int64()), pa.array(grams, pa.list_(pa.int64()))], ["sid", "grams"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "vid long, grams array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "sid long, grams array<long>")
+
+
+def _set_id(grams: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(grams.tobytes(), SEED)).view(np.int64))
 
 
 def alike(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The rows of ``pairs(vid, pivot, ...)`` whose texts have that Jaccard similarity, by their shingles.
+    """The ``(u, v)`` of ``pairs(sid, other, u, v)`` whose sets have that Jaccard similarity.
 
-    Only texts of ids in ``pairs`` are read; of a repeated doc_id any text may pass.
+    ``u`` and ``v`` are doc_ids that have the sets ``sid`` and ``other``. Only their texts are read.
     """
     pairs = written(pairs.distinct(), "pairs")
-    need = pairs.select(F.col("vid").alias("need")).unionByName(pairs.select(F.col("pivot").alias("need"))).distinct()
+    need = pairs.select(F.col("u").alias("need")).unionByName(pairs.select(F.col("v").alias("need"))).distinct()
     texts = docs.select("doc_id", "text").join(need, F.col("doc_id").cast("long") == F.col("need"), "left_semi")
-    sets = written(shingle_sets(texts, words), "shingles")
-    both = pairs.join(sets.withColumnRenamed("grams", "mine"), "vid").join(sets.select(F.col("vid").alias("pivot"), F.col("grams").alias("theirs")), "pivot")
+    sets = written(shingle_sets(texts, words).dropDuplicates(["sid"]), "shingles")
+    both = pairs.join(sets.withColumnRenamed("grams", "mine"), "sid").join(sets.select(F.col("sid").alias("other"), F.col("grams").alias("theirs")), "other")
     common = F.size(F.array_intersect("mine", "theirs"))
     enough = common * (1 + similarity) >= similarity * (F.size("mine") + F.size("theirs")) - 1e-9
-    return both.where((common > 0) & enough).select(pairs.columns)
+    return written(both.where(enough).select("u", "v"), "alike")
+
+
+#: Rows that the order of shingles is drawn from, and the most shingles placed in it by count. Neither changes a result: any order is exact.
+ORDER_ROWS, ORDER_GRAMS = 20_000, 200_000
+
+
+def frequent_grams(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (ascending) and counts of the shingles most frequent in some ORDER_ROWS rows."""
+    step = max(1, docs.count() // ORDER_ROWS)
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
+    counts = shingle_sets(some, words).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 2")
+    rows = counts.orderBy(F.desc("n"), "gram").limit(ORDER_GRAMS).toPandas().sort_values("gram")
+    return rows["gram"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+
+
+def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """doc_id, sid, and the size and prefix of a text's set of shingles: its s - ceil(similarity * s) + 1 rarest.
+
+    Two sets of that Jaccard similarity share at least ceil(similarity * s)
+    shingles of either, so under one order of all shingles their prefixes meet.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_grams(docs, words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, counts = shared.value
+        for b in batches:
+            sids, sizes, firsts = [], [], []
+            for x in b.column(1):
+                found = (x.as_py() or b"").translate(LOWER).split()
+                grams = gram_hashes(found, words, True).view(np.int64) if found else np.empty(0, np.int64)
+                sids.append(_set_id(grams))
+                sizes.append(len(grams))
+                rank = np.zeros(len(grams), np.int64)
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, grams), len(often) - 1)
+                    rank = np.where(often[at] == grams, counts[at], 0)
+                length = len(grams) - int(np.ceil(similarity * len(grams) - 1e-6)) + 1 if len(grams) else 0
+                firsts.append(grams[np.lexsort((grams, rank))[:length]])
+            arrays = [pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *arrays], ["doc_id", "sid", "size", "prefix"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, sid long, size int, prefix array<long>")
+
+
+def _possible(a: str, b: str, similarity: float) -> Column:
+    """Whether two sets that share a shingle at these places of their orders can be alike: at most all before and all after it are shared too."""
+    p, q, s, t = F.col(f"{a}.pos"), F.col(f"{b}.pos"), F.col(f"{a}.size"), F.col(f"{b}.size")
+    most = F.least(p, q) + 1 + F.least(s - p - 1, t - q - 1)
+    return most * (1 + similarity) >= similarity * (s + t) - 1e-9
+
+
+def alike_components(docs: DataFrame, variants: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``variants(sid, vid, size, prefix)`` -> ``(id, component)`` of the vids that pairs of that similarity link.
+
+    Postings are (shingle of the prefix, variant). Each is held against the
+    smallest of its shingle, then the largest, then all others, at each step
+    only where components still differ; the sets decide every pair.
+    """
+    postings = variants.select("sid", "vid", "size", F.posexplode("prefix").alias("pos", "gram"))
+    of_gram, me = W.partitionBy("gram"), F.struct("sid", "vid", "size", "pos")
+    postings = postings.select("gram", me.alias("a"), F.min(me).over(of_gram).alias("low"), F.max(me).over(of_gram).alias("high"))
+    postings = written(postings.where("low.sid < high.sid"), "postings")
+    edges, labels = None, variants.sparkSession.createDataFrame([], "id long, component long")
+
+    def decide(pairs: DataFrame) -> None:
+        nonlocal edges, labels
+        cu, cv = labels.toDF("u", "cu"), labels.toDF("v", "cv")
+        pairs = pairs.join(cu, "u", "left").join(cv, "v", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v"))
+        found = alike(pairs.select("sid", "other", "u", "v"), docs, words, similarity)
+        edges = found if edges is None else edges.unionByName(found)
+        labels = written(connected_components(edges), "labels")
+
+    def named(a: str, b: str) -> list[Column]:
+        return [F.col(f"{a}.sid").alias("sid"), F.col(f"{b}.sid").alias("other"), F.col(f"{a}.vid").alias("u"), F.col(f"{b}.vid").alias("v")]
+
+    for end in ("low", "high"):
+        decide(postings.where(F.col("a.sid") != F.col(f"{end}.sid")).where(_possible("a", end, similarity)).select(named("a", end)).distinct())
+    placed = postings.select("gram", "a", F.col("a.vid").alias("id")).join(labels, "id", "left").select("gram", "a", F.coalesce("component", "id").alias("c"))
+    placed = placed.withColumn("least", F.min("c").over(of_gram)).withColumn("most", F.max("c").over(of_gram)).where("least < most")
+    placed = written(placed.select("gram", "a", "c"), "mixed")
+    left, right = placed.toDF("gram", "a", "c"), placed.toDF("g", "b", "d")
+    apart = (F.col("gram") == F.col("g")) & (F.col("c") < F.col("d")) & _possible("a", "b", similarity)
+    decide(left.join(right, apart).select(named("a", "b")).distinct())
+    return labels
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -284,26 +373,21 @@ def similar_components(
     return _joined(labels, (check(found) if check else found).select("u", "v"))
 
 
-def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_distance: int = 3) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, unchanged, but for near duplicates of a smaller doc_id.
 
     Two texts are near duplicates if their sets of shingles of ``words`` words
-    have a Jaccard similarity of ``similarity`` or more. Candidates are texts
-    whose 64-bit fingerprints of 3-word shingles differ in ``max_distance`` bits
-    or fewer, and those that share a band of a wide print; wide prints settle
-    the clear pairs (three standard deviations inside, two outside), the
-    shingles themselves all others. Of each group that such links connect, the
-    smallest doc_id stays. Texts without words are one group. Rows with a null
-    doc_id stay; rows that repeat a doc_id share its fate.
+    have a Jaccard similarity of ``similarity`` or more; all such pairs are
+    found (prefix filtering) and decided by the sets. Of each group that they
+    connect, the smallest doc_id stays. Texts without words are one group. Rows
+    with a null doc_id stay; rows that repeat a doc_id share its fate.
     """
     text_batches(docs.sparkSession)
-    rows = written(sketches(docs, words).where("doc_id IS NOT NULL"), "sketches")
-    variants = rows.groupBy("fp", "wide", "bands").agg(F.min("doc_id").alias("vid"))
-    variants = written(variants.withColumn("node", F.col("vid")), "variants")
-    by_fp = written(variants.groupBy("fp").agg(F.min("vid").alias("id")), "fingerprints")
-    close = links(by_fp, max_distance).select(F.col("u").alias("vid"), F.col("v").alias("pivot"))
-    same = variants.join(by_fp, "fp").where("vid <> id").select("vid", F.col("id").alias("pivot"))
-    groups = similar_components(variants, None, similarity, close.unionByName(same), lambda pairs: alike(pairs, docs, words, similarity))
-    kept = variants.join(groups, "node").select("fp", "wide", "bands", F.col("component").alias("kept"))
-    copies = rows.join(kept, ["fp", "wide", "bands"]).where("doc_id <> kept").select(F.col("doc_id").alias("__copy")).distinct()
+    known = docs.where("doc_id IS NOT NULL")
+    rows = written(prefixes(known, words, similarity), "prefixes")
+    variants = rows.groupBy("sid").agg(F.min("doc_id").alias("vid"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    variants = written(variants, "variants")
+    groups = alike_components(known, variants, words, similarity)
+    kept = variants.select("sid", F.col("vid").alias("id")).join(groups, "id", "left").select("sid", F.coalesce("component", "id").alias("kept"))
+    copies = rows.select("doc_id", "sid").join(kept, "sid").where("doc_id <> kept").select(F.col("doc_id").alias("__copy")).distinct()
     return docs.join(written(copies, "copies"), F.col("doc_id").cast("long") == F.col("__copy"), "left_anti")

@@ -296,6 +296,24 @@ def test_simhash_stage_matches_exact_similarity(spark):
     assert len(set(root)) > 15 and kept == set(root)
 
 
+def kept_of_pairs(spark, sizes, times):
+    """For pairs of a text and its extension, by words: whether 5-word shingles are 0.8 alike, and whether the extension goes."""
+    rng = np.random.default_rng(28)
+    texts, alike = [], []
+    for n, m in sizes * times:
+        words = [f"w{w}" for w in rng.choice(100_000, m, replace=False)]
+        texts += [" ".join(words[:n]), " ".join(words)]
+        alike.append((n - 4) >= 0.8 * (m - 4))
+    kept = {r.doc_id for r in simhash.one_of_each(docs_of(spark, texts)).collect()}
+    assert {2 * k for k in range(len(alike))} <= kept
+    return alike, [2 * k + 1 not in kept for k in range(len(alike))]
+
+
+def test_near_duplicates_with_a_block_more(spark):
+    alike, gone = kept_of_pairs(spark, [(104, 129), (104, 130), (200, 245), (1000, 1200), (60, 75)], 12)
+    assert gone == alike
+
+
 @pytest.mark.parametrize("spread", [2, 25, 60])
 def test_similar_components_are_those_of_all_pairs(spark, spread):
     """Variants around a few centres, from one group of near copies to chains whose ends differ."""
