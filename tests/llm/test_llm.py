@@ -314,6 +314,11 @@ def test_near_duplicates_with_a_block_more(spark):
     assert gone == alike
 
 
+def test_near_duplicates_among_short_texts(spark):
+    alike, gone = kept_of_pairs(spark, [(8, 9), (9, 10), (8, 10)], 20)
+    assert gone == alike
+
+
 @pytest.mark.parametrize("spread", [2, 25, 60])
 def test_similar_components_are_those_of_all_pairs(spark, spread):
     """Variants around a few centres, from one group of near copies to chains whose ends differ."""
