@@ -2,42 +2,49 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .work import text_batches, written
+from .work import written
 
 SEED = 42
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 POSITIONS = 8
 
 
-def fingerprint(text: bytes | None, words: int = 3) -> int:
-    """64-bit SimHash of a UTF-8 text as an unsigned number.
-
-    ``bytes.split`` splits at exactly the six ASCII blanks (space, \\t to \\r).
-    """
-    found = (text or b"").translate(LOWER).split()
-    if not found:
-        return 0
+def gram_hashes(found: list[bytes], words: int) -> np.ndarray:
+    """XXH64 of the shingles of ``words`` words, repeats included (the whole sequence if there are fewer words)."""
     joined = b" ".join(found)
     stops = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
     starts = np.concatenate(([0], stops[:-1])).tolist()
     ends = (stops - 1).tolist()[min(words, len(found)) - 1 :]
     digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends)]), np.uint8).reshape(-1, 8)
+    return np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends)]), ">u8").astype(np.uint64)
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """The SimHash of 64-bit hashes, as a signed number: a bit is 1 if set in over half of them."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 15):
-        ones += np.unpackbits(hashes[at : at + (1 << 15)], axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+        rows = hashes[at : at + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(rows, axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
+
+
+def fingerprint(text: bytes | None, words: int = 3) -> int:
+    """64-bit SimHash of a UTF-8 text as an unsigned number.
+
+    ``bytes.split`` splits at exactly the six ASCII blanks (space, \\t to \\r).
+    """
+    found = (text or b"").translate(LOWER).split()
+    return print_of(gram_hashes(found, words)) % (1 << 64) if found else 0
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -55,46 +62,59 @@ def _byte(fp: Column, at: int) -> Column:
     return F.shiftrightunsigned(fp, 8 * at).bitwiseAND(F.lit(255))
 
 
-def _blocks(max_distance: int) -> list[tuple[int, ...]]:
-    """Sets of byte positions, one of which any linked pair shares whole.
+def blocks(max_distance: int, size: int) -> list[tuple[int, ...]]:
+    """Sets of ``size`` byte positions, one of which any linked pair shares whole.
 
-    d differing bits leave at least 8 - d of the 8 bytes equal, so one half of
-    the positions holds half of those: all sets of that size within a half.
+    d differing bits leave at least 8 - d of the 8 bytes equal, so each set of
+    8 - d positions must hold one of these; the set that serves most is taken
+    until all are served.
     """
-    matches = POSITIONS - max_distance
-    if matches < 1:
-        raise ValueError("with 8 bytes, at most 7 bits may differ")
-    size, half = (matches + 1) // 2, POSITIONS // 2
-    return [*combinations(range(half), size), *combinations(range(half, POSITIONS), size)]
+    open_sets = {frozenset(x) for x in combinations(range(POSITIONS), POSITIONS - max_distance)}
+    choices, taken = list(combinations(range(POSITIONS), size)), []
+    while open_sets:
+        best = max(choices, key=lambda c: sum(x.issuperset(c) for x in open_sets))
+        taken.append(best)
+        open_sets = {x for x in open_sets if not x.issuperset(best)}
+    return taken
+
 
+def key_size(n: int, max_distance: int) -> int:
+    """Byte positions in a posting's key: so many that pairs which share a key by chance are no more than the ``n`` prints, if that can be."""
+    most = POSITIONS - max_distance
+    for size in range((most + 1) // 2, most):
+        if len(blocks(max_distance, size)) * n / 2 <= 256**size:
+            return size
+    return most
 
-def links(prints: DataFrame, max_distance: int = 3) -> DataFrame:
+
+def links(prints: DataFrame, max_distance: int = 3, size: int | None = None) -> DataFrame:
     """``prints(id, fp)`` with distinct fp -> ``(u, v)``, each pair at ``max_distance`` or fewer bits once.
 
     The inverted index has a posting for each set of byte positions in
-    ``_blocks`` and its bytes. A pair of postings tallies the positional bytes
-    that the two share, passes with the guaranteed minimum, and is verified by
-    its differing bits. A pair counts only under the first set it shares, so
-    nothing is emitted twice. A fingerprint has at most C(64,0..3) = 43,745
-    others in reach, so the links are linear in the distinct fingerprints;
-    long posting lists are split by Spark's skew join.
+    ``blocks`` and its bytes; keys grow with the number of prints, so pairs
+    that meet by chance stay in proportion to it. For a pair of postings the
+    positional bytes that the two share are tallied, pairs with the guaranteed
+    minimum pass, and their differing bits are verified. A pair counts only under the
+    first set it shares, so nothing is emitted twice. A fingerprint has at most
+    C(64,0..3) = 43,745 others in reach, so the links are linear in the
+    distinct fingerprints; long posting lists are split by Spark's skew join.
     """
-    blocks = _blocks(max_distance)
+    if not 0 <= max_distance < POSITIONS:
+        raise ValueError("with 8 bytes, at most 7 bits may differ")
+    sets = blocks(max_distance, size or key_size(prints.count(), max_distance))
     keys = [
         F.struct(F.lit(i).alias("block"), sum((F.shiftleft(_byte(F.col("fp"), p), 8 * k) for k, p in enumerate(ps)), F.lit(0).cast("long")).alias("key"))
-        for i, ps in enumerate(blocks)
+        for i, ps in enumerate(sets)
     ]
     index = prints.select("id", "fp", F.explode(F.array(*keys)).alias("k")).select("id", "fp", "k.block", "k.key")
     a, b = index.alias("a"), index.alias("b")
     differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     same = [_byte(differ, p) == 0 for p in range(POSITIONS)]
     tally = sum((s.cast("int") for s in same), F.lit(0))
-    first = F.lit(-1)
-    for i in reversed(range(len(blocks))):
-        shared = same[blocks[i][0]]
-        for p in blocks[i][1:]:
-            shared = shared & same[p]
-        first = F.when(shared, F.lit(i)).otherwise(first)
+    # bit p of the mask: byte p is shared
+    mask = sum((F.when(s, 1 << p).otherwise(0) for p, s in enumerate(same)), F.lit(0))
+    masks = F.array(*(F.lit(sum(1 << p for p in ps)) for ps in sets))
+    first = F.array_position(F.transform(masks, lambda m: mask.bitwiseAND(m) == m), F.lit(True)) - 1
     kept = (tally >= POSITIONS - max_distance) & (F.bit_count(differ) <= max_distance) & (first == F.col("a.block"))
     return a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & kept).select(
         F.col("a.id").alias("u"), F.col("b.id").alias("v")
@@ -123,271 +143,3 @@ def components(docs: DataFrame, words: int = 3, max_distance: int = 3) -> DataFr
         .select("fp", F.coalesce("component", "id").alias("component_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
     )
     return prints.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
-
-
-LANES, BANDS = 8, 42
-#: Three byte positions for each band: neighbours first, then positions 21 apart.
-BAND_BYTES = np.array([(3 * i, 3 * i + 1, 3 * i + 2) for i in range(21)] + [(i, i + 21, i + 42) for i in range(21)])
-ODD = (np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-ONES = np.uint64(0x0101010101010101)
-
-
-def gram_hashes(found: list[bytes], words: int, distinct: bool) -> np.ndarray:
-    """XXH64 of the shingles of ``words`` words (the whole sequence if there are fewer)."""
-    joined = b" ".join(found)
-    stops = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
-    starts = np.concatenate(([0], stops[:-1])).tolist()
-    ends = (stops - 1).tolist()[min(words, len(found)) - 1 :]
-    digest = xxhash.xxh64_digest
-    h = np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends)]), ">u8").astype(np.uint64)
-    return np.unique(h) if distinct else h
-
-
-def wide_print(hashes: np.ndarray) -> np.ndarray:
-    """SimHash of LANES * 64 bits: each hash stands for LANES numbers mixed from it. Bits are counted in the bytes of words, 255 rows at a time."""
-    mixed = hashes[:, None] * ODD
-    mixed ^= mixed >> np.uint64(32)
-    mixed *= np.uint64(0xD6E8FEB86659FD93)
-    mixed ^= mixed >> np.uint64(29)
-    counts = np.zeros((8, LANES, 8), np.int64)  # bit in byte, lane, byte
-    for at in range(0, len(mixed), 255):
-        part = mixed[at : at + 255]
-        for bit in range(8):
-            sums = ((part >> np.uint64(bit)) & ONES).sum(0, dtype=np.uint64)
-            counts[bit] += sums.view(np.uint8).reshape(LANES, 8)
-    ones = (2 * counts > len(hashes)).astype(np.uint64)
-    shifts = np.arange(8, dtype=np.uint64)[:, None, None] + 8 * np.arange(8, dtype=np.uint64)
-    return (ones << shifts).sum((0, 2), dtype=np.uint64)
-
-
-def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, the 64-bit fp of 3-word shingles, a wide print of shingles of ``words`` words, and BANDS keys.
-
-    A key is a number and three bytes of a wide print of the distinct word
-    pairs, which edits change least.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps, wide, bands = [], [], []
-            for x in b.column(1):
-                found = (x.as_py() or b"").translate(LOWER).split()
-                fps.append(fingerprint(x.as_py()))
-                if found:
-                    wide.append(wide_print(gram_hashes(found, words, True)).view(np.int64).tolist())
-                    raw = np.frombuffer(wide_print(gram_hashes(found, 2, True)).astype("<u8").tobytes(), np.uint8)[BAND_BYTES].astype(np.int64)
-                    bands.append((np.arange(BANDS) << 24 | raw[:, 0] << 16 | raw[:, 1] << 8 | raw[:, 2]).tolist())
-                else:
-                    wide.append([0] * LANES)
-                    bands.append([])
-            types = pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())
-            arrays = [pa.array(np.array(fps, np.uint64).view(np.int64), types[0]), pa.array(wide, types[1]), pa.array(bands, types[2])]
-            yield pa.RecordBatch.from_arrays([b.column(0), *arrays], ["doc_id", "fp", "wide", "bands"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long, wide array<long>, bands array<long>")
-
-
-def near_limit(similarity: float, deviations: float = 1.0) -> int:
-    """Differing bits of wide prints up to which a pair counts as ``similarity`` alike.
-
-    With sets, cosine is 2 J / (1 + J), and the expected share of differing
-    bits is its angle over pi; ``deviations`` standard deviations are allowed on top.
-    """
-    angle = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    bits = 64 * LANES
-    return int(bits * angle + deviations * np.sqrt(bits * angle * (1 - angle)))
-
-
-def _differing(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(LANES)), F.lit(0))
-
-
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(sid, grams)``: the distinct hashes of a text's shingles, and a hash of them all."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [(x.as_py() or b"").translate(LOWER).split() for x in b.column(1)]
-            grams = [gram_hashes(f, words, True).view(np.int64) if f else np.empty(0, np.int64) for f in found]
-            yield pa.RecordBatch.from_arrays([pa.array([_set_id(g) for g in grams], pa.int64()), pa.array(grams, pa.list_(pa.int64()))], ["sid", "grams"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "sid long, grams array<long>")
-
-
-def _set_id(grams: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(grams.tobytes(), SEED)).view(np.int64))
-
-
-def alike(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The ``(u, v)`` of ``pairs(sid, other, u, v)`` whose sets have that Jaccard similarity.
-
-    ``u`` and ``v`` are doc_ids that have the sets ``sid`` and ``other``. Only their texts are read.
-    """
-    pairs = written(pairs.distinct(), "pairs")
-    need = pairs.select(F.col("u").alias("need")).unionByName(pairs.select(F.col("v").alias("need"))).distinct()
-    texts = docs.select("doc_id", "text").join(need, F.col("doc_id").cast("long") == F.col("need"), "left_semi")
-    sets = written(shingle_sets(texts, words).dropDuplicates(["sid"]), "shingles")
-    both = pairs.join(sets.withColumnRenamed("grams", "mine"), "sid").join(sets.select(F.col("sid").alias("other"), F.col("grams").alias("theirs")), "other")
-    common = F.size(F.array_intersect("mine", "theirs"))
-    enough = common * (1 + similarity) >= similarity * (F.size("mine") + F.size("theirs")) - 1e-9
-    return written(both.where(enough).select("u", "v"), "alike")
-
-
-#: Rows that the order of shingles is drawn from, and the most shingles placed in it by count. Neither changes a result: any order is exact.
-ORDER_ROWS, ORDER_GRAMS = 20_000, 200_000
-
-
-def frequent_grams(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (ascending) and counts of the shingles most frequent in some ORDER_ROWS rows."""
-    step = max(1, docs.count() // ORDER_ROWS)
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
-    counts = shingle_sets(some, words).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 2")
-    rows = counts.orderBy(F.desc("n"), "gram").limit(ORDER_GRAMS).toPandas().sort_values("gram")
-    return rows["gram"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
-
-
-def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """doc_id, sid, and the size and prefix of a text's set of shingles: its s - ceil(similarity * s) + 1 rarest.
-
-    Two sets of that Jaccard similarity share at least ceil(similarity * s)
-    shingles of either, so under one order of all shingles their prefixes meet.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_grams(docs, words))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, counts = shared.value
-        for b in batches:
-            sids, sizes, firsts = [], [], []
-            for x in b.column(1):
-                found = (x.as_py() or b"").translate(LOWER).split()
-                grams = gram_hashes(found, words, True).view(np.int64) if found else np.empty(0, np.int64)
-                sids.append(_set_id(grams))
-                sizes.append(len(grams))
-                rank = np.zeros(len(grams), np.int64)
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, grams), len(often) - 1)
-                    rank = np.where(often[at] == grams, counts[at], 0)
-                length = len(grams) - int(np.ceil(similarity * len(grams) - 1e-6)) + 1 if len(grams) else 0
-                firsts.append(grams[np.lexsort((grams, rank))[:length]])
-            arrays = [pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *arrays], ["doc_id", "sid", "size", "prefix"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, sid long, size int, prefix array<long>")
-
-
-def _possible(a: str, b: str, similarity: float) -> Column:
-    """Whether two sets that share a shingle at these places of their orders can be alike: at most all before and all after it are shared too."""
-    p, q, s, t = F.col(f"{a}.pos"), F.col(f"{b}.pos"), F.col(f"{a}.size"), F.col(f"{b}.size")
-    most = F.least(p, q) + 1 + F.least(s - p - 1, t - q - 1)
-    return most * (1 + similarity) >= similarity * (s + t) - 1e-9
-
-
-def alike_components(docs: DataFrame, variants: DataFrame, words: int, similarity: float) -> DataFrame:
-    """``variants(sid, vid, size, prefix)`` -> ``(id, component)`` of the vids that pairs of that similarity link.
-
-    Postings are (shingle of the prefix, variant). Each is held against the
-    smallest of its shingle, then the largest, then all others, at each step
-    only where components still differ; the sets decide every pair.
-    """
-    postings = variants.select("sid", "vid", "size", F.posexplode("prefix").alias("pos", "gram"))
-    of_gram, me = W.partitionBy("gram"), F.struct("sid", "vid", "size", "pos")
-    postings = postings.select("gram", me.alias("a"), F.min(me).over(of_gram).alias("low"), F.max(me).over(of_gram).alias("high"))
-    postings = written(postings.where("low.sid < high.sid"), "postings")
-    edges, labels = None, variants.sparkSession.createDataFrame([], "id long, component long")
-
-    def decide(pairs: DataFrame) -> None:
-        nonlocal edges, labels
-        cu, cv = labels.toDF("u", "cu"), labels.toDF("v", "cv")
-        pairs = pairs.join(cu, "u", "left").join(cv, "v", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v"))
-        found = alike(pairs.select("sid", "other", "u", "v"), docs, words, similarity)
-        edges = found if edges is None else edges.unionByName(found)
-        labels = written(connected_components(edges), "labels")
-
-    def named(a: str, b: str) -> list[Column]:
-        return [F.col(f"{a}.sid").alias("sid"), F.col(f"{b}.sid").alias("other"), F.col(f"{a}.vid").alias("u"), F.col(f"{b}.vid").alias("v")]
-
-    for end in ("low", "high"):
-        decide(postings.where(F.col("a.sid") != F.col(f"{end}.sid")).where(_possible("a", end, similarity)).select(named("a", end)).distinct())
-    placed = postings.select("gram", "a", F.col("a.vid").alias("id")).join(labels, "id", "left").select("gram", "a", F.coalesce("component", "id").alias("c"))
-    placed = placed.withColumn("least", F.min("c").over(of_gram)).withColumn("most", F.max("c").over(of_gram)).where("least < most")
-    placed = written(placed.select("gram", "a", "c"), "mixed")
-    left, right = placed.toDF("gram", "a", "c"), placed.toDF("g", "b", "d")
-    apart = (F.col("gram") == F.col("g")) & (F.col("c") < F.col("d")) & _possible("a", "b", similarity)
-    decide(left.join(right, apart).select(named("a", "b")).distinct())
-    return labels
-
-
-def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels(node, component)`` after ``links(u, v)`` between components."""
-    further = connected_components(links).select(F.col("id").alias("component"), F.col("component").alias("whole"))
-    return labels.join(further, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
-
-
-def similar_components(
-    variants: DataFrame, links: DataFrame | None, similarity: float, candidates: DataFrame | None = None, check: Callable[[DataFrame], DataFrame] | None = None
-) -> DataFrame:
-    """``variants(vid, node, wide, bands)`` and ``links(u, v)`` of nodes -> ``(node, component)``.
-
-    Nodes are joined by ``links``, and by pairs of variants that share a band
-    (three byte positions of the word-pair print; most pairs in reach share
-    several of the 42), or are among ``candidates(vid, pivot)``, and whose wide
-    prints differ in ``near_limit`` bits or fewer. With ``check``, which keeps
-    the pairs ``(vid, pivot, u, v)`` that are alike, the limit is wider, and
-    ``check`` decides all pairs but those far inside it.
-
-    The components are those of all such pairs, but most pairs need no look:
-    first each variant is held against the smallest and the largest of its
-    bands, which is linear in the variants and joins groups of near copies
-    whole; then pairs of a band count only where their components still differ.
-    """
-    limit = near_limit(similarity, 2.0 if check else 1.0)
-    sure = near_limit(similarity, -3.0) if check else limit
-    index = variants.select("vid", "node", F.explode("bands").alias("band"))
-    ends = index.groupBy("band").agg(F.min("vid").alias("low"), F.max("vid").alias("high")).where("low < high")
-    index = written(index.join(ends, "band"), "bands")
-    prints = variants.select("vid", "node", "wide")
-    pivots = index.select("vid", F.explode(F.array("low", "high")).alias("pivot")).where("vid <> pivot")
-    pivots = pivots if candidates is None else pivots.unionByName(candidates)
-    other = prints.select(F.col("vid").alias("pivot"), F.col("node").alias("v"), F.col("wide").alias("theirs"))
-    star = pivots.distinct().join(prints, "vid").join(other, "pivot").withColumn("bits", _differing("wide", "theirs"))
-    star = written(star.where(F.col("bits") <= limit).select("vid", "pivot", F.col("node").alias("u"), "v", "bits"), "star")
-    near = star.where(F.col("bits") <= sure).select("u", "v")
-    labels = variants.select("node", F.col("node").alias("component")).distinct()
-    labels = written(_joined(labels, near if links is None else near.unionByName(links.select("u", "v"))), "labels")
-    if check:
-        # most unsure pairs have their ends joined by sure ones already
-        mine, theirs = labels.select(F.col("node").alias("u"), F.col("component").alias("cu")), labels.select(F.col("node").alias("v"), F.col("component").alias("cv"))
-        unsure = star.where(F.col("bits") > sure).join(mine, "u").join(theirs, "v").where("cu <> cv")
-        passed = check(unsure.select("vid", "pivot", F.col("cu").alias("u"), F.col("cv").alias("v")))
-        labels = written(_joined(labels, passed.select("u", "v")), "labels")
-    placed = written(index.select("vid", "node", "band").join(labels, "node"), "placed")
-    mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    mine = variants.select("vid", "wide", "bands")
-    rest = written(placed.join(mixed, "band", "left_semi").join(mine, "vid").select("vid", "band", "component", "wide", "bands"), "mixed")
-    left = rest.select("vid", "band", F.col("component").alias("u"), F.col("wide").alias("mine"), "bands")
-    right = rest.select(F.col("vid").alias("pivot"), "band", F.col("component").alias("v"), F.col("wide").alias("theirs"), F.col("bands").alias("others"))
-    # a pair counts only under the first band it shares, so that nothing is emitted twice
-    first = F.array_min(F.array_intersect("bands", "others")) == left.band
-    apart = (left.band == right.band) & (F.col("u") > F.col("v"))
-    found = left.join(right, apart & (_differing("mine", "theirs") <= limit) & first).select("vid", "pivot", "u", "v")
-    return _joined(labels, (check(found) if check else found).select("u", "v"))
-
-
-def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, unchanged, but for near duplicates of a smaller doc_id.
-
-    Two texts are near duplicates if their sets of shingles of ``words`` words
-    have a Jaccard similarity of ``similarity`` or more; all such pairs are
-    found (prefix filtering) and decided by the sets. Of each group that they
-    connect, the smallest doc_id stays. Texts without words are one group. Rows
-    with a null doc_id stay; rows that repeat a doc_id share its fate.
-    """
-    text_batches(docs.sparkSession)
-    known = docs.where("doc_id IS NOT NULL")
-    rows = written(prefixes(known, words, similarity), "prefixes")
-    variants = rows.groupBy("sid").agg(F.min("doc_id").alias("vid"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    variants = written(variants, "variants")
-    groups = alike_components(known, variants, words, similarity)
-    kept = variants.select("sid", F.col("vid").alias("id")).join(groups, "id", "left").select("sid", F.coalesce("component", "id").alias("kept"))
-    copies = rows.select("doc_id", "sid").join(kept, "sid").where("doc_id <> kept").select(F.col("doc_id").alias("__copy")).distinct()
-    return docs.join(written(copies, "copies"), F.col("doc_id").cast("long") == F.col("__copy"), "left_anti")

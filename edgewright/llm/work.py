@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -50,6 +51,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def discard(*tables: DataFrame) -> None:
+    """Empty tables that ``written`` gave and that nothing will read again; their files go."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+#: Rows of one number each that a broadcast may hold: some 50 MB.
+SMALL_ROWS = 1_000_000
+
+
+def small(ids: DataFrame) -> DataFrame:
+    """A written table of ids, marked for broadcast if it has SMALL_ROWS rows or fewer; beyond that Spark joins by shuffle."""
+    return F.broadcast(ids) if ids.count() <= SMALL_ROWS else ids
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has in any case of letters."""
+    taken = {c.lower() for df in tables for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of stages that nothing refers to any more.
 

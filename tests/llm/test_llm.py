@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from edgewright.llm import decontaminate, graph, licenses, mixing, quality_model, quality_rules, queries, secrets, simhash, suffix_dedup, token_store, url_filter
+from edgewright.llm import decontaminate, graph, licenses, mixing, near, quality_model, quality_rules, queries, secrets, simhash, suffix_dedup, token_store, url_filter
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, TEXT2 string, score double, bucket int, kind string"
@@ -267,7 +267,7 @@ def test_simhash_stage_finds_similar_texts(spark):
             base[at] = "changed"
         texts.append(" ".join(base))
         edits.append(n)
-    kept = {r.doc_id for r in simhash.one_of_each(docs_of(spark, texts)).collect()}
+    kept = {r.doc_id for r in near.one_of_each(docs_of(spark, texts)).collect()}
     assert {2 * k for k in range(60)} <= kept
     gone = [2 * k + 1 not in kept for k in range(60)]
     assert all(g for g, n in zip(gone, edits) if n <= 6) and not any(g for g, n in zip(gone, edits) if n == 40)
@@ -292,7 +292,7 @@ def test_simhash_stage_matches_exact_similarity(spark):
             if len(a & b) >= 0.8 * len(a | b):
                 low, high = sorted((root[i], root[j]))
                 root = [low if r == high else r for r in root]
-    kept = {r.doc_id for r in simhash.one_of_each(docs_of(spark, texts)).collect()}
+    kept = {r.doc_id for r in near.one_of_each(docs_of(spark, texts)).collect()}
     assert len(set(root)) > 15 and kept == set(root)
 
 
@@ -304,7 +304,7 @@ def kept_of_pairs(spark, sizes, times):
         words = [f"w{w}" for w in rng.choice(100_000, m, replace=False)]
         texts += [" ".join(words[:n]), " ".join(words)]
         alike.append((n - 4) >= 0.8 * (m - 4))
-    kept = {r.doc_id for r in simhash.one_of_each(docs_of(spark, texts)).collect()}
+    kept = {r.doc_id for r in near.one_of_each(docs_of(spark, texts)).collect()}
     assert {2 * k for k in range(len(alike))} <= kept
     return alike, [2 * k + 1 not in kept for k in range(len(alike))]
 
@@ -319,56 +319,79 @@ def test_near_duplicates_among_short_texts(spark):
     assert gone == alike
 
 
-@pytest.mark.parametrize("spread", [2, 25, 60])
-def test_similar_components_are_those_of_all_pairs(spark, spread):
-    """Variants around a few centres, from one group of near copies to chains whose ends differ."""
-    rng = np.random.default_rng(spread)
-    rows = []
-    for centre in rng.integers(0, 256, (6, 64), dtype=np.uint8):
-        for _ in range(40):
-            bits = np.unpackbits(centre)
-            bits[rng.choice(512, rng.integers(0, spread + 1), replace=False)] ^= 1
-            raw = np.packbits(bits)
-            wide = raw.view("<i8").tolist()
-            bands = [int(b) << 24 | int(raw[p]) << 16 | int(raw[q]) << 8 | int(raw[r]) for b, (p, q, r) in enumerate(simhash.BAND_BYTES)]
-            rows.append((len(rows) * 7 % 1000 + 1, wide, bands))
-    node = {vid: vid - vid % 3 if i % 5 == 0 else vid for i, (vid, _, _) in enumerate(rows)}
-    given = [(rows[3][0], rows[90][0])]
-    parent = {n: n for n in {*node.values(), *given[0]}}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    def union(x, y):
-        x, y = root(x), root(y)
-        parent[max(x, y)] = min(x, y)
-
-    limit = simhash.near_limit(0.8)
-    for i, (x, wx, bx) in enumerate(rows):
-        for y, wy, by in rows[:i]:
-            if set(bx) & set(by) and sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(wx, wy)) <= limit:
-                union(node[x], node[y])
-    union(*given[0])
-    variants = spark.createDataFrame([(v, node[v], w, b) for v, w, b in rows], "vid long, node long, wide array<long>, bands array<long>")
-    got = simhash.similar_components(variants, spark.createDataFrame(given, "u long, v long"), 0.8)
-    assert {r.node: r.component for r in got.collect()} == {n: root(n) for n in node.values()}
+def exact_groups(texts, words=5, similarity=0.8):
+    """For each text the first of its group, by all pairs of sets of shingles."""
+    sets = [{tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} for w in (re.findall(WORDS, (t or "").encode().lower()) for t in texts)]
+    holders, root = defaultdict(list), list(range(len(texts)))
 
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
 
-def test_wide_print_is_a_majority_of_bits():
-    h = np.random.default_rng(9).integers(0, 1 << 63, 700, dtype=np.uint64)
-    mixed = h[:, None] * simhash.ODD
-    mixed ^= mixed >> np.uint64(32)
-    mixed *= np.uint64(0xD6E8FEB86659FD93)
-    mixed ^= mixed >> np.uint64(29)
-    want = [sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in mixed[:, lane]) > 700) for lane in range(simhash.LANES)]
-    assert simhash.wide_print(h).tolist() == want
+    for i, own in enumerate(sets):
+        common = Counter(j for gram in own for j in holders[gram])
+        for j, n in common.items():
+            if n >= similarity * (len(own) + len(sets[j]) - n):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+        for gram in own:
+            holders[gram].append(i)
+    return [top(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("split", [3, near.SPLIT])
+def test_near_duplicates_of_a_table_are_those_of_all_pairs(spark, corpus, split):
+    """Real rows, and a group of near copies whose pairs lie on either side of 0.8; with postings dealt to many tasks as well."""
+    rng = np.random.default_rng(38)
+    texts = [t for _, t in corpus]
+    base = [f"w{w}" for w in rng.choice(2000, 120, replace=False)]
+    for n in rng.integers(1, 9, 120):
+        text = list(base)
+        for at in rng.choice(120, n, replace=False):
+            text[at] = f"new{rng.integers(40)}"
+        texts.append(" ".join(text))
+    kept = {r.doc_id for r in near.one_of_each(docs_of(spark, texts), split=split).collect()}
+    want = set(exact_groups(texts))
+    assert len(want) < len(texts) - 50 and kept == want
+
+
+def test_parity_prints_bound_the_difference():
+    rng = np.random.default_rng(48)
+    for n, gone, new in [(1, 0, 1), (30, 3, 2), (30, 30, 30), (400, 10, 70), (5000, 300, 10)]:
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate((a[gone:], rng.integers(0, 1 << 63, new, dtype=np.uint64))))
+        x, y = near.parity_print(a), near.parity_print(b)
+        while len(x) != len(y):
+            x, y = (x[: len(x) // 2] ^ x[len(x) // 2 :], y) if len(x) > len(y) else (x, y[: len(y) // 2] ^ y[len(y) // 2 :])
+        differ = len(np.setxor1d(a, b))
+        bits = int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
+        assert bits <= differ and (differ - bits) % 2 == 0
+
+
+@pytest.mark.parametrize("size", [3, 4, 5])
+def test_index_keys_of_any_size_give_the_same_links(spark, size):
+    rng = np.random.default_rng(size)
+    base = rng.integers(0, 1 << 63, 8, dtype=np.uint64)
+    prints = sorted({int(b) ^ sum(1 << int(x) for x in set(rng.integers(0, 63, 3))) for b in base for _ in range(25)})
+    frame = spark.createDataFrame(list(enumerate(prints)), "id long, fp long")
+    got = sorted(tuple(r) for r in simhash.links(frame, 3, size).collect())
+    assert got == [(i, j) for i, p in enumerate(prints) for j, q in enumerate(prints) if i < j and (p ^ q).bit_count() <= 3]
+    assert simhash.key_size(1000, 3) == 3 and simhash.key_size(10**9, 3) == 5
+
+
+def test_near_duplicates_with_odd_columns(spark):
+    docs = docs_of(spark, ["a b c d e f g"] * 2 + ODD, [5, 3, *range(10, 10 + len(ODD))]).withColumn("copy", F.lit(1)).withColumn("VID", F.lit(2)).withColumn("sid", F.lit(3))
+    docs = docs.unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    got = near.one_of_each(docs)
+    ids = sorted((r.doc_id for r in got.collect()), key=lambda x: (x is None, x))
+    assert got.columns == docs.columns and ids[0] == 3 and 5 not in ids and ids[-1] is None
+    assert near.one_of_each(docs_of(spark, [])).collect() == []
 
 
 def test_simhash_stage_keeps_one_of_each(spark):
     texts = ["one two three four five six", "One two three four five six", None, "", "another text altogether with words"]
-    kept = simhash.one_of_each(docs_of(spark, texts))
+    kept = near.one_of_each(docs_of(spark, texts))
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 4]
     assert kept.columns == docs_of(spark, []).columns
     assert simhash.components(docs_of(spark, [])).collect() == []
