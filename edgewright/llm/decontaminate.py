@@ -1,4 +1,12 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: rare word-pair seeds, then Smith-Waterman alignment.
+
+With 2 for a match and -1 for anything else, an alignment of score 2 t L with
+an item of L words has at least t L matched words. If at most L / 3 words are
+changed, lost or put in between, then t L - L / 6 - 1 matched pairs of words
+stand side by side, so one of the item's rarest pairs is among them: all but so
+many less one. Those pairs are the seeds; how often the corpus has them only
+orders them, so none is too frequent to be sought.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import written
+from .work import small, unused, written
 
 #: ASCII punctuation and controls to blanks.
 TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -55,44 +63,93 @@ def align(a: np.ndarray, b: np.ndarray, match: int = 2, mismatch: int = -1, gap:
 
 
 class Items:
-    """A block of benchmark items, by place in the block: vocabulary, word numbers, seeds."""
+    """A block of benchmark items, by place in the block: vocabulary, word numbers, pairs of words."""
 
-    def __init__(self, rows: list[tuple[int, bytes]], n: int):
+    def __init__(self, rows: list[tuple[int, bytes]], threshold: float, short: int):
         self.vocab: dict[bytes, int] = {}
-        self.ids: dict[int, np.ndarray] = {}
-        seeds, of = [], []
-        for item, (_, text) in enumerate(rows):
-            words = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)]
-            self.ids[item] = np.array(words, np.uint64)
-            keys = np.unique(gram_keys(self.ids[item], n))
-            seeds.append(keys)
-            of.append(np.full(len(keys), item, np.int64))
-        keys, items = np.concatenate([*seeds, np.empty(0, np.uint64)]).astype(np.uint64), np.concatenate([*of, np.empty(0, np.int64)]).astype(np.int64)
+        ids = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)], np.uint64) for _, text in rows]
+        self.ids, self.sizes = ids, np.array([len(x) for x in ids])
+        self.flat, self.starts = np.concatenate(ids).astype(np.int64), np.cumsum(self.sizes) - self.sizes
+        #: Items of few words are sought whole.
+        self.threshold = np.where(self.sizes < short, 1.0, threshold)
+        self.need = np.ceil(self.threshold * self.sizes - 1e-9).astype(np.int64)
+        #: An alignment's most words in the text.
+        self.reach = np.ceil(self.sizes * (3 - 2 * self.threshold)).astype(np.int64)
+        self.pairs = [gram_keys(x, min(2, len(x))) for x in ids]
+
+    def index(self, counts: dict[int, int]) -> None:
+        """Seeds: of each item's pairs the rarest, as ``counts`` (0 if absent) has them, so many that one is surely shared."""
+        keys, items = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for item, (pairs, n, t) in enumerate(zip(self.pairs, self.sizes, self.threshold)):
+            shared = max(1, int(np.floor(t * n - n / 6 - 1 + 1e-9)))
+            often = np.array([counts.get(k, 0) for k in pairs.tolist()])
+            seeds = np.unique(pairs[np.lexsort((pairs, often))[: len(pairs) - shared + 1]])
+            keys.append(seeds)
+            items.append(np.full(len(seeds), item, np.int64))
+        keys, items = np.concatenate(keys).astype(np.uint64), np.concatenate(items)
         order = np.argsort(keys, kind="stable")
         self.keys, self.items = keys[order], items[order]
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(self.keys >> np.uint64(40)) & np.uint64((1 << 20) - 1)] = True
+        self.bits = self.bits_of(self.keys)
+
+    @staticmethod
+    def bits_of(keys: np.ndarray) -> np.ndarray:
+        bits = np.zeros(1 << 20, bool)
+        bits[keys >> np.uint64(44)] = True
+        return bits
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         get = self.vocab.get
         return np.array([get(w, 0) for w in words], np.uint64)
 
-    def hits(self, keys: np.ndarray) -> np.ndarray:
-        """Positions whose key is a seed."""
-        at = np.flatnonzero(self.bits[(keys >> np.uint64(40)) & np.uint64((1 << 20) - 1)] & (keys > 0))
-        if not len(at) or not len(self.keys):
-            return at[:0]
-        where = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
-        return at[self.keys[where] == keys[at]]
-
-
-def _blocks(items: DataFrame, n: int) -> Iterator[list[tuple[int, bytes]]]:
-    """Items of n words or more, by blocks of BLOCK_WORDS words, in order of id."""
+    def text_keys(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and keys of known pairs of words, and of single words where items of one word are sought."""
+        keys = gram_keys(ids, 2)
+        at = np.flatnonzero(keys)
+        if self.sizes.min() > 1:
+            return at, keys[at]
+        single = np.flatnonzero(ids)
+        return np.concatenate((at, single)), np.concatenate((keys[at], gram_keys(ids[single], 1)))
+
+    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, item) of each seed in a text."""
+        at, keys = self.text_keys(ids)
+        some = self.bits[keys >> np.uint64(44)]
+        at, keys = at[some], keys[some]
+        low, high = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+        many = high - low
+        which = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        return np.repeat(at, many), self.items[which]
+
+    def passages(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(item, words around its seeds) where the text has enough of the item's words."""
+        at, items = self.hits(ids)
+        if not len(at):
+            return
+        there = np.zeros(len(self.vocab) + 1, bool)
+        there[ids.astype(np.int64)] = True
+        found = np.unique(items)
+        sizes = self.sizes[found]
+        ends = np.cumsum(sizes)
+        words = self.flat[np.repeat(self.starts[found] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        found = found[np.add.reduceat(there[words], ends - sizes, dtype=np.int64) >= self.need[found]]
+        for item in found.tolist():
+            own = np.sort(at[items == item])
+            reach = self.reach[item]
+            mine = np.zeros(len(self.vocab) + 1, bool)
+            mine[self.ids[item].astype(np.int64)] = True
+            for part in np.split(own, np.flatnonzero(np.diff(own) > reach) + 1):
+                passage = ids[max(0, part[0] - reach) : part[-1] + 2 + reach]
+                if mine[passage.astype(np.int64)].sum() >= self.need[item]:
+                    yield item, passage
+
+
+def _blocks(items: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
+    """Items that have a word, by blocks of BLOCK_WORDS words, in order of id."""
     block, size = [], 0
     rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("binary")).where("item_id IS NOT NULL AND text IS NOT NULL").dropDuplicates().orderBy("item_id", "text")
     for item, text in rows.toLocalIterator():
         k = len(words_of(bytes(text)))
-        if k >= n:
+        if k:
             if block and size + k > BLOCK_WORDS:
                 yield block
                 block, size = [], 0
@@ -102,80 +159,93 @@ def _blocks(items: DataFrame, n: int) -> Iterator[list[tuple[int, bytes]]]:
         yield block
 
 
-def _block_matches(docs: DataFrame, rows: list[tuple[int, bytes]], n: int, threshold: float) -> DataFrame:
+def pair_counts(docs: DataFrame, block: Items) -> dict[int, int]:
+    """How many documents hold each pair of words of the block; as many rows as the block has pairs."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(rows)
-    held: dict[str, Items] = {}
+    shared = spark.sparkContext.broadcast((block.vocab, np.unique(np.concatenate(block.pairs)), block.sizes))
 
-    def items() -> Items:
-        if "items" not in held:
-            held["items"] = Items(shared.value, n)
-        return held["items"]
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, keys, _ = shared.value
+        bits, get, total = Items.bits_of(keys), vocab.get, np.zeros(len(keys), np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                own = np.unique(gram_keys(np.array([get(w, 0) for w in words_of(text.as_py())], np.uint64), 2))
+                own = own[bits[own >> np.uint64(44)]]
+                where = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                total[where[keys[where] == own]] += 1
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(total[some])], ["key", "n"])
+
+    found = docs.select(F.col("text").cast("binary")).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    shared.destroy()
+    return dict(zip(found["key"].to_numpy(np.int64).view(np.uint64).tolist(), found["n"].tolist()))
+
+
+def _block_matches(docs: DataFrame, rows: list[tuple[int, bytes]], threshold: float, short: int) -> DataFrame:
+    spark = docs.sparkSession
+    block = Items(rows, threshold, short)
+    block.index(pair_counts(docs, block))
+    shared, ids_of = spark.sparkContext.broadcast(block), [x for x, _ in rows]
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = items()
-        reach = max(len(x) for x in block.ids.values())
+        held = shared.value
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = block.numbers(words_of(text.as_py()))
-                keys = gram_keys(ids, n)
-                at = block.hits(keys)
-                if not len(at):
-                    continue
-                for part in np.split(at, np.flatnonzero(np.diff(at) > reach) + 1):
-                    low, high = max(0, part[0] - reach), min(len(ids), part[-1] + n + reach)
-                    out.append((doc_id, ids[low:high].astype(np.int32).tobytes(), np.unique(keys[part]).view(np.int64).tolist()))
+                out += [(doc_id, item, passage.astype(np.int32).tobytes()) for item, passage in held.passages(held.numbers(words_of(text.as_py())))]
             columns = list(zip(*out)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.list_(pa.int64())))], ["doc_id", "passage", "seeds"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary()))], ["doc_id", "item", "passage"])
 
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(seek, "doc_id long, passage binary, seeds array<long>")
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(seek, "doc_id long, item int, passage binary")
     found = written(found.withColumn("key", F.sha2("passage", 256)), "passages")
 
-    block = Items(rows, n)
-    seed_rows = list(zip(block.keys.view(np.int64).tolist(), block.items.tolist()))
-    seeds = spark.createDataFrame(seed_rows, "seed long, item int")
-    # equal passages are one; a passage meets each item of a seed once, however many documents hold that seed
-    spread = found.select("key", F.explode("seeds").alias("seed")).distinct()
-    pairs = spread.join(F.broadcast(seeds), "seed").select("key", "item").distinct()
-
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = items()
+        held = shared.value
         for batch in batches:
-            keys, places, scores = batch.column(0), batch.column(1).to_pylist(), []
+            places, scores = batch.column(1).to_pylist(), []
             for item, passage in zip(places, batch.column(2)):
-                ids, words = block.ids[item], np.frombuffer(passage.as_py(), np.int32).astype(np.uint64)
-                # the item's words in the passage bound its matches, so the score
-                most = np.isin(ids, words).sum() / len(ids)
-                scores.append(align(ids, words)[0] / (2 * len(ids)) if most >= threshold else float(most))
-            yield pa.RecordBatch.from_arrays([keys, pa.array([shared.value[x][0] for x in places], pa.int64()), pa.array(scores, pa.float64())], ["key", "item_id", "score"])
-
-    both = pairs.join(found.select("key", "passage").distinct(), "key").select("key", "item", "passage")
-    scored = both.mapInArrow(score, "key string, item_id long, score double").where(F.col("score") >= threshold)
-    return found.select("doc_id", "key").join(scored, "key").groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
+                ids, words = held.ids[item], np.frombuffer(passage.as_py(), np.int32).astype(np.uint64)
+                scores.append(align(ids, words)[0] / (2 * len(ids)))
+            arrays = [batch.column(0), batch.column(1), pa.array([ids_of[x] for x in places], pa.int64()), pa.array(scores, pa.float64()), pa.array(held.threshold[places], pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "item", "item_id", "score", "least"])
+
+    # equal passages are aligned once, however many documents hold them
+    once = found.groupBy("key", "item").agg(F.first("passage").alias("passage")).repartition("key", "item")
+    scored = once.mapInArrow(score, "key string, item int, item_id long, score double, least double").where("score >= least - 1e-9")
+    out = found.select("doc_id", "key", "item").join(scored, ["key", "item"]).groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
+    out = written(out, "matches")
+    shared.destroy()
+    return out
 
 
-def matches(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.5) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.5, short: int = 5) -> DataFrame:
     """``doc_id, item_id, score`` for each document that holds a copy of an item.
 
-    Seeds are the item's n-grams of words (case and ASCII punctuation don't
-    count); every passage that holds one is aligned with the item, however many
-    documents hold that seed. ``score``
-    is the alignment's share of the item's own score: 1 for a whole copy, less
-    for edited ones. Items of fewer than n words aren't sought. Null and empty
-    texts hold nothing; repeated rows give one match; null doc_ids are matched
-    as one document; an item_id with several texts is sought by each. Without items or documents the result is empty.
+    ``score`` is the alignment's share of the item's own score: 1 for a whole
+    copy, less for edited ones; case and ASCII punctuation don't count. Scores
+    of ``threshold`` or more are given, for items of fewer than ``short`` words
+    whole copies alone. Every passage around a seed (a rare pair of the item's
+    words, by itself for items of one word) that has enough of the item's words is aligned,
+    however many documents hold the seed. Null and empty texts hold nothing,
+    items without words aren't sought; repeated rows give one match; null
+    doc_ids are matched as one document; an item_id with several texts is
+    sought by each. Without items or documents the result is empty.
     """
     out = None
-    for rows in _blocks(items, n):
-        part = written(_block_matches(docs, rows, n, threshold), "matches")
+    for rows in _blocks(items):
+        part = _block_matches(docs, rows, threshold, short)
         out = part if out is None else out.unionByName(part)
     if out is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double")
-    return out
+    return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
+
 
+def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.5, short: int = 5) -> DataFrame:
+    """The rows of ``docs`` that hold no item by ``matches``, unchanged.
 
-def clean(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that hold no item, unchanged. Rows with a null doc_id stay."""
-    held = matches(docs, items, n, threshold).select(F.col("doc_id").alias("__held")).distinct()
-    return docs.join(held, F.col("doc_id").cast("long") == F.col("__held"), "left_anti")
+    Rows with a null doc_id stay; rows that repeat a doc_id share its fate;
+    null and empty texts stay. Without items or documents nothing changes.
+    """
+    key = unused("held", docs)
+    held = written(matches(docs, items, threshold, short).where("doc_id IS NOT NULL").select(F.col("doc_id").alias(key)).distinct(), "held")
+    return docs.join(small(held), F.col("doc_id").cast("long") == F.col(key), "left_anti")

@@ -422,13 +422,35 @@ def test_secrets_match_brute_force(spark, corpus):
     assert secrets.scanned(docs_of(spark, [])).collect() == []
 
 
-def test_secret_network_on_held_out_findings():
-    net = secrets.train_network(*secrets.labelled_findings(1500, 3))
-    x, y = secrets.labelled_findings(600, 99)
-    yes = net.probability(x) >= net.threshold
-    assert yes[y == 1].mean() >= 0.9 and yes[y == 0].mean() <= 0.05
+def test_secret_network_on_held_out_findings(spark):
+    """Drawn findings of another seed, and findings of documents that training did not see: their patterns are not the generator's."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    odd, even = docs.where("doc_id % 2 = 1"), docs.where("doc_id % 2 = 0")
+    net = secrets.trained(odd)
+    x, y = secrets.drawn_findings(600, 99)
+    p, y = net.probability(secrets.encode(x)), np.array(y)
+    assert (p >= net.threshold)[y == 1].mean() >= 0.9 and (p >= net.threshold)[y == 0].mean() <= 0.05
+    x, y = secrets.found_in(even, 10**6, 5000)
+    p, y = net.probability(secrets.encode(x)), np.array(y)
+    yes = p >= net.threshold
+    assert y.sum() > 5 and yes[y == 1].mean() >= 0.9 and yes[y == 0].mean() <= 0.05
+    assert abs(p.mean() - y.mean()) < 0.15  # calibrated
     base, more = secrets.spans("call it with auth: ghp_A8xk29ZqLmN0pQ7rT5vW3yB1cD4eF6gH8jK2 please", net)
     assert not base and len(more) == 1
+    path = "/".join(["quelo", "tionan", "erschaft"] * 4)  # a key beyond the first window of its candidate
+    base, more = secrets.spans(f"look at {path}/ghp_A8xk29ZqLmN0pQ7rT5vW3yB1cD4eF6gH8jK2 there", net)
+    assert not base and len(more) == 1
+    assert secrets.spans(f"look at {path}/quelo there", net) == ([], [])
+
+
+def test_secret_candidates_are_whole_and_apart_from_base_spans():
+    text = "see (https://a.b.c/dd/ee/ff), password=0123456789abcdef0zz!and-more-of-it " + "x" * 500 + " AKIA" + "A" * 400
+    base = secrets.base_spans(text)
+    got = secrets.candidates(text, base)
+    assert [text[a:b] for a, b in got] == ["https://a.b.c/dd/ee/ff", "and-more-of-it", "x" * 500]
+    windows = secrets.windows_of(text, *got[2])
+    assert all(len(w) == secrets.WIDTH + 2 * secrets.AROUND for w in windows) and len(windows) == 20
+    assert secrets.windows_of("ab", 0, 2)[0].strip("\0") == "ab"
 
 
 def test_redaction(spark):
@@ -475,6 +497,40 @@ def test_decontamination_finds_copies_and_edits(spark, corpus):
     assert decontaminate.matches(frame, bench.limit(0)).collect() == []
 
 
+def test_decontamination_recall_against_all_pairs(spark, corpus):
+    """Scores against the alignment of every document with every item, with items of four words and of which each third to fifth word is another."""
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect()][:60]
+    clean = [t for _, t in corpus][:70]
+    items += [(901, "four little words here"), (902, "again")]
+    edited = []
+    whole = min(45, len(items) - 2)
+    for k, (_, t) in enumerate(items[:whole]):
+        w = t.split()
+        step = 3 + k % 3
+        w[step - 1 :: step] = [f"new{k}x{i}" for i in range(len(w[step - 1 :: step]))]
+        edited.append(clean[k] + " " + " ".join(w) + " " + clean[k + 1])
+    docs = edited + clean + ["so Four, little words here!", "four little words there", "and Again"]
+    vocab = {}
+    numbers = [np.array([vocab.setdefault(w, len(vocab) + 1) for w in decontaminate.words_of(t.encode())], np.uint64) for t in docs + [t for _, t in items]]
+    want = {}
+    for (item, _), ids in zip(items, numbers[len(docs) :]):
+        for d, words in enumerate(numbers[: len(docs)]):
+            if np.isin(ids, words).sum() >= len(ids) / 2:
+                score = decontaminate.align(ids, words)[0] / (2 * len(ids))
+                if score >= (0.5 if len(ids) >= 5 else 1):
+                    want[d, item] = score
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.matches(docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got.items() <= want.items()
+    assert {(k, items[k][0]) for k in range(whole) if k % 3} <= got.keys()  # each fourth or fifth word is another
+    assert len(got) >= 0.97 * len(want) and (len(docs) - 3, 901) in got and (len(docs) - 2, 901) not in got and (len(docs) - 1, 902) in got
+
+
+def test_clean_with_a_clashing_column(spark):
+    docs = docs_of(spark, ["in front one two three four five six behind", None, ""]).withColumn("held", F.lit(1)).withColumn("item", F.lit(2))
+    got = decontaminate.clean(docs, spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == [1, 2] and got.columns == docs.columns
+
+
 def test_decontamination_in_blocks_gives_the_same(spark, monkeypatch):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = sorted(map(tuple, decontaminate.matches(docs, bench).collect()))
