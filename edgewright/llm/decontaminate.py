@@ -62,6 +62,12 @@ def align(a: np.ndarray, b: np.ndarray, match: int = 2, mismatch: int = -1, gap:
     return best, end
 
 
+def best_run(matched: np.ndarray) -> int:
+    """The greatest sum of a stretch, of 2 for each word that has a match and -1 for each other."""
+    total = np.cumsum(np.concatenate(([0], np.where(matched, 2, -1))))
+    return int((total - np.minimum.accumulate(total)).max())
+
+
 class Items:
     """A block of benchmark items, by place in the block: vocabulary, word numbers, pairs of words."""
 
@@ -136,10 +142,14 @@ class Items:
             own = np.sort(at[items == item])
             reach = self.reach[item]
             mine = np.zeros(len(self.vocab) + 1, bool)
-            mine[self.ids[item].astype(np.int64)] = True
+            words = self.ids[item].astype(np.int64)
+            mine[words] = True
             for part in np.split(own, np.flatnonzero(np.diff(own) > reach) + 1):
-                passage = ids[max(0, part[0] - reach) : part[-1] + 2 + reach]
-                if mine[passage.astype(np.int64)].sum() >= self.need[item]:
+                passage = ids[max(0, part[0] - reach) : part[-1] + 2 + reach].astype(np.int64)
+                there = np.zeros(len(self.vocab) + 1, bool)
+                there[passage] = True
+                # no alignment scores more than one that may match any word of the other side
+                if min(best_run(there[words]), best_run(mine[passage])) >= 2 * self.threshold[item] * len(words) - 1e-9:
                     yield item, passage
 
 
