@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host and path prefix)
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+FOLDS = 5
 FEATURES = ["length", "host_length", "path_length", "depth", "labels", "hyphens", "digit_ratio", "host_digit_ratio", "entropy", "params", "suffix_rate", "suffix_rows"]
 
 
@@ -79,7 +80,13 @@ def train(labelled: DataFrame, trees: int = 12, depth: int = 4) -> tuple[GBTClas
     found = rows.groupBy("suffix").agg(F.sum("label").alias("blocks"), F.count("*").alias("rows"))
     found = found.select("suffix", ((F.col("blocks") + 10 * prior) / (F.col("rows") + 10)).alias("suffix_rate"), F.log1p("rows").alias("suffix_rows"))
     stats = spark.createDataFrame(found.collect(), found.schema)  # at most as many rows as labels, which are bounded
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_suffix(rows, stats, prior)).select("features", "label").coalesce(1)
+    # a url must not see its own label: in training, a suffix has the statistics of the other folds
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("url", F.lit(11)), F.lit(FOLDS)))
+    whole = rows.groupBy("suffix").agg(F.sum("label").alias("b"), F.count("*").alias("k"))
+    own = rows.groupBy("suffix", "fold").agg(F.sum("label").alias("own_b"), F.count("*").alias("own_k"))
+    rest = own.join(whole, "suffix").withColumns({"b": F.col("b") - F.col("own_b"), "k": F.col("k") - F.col("own_k")})
+    rest = rest.select("suffix", "fold", ((F.col("b") + 10 * prior) / (F.col("k") + 10)).alias("suffix_rate"), F.log1p("k").alias("suffix_rows"))
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows.join(rest, ["suffix", "fold"])).select("features", "label").coalesce(1)
     model = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, seed=5, labelCol="label", featuresCol="features").fit(vectors)
     return model, stats, prior
 
@@ -92,7 +99,8 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]] | None = None, labelle
     ``labelled(url, label)`` (1: block), or else from the urls that rules
     decide, at most ``max_labels`` of them by hash. Where only one label or
     none is known, other urls are allowed (score 0). Null urls have empty host
-    and path; equal urls get equal rows.
+    and path; equal urls get equal rows, repeated rows repeat; an empty table
+    gives an empty one.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
