@@ -17,21 +17,26 @@ TINY = 1e-300
 _LGAMMA = np.vectorize(math.lgamma, otypes=[float])
 
 
+def _steps(size: np.ndarray) -> int:
+    """Terms that a series needs at most: near its mode some ten times the square root of the degrees of freedom."""
+    return 500 + int(20 * math.sqrt(max(1.0, float(np.max(np.where(np.isfinite(size), size, 1), initial=1)))))
+
+
 def _fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The continued fraction of the incomplete beta function (modified Lentz)."""
+    """The continued fraction of the incomplete beta function (modified Lentz), for x below (a + 1) / (a + b + 2)."""
     c, d = np.ones_like(x), 1 - (a + b) * x / (a + 1)
     d = 1 / np.where(np.abs(d) < TINY, TINY, d)
     out = d.copy()
-    for m in range(1, 400):
+    for m in range(1, _steps(a + b)):
         for even in (True, False):
             step = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if even else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
             d, c = 1 + step * d, 1 + step / c
             d = 1 / np.where(np.abs(d) < TINY, TINY, d)
             c = np.where(np.abs(c) < TINY, TINY, c)
             out = out * d * c
-        if np.all(np.abs(d * c - 1) < 1e-15):
-            break
-    return out
+        if not np.any(np.abs(d * c - 1) >= 1e-14):
+            return out
+    raise ArithmeticError("incomplete beta function: no convergence")
 
 
 def beta_inc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -40,9 +45,10 @@ def beta_inc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     inner = np.clip(x, 1e-300, 1 - 1e-16)
     front = np.exp(_LGAMMA(a + b) - _LGAMMA(a) - _LGAMMA(b) + a * np.log(inner) + b * np.log1p(-inner))
     low = inner < (a + 1) / (a + b + 2)
-    y = np.where(low, front * _fraction(np.where(low, a, b), np.where(low, b, a), np.where(low, inner, 1 - inner)) / np.where(low, a, b), 0)
-    high = front * _fraction(b, a, 1 - inner) / b
-    return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, np.where(low, y, 1 - high)))
+    # where x is above, the other tail converges
+    near, far = np.where(low, a, b), np.where(low, b, a)
+    part = front * _fraction(near, far, np.where(low, inner, 1 - inner)) / near
+    return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, np.where(low, part, 1 - part)))
 
 
 def gamma_upper(a: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -50,24 +56,33 @@ def gamma_upper(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     a, x = (np.asarray(v, float) for v in np.broadcast_arrays(a, x))
     inner = np.maximum(x, 1e-300)
     front = np.exp(a * np.log(inner) - inner - _LGAMMA(a))
-    term, total = 1 / a, 1 / a
-    for n in range(1, 500):
-        term = term * inner / (a + n)
+    low = inner < a + 1
+    return np.where(x <= 0, 1.0, np.where(low, 1 - front * _series(a, np.where(low, inner, a)), front * _upper(a, np.where(low, a + 1, inner))))
+
+
+def _series(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    term = total = 1 / a
+    for n in range(1, _steps(a)):
+        term = term * x / (a + n)
         total = total + term
-        if np.all(np.abs(term) <= np.abs(total) * 1e-16):
-            break
-    b = inner + 1 - a
-    c, d = np.full_like(inner, 1 / TINY), 1 / np.where(np.abs(b) < TINY, TINY, b)
+        if not np.any(np.abs(term) > np.abs(total) * 1e-16):
+            return total
+    raise ArithmeticError("incomplete gamma function: no convergence")
+
+
+def _upper(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    b = x + 1 - a
+    c, d = np.full_like(x, 1 / TINY), 1 / np.where(np.abs(b) < TINY, TINY, b)
     h = d.copy()
-    for n in range(1, 500):
+    for n in range(1, _steps(a)):
         an = -n * (n - a)
         b = b + 2
         d, c = an * d + b, b + an / c
         d, c = 1 / np.where(np.abs(d) < TINY, TINY, d), np.where(np.abs(c) < TINY, TINY, c)
         h = h * d * c
-        if np.all(np.abs(d * c - 1) < 1e-15):
-            break
-    return np.where(x <= 0, 1.0, np.where(x < a + 1, 1 - front * total, front * h))
+        if not np.any(np.abs(d * c - 1) >= 1e-14):
+            return h
+    raise ArithmeticError("incomplete gamma function: no convergence")
 
 
 def t_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:

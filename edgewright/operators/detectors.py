@@ -13,6 +13,8 @@ MODES = [
     "as-is-single-value", "arithmetic-mean", "geometric-mean", "max", "difference-of-means", "fold-change-of-mean",
     "significant-change-of-mean", "significant-change-of-mean-paired", "signed-p-values", "correlation",
 ]
+#: Types whose values are categories: their numbers have no order that a t-test could use.
+CATEGORICAL = ["mutation", "dna_cna"]
 P_MODES = {"significant-change-of-mean", "significant-change-of-mean-paired", "signed-p-values"}
 
 
@@ -202,9 +204,22 @@ def summarize(values: DataFrame, mode: str, min_sample: int = 0) -> DataFrame:
     return out.select("row_id", V, p.alias("p"))
 
 
+def _by_kind(rows: DataFrame, values: DataFrame, mode: str, min_sample: int) -> DataFrame:
+    """``summarize``, but with the tests of categories for rows of CATEGORICAL types where changes are tested."""
+    if not mode.startswith("significant-change"):
+        return summarize(values, mode, min_sample)
+    kinds = rows.select("row_id", F.col("data_type").isin(CATEGORICAL).alias("__category"))
+    typed = values.join(kinds, "row_id")
+    numbers, categories = (typed.where(c).drop("__category") for c in (~F.col("__category"), F.col("__category")))
+    return summarize(numbers, mode, min_sample).unionByName(categorical_change(categories, min_sample=min_sample).select("row_id", V, "p"))
+
+
 def changes(rows: DataFrame, values: DataFrame, mode: str, thresholds: dict[str, float], min_sample: int = 0, activity_threshold: float = 0.1) -> DataFrame:
-    """row_id, value, p, sign. Types without a threshold have sign 0; activity rows go by their first value at 0.1."""
-    measured = summarize(values, mode, min_sample)
+    """row_id, value, p, sign. Types without a threshold have sign 0; activity rows go by their first value at 0.1.
+
+    Tests of change take rows of CATEGORICAL types by their categories.
+    """
+    measured = _by_kind(rows, values, mode, min_sample)
     limits = {**thresholds, "activity": activity_threshold}
     pairs = [F.lit(x) for k, v in limits.items() for x in (k, float(v))]
     kept = rows.select("row_id", "data_type").withColumn("limit", F.create_map(*pairs)[F.col("data_type")])

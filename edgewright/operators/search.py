@@ -105,9 +105,12 @@ def unknown_effects(priors: DataFrame, rows: DataFrame, changes: DataFrame, rule
 def result_rows(found: DataFrame, by_p: bool = True) -> DataFrame:
     """Pairs in report order: relations by the best score of their pairs, then pairs by score, ties by name.
 
-    A pair's score is -max(p) of its ends (a missing p counts as 0), or else the smaller size of their values.
+    A pair's score is -p of its correlation if it has one, or -max(p) of its
+    ends (a missing p counts as 0), or else the smaller size of their values.
     """
-    if by_p:
+    if "corr_p" in found.columns:
+        score = -F.col("corr_p")
+    elif by_p:
         score = -F.greatest(F.coalesce("src_p", F.lit(0.0)), F.coalesce("tgt_p", F.lit(0.0)))
     else:
         score = F.least(F.abs("src_value"), F.abs("tgt_value"))
@@ -125,6 +128,13 @@ def differentially_expressed(rows: DataFrame, changes: DataFrame) -> DataFrame:
     return moved.select(F.explode("genes").alias("gene")).distinct()
 
 
+def with_unique_ids(rows: DataFrame) -> DataFrame:
+    """``rows``, or an error if a gene has the same row_id twice."""
+    if twice := duplicate_ids(rows).orderBy("gene", "row_id").take(3):
+        raise ValueError("ids that occur twice under a gene: " + ", ".join(f"{r.gene} {r.row_id}" for r in twice))
+    return rows
+
+
 def duplicate_ids(rows: DataFrame) -> DataFrame:
     """Genes under which one row_id occurs twice."""
     return rows.select(F.explode(F.array_distinct("genes")).alias("gene"), "row_id").groupBy("gene", "row_id").agg(F.count("*").alias("n")).where("n > 1")

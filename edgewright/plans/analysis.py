@@ -15,6 +15,10 @@ from ..operators import detectors, fdr, pairwise, priors, search, significance
 from ..sources import params, sinks, tables
 
 
+#: Known parameters without an implementation: an error rather than another result than asked for.
+NOT_DONE = ["kinase-library", "randomized-matrix-directory-for-missing-proteomic-data", "show-all-genes-with-proteomic-data", "show-insignificant-data", "hide-data-not-part-of-causal-relations"]
+
+
 @dataclass
 class Analysis:
     """Inputs and results of one run; frames are lazy."""
@@ -51,8 +55,10 @@ def groups_of(config: params.Config) -> list[tuple[str, str]]:
 
 
 def load(spark: SparkSession, base: str, config: params.Config) -> Analysis:
-    """Read and combine the inputs that the parameters name."""
+    """Read and combine the inputs that the parameters name. Missing files of a TCGA directory are skipped."""
     get = config.get
+    if refused := [k for k in NOT_DONE if get(k)]:
+        raise ValueError(f"parameters that nothing here heeds: {', '.join(refused)}")
     columns = groups_of(config)
     groups = [g for _, g in columns]
     ids = get("id-column", "ID")
@@ -61,25 +67,30 @@ def load(spark: SparkSession, base: str, config: params.Config) -> Analysis:
     rows = tables.annotation(platform, ids, get("symbols-column", "Symbols"), get("sites-column", "Sites"), get("effect-column", "Effect"), get("feature-column"))
     values = tables.joined_values(rows, tables.values(values_file, ids, columns), groups, get("default-missing-value"), get("do-log-transform", False))
     for i, name in enumerate(get("proteomics-repeat-values-file", []), 1):
-        again = tables.values(tables.tsv(spark, _path(base, name)), ids, columns, i)
-        values = values.unionByName(tables.joined_values(rows, again, groups, None, get("do-log-transform", False)).where(F.col("replicate") == i))
+        repeat = tables.tsv(spark, _path(base, name))
+        # a values file without symbols repeats the platform's rows alone
+        named = tables.annotation(repeat, ids, get("symbols-column", "Symbols"), get("sites-column", "Sites"), get("effect-column", "Effect")) if get("symbols-column", "Symbols") in repeat.columns else rows
+        rows, values = tables.with_repeats(rows, values, named, tables.values(repeat, ids, columns, i), get("do-log-transform", False))
     for key, kind in (("acetyl-proteomic-file", "acetylprotein"), ("methyl-proteomic-file", "methylprotein")):
         if get(key):
             more = tables.tsv(spark, _path(base, get(key)))
             extra = tables.annotation(more, ids, get("symbols-column", "Symbols"), get("sites-column", "Sites"), get("effect-column", "Effect")).withColumn("data_type", F.lit(kind))
             rows = rows.unionByName(extra)
             values = values.unionByName(tables.values(more, ids, columns))
-    for key, data_type in (("rna-expression-file", "rna"),):
-        if get(key):
-            r, v = tables.rna(spark, _path(base, get(key)), columns)
-            rows, values = rows.unionByName(r), values.unionByName(v)
+    net = relations_of(spark, base, config)
+    if get("rna-expression-file"):
+        genes = net.select(F.explode(F.array("source", "target")).alias("gene")).distinct()
+        r, v = tables.rna(spark, _path(base, get("rna-expression-file")), columns, genes)
+        rows, values = rows.unionByName(r), values.unionByName(v)
     if get("tcga-directory"):
-        for name, suffix, kind in (("expression.txt", "-rna", "rna"), ("copynumber.txt", "-cna", "dna_cna")):
-            r, v = tables.matrix(tables.tsv(spark, _path(base, f"{get('tcga-directory')}/{name}")), columns, suffix, kind)
-            rows, values = rows.unionByName(r), values.unionByName(v)
-        if get("mutation-effect-file"):
+        folder = lambda name: _path(base, f"{get('tcga-directory')}/{name}")
+        for name, suffix, kind in (("expression.txt", "-rna", "rna"), ("copynumber.txt", "-cna", "dna_cna"), ("rppa.txt", "-rppa", "protein")):
+            if (table := tables.tsv_or_none(spark, folder(name))) is not None:
+                r, v = tables.matrix(table, columns, suffix, kind)
+                rows, values = rows.unionByName(r), values.unionByName(v)
+        if get("mutation-effect-file") and (maf := tables.tsv_or_none(spark, folder("mutation.maf"))) is not None:
             effects = tables.mutation_effects(spark, _path(base, get("mutation-effect-file")))
-            r, v = tables.mutations(tables.tsv(spark, _path(base, f"{get('tcga-directory')}/mutation.maf")), effects, columns)
+            r, v = tables.mutations(maf, effects, columns)
             rows, values = rows.unionByName(r), values.unionByName(v)
     active = []
     if get("gene-activity"):
@@ -92,6 +103,12 @@ def load(spark: SparkSession, base: str, config: params.Config) -> Analysis:
     if get("custom-site-effects-file"):
         rows = tables.fill_effects(rows, tables.site_effects(spark, _path(base, get("custom-site-effects-file"))), get("site-effect-proximity-threshold", 0))
     rows = detectors.stdev_filter(rows, values, get("stdev-threshold-for-data", {}))
+    return Analysis(config, search.with_unique_ids(rows), values, net)
+
+
+def relations_of(spark: SparkSession, base: str, config: params.Config) -> DataFrame:
+    """The prior relations that the parameters name, filtered."""
+    get = config.get
     names = get("built-in-network-resource-selection", [])
     if get("custom-causal-priors-file"):
         net = tables.priors(spark, _path(base, get("custom-causal-priors-file")))
@@ -104,8 +121,7 @@ def load(spark: SparkSession, base: str, config: params.Config) -> Analysis:
     if get("hgnc-file"):
         known = tables.tsv(spark, _path(base, get("hgnc-file")))
         net = priors.known_symbols(net, known.select(F.col(f"`{known.columns[0]}`").alias("symbol")))
-    net = priors.gene_focus(priors.relation_filter(net, get("relation-filter-type", "no-filter")), get("gene-focus", []))
-    return Analysis(config, rows, values, net)
+    return priors.gene_focus(priors.relation_filter(net, get("relation-filter-type", "no-filter")), get("gene-focus", []))
 
 
 def correlation_limits(config: params.Config) -> pairwise.CorrelationLimits:

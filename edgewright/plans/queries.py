@@ -214,9 +214,9 @@ def filter_gene_focus(s):
     return priors.gene_focus(s.priors, ["S1", "S2", "P10", "P11"]).select(*RELATION)
 
 
-@query(f"SELECT {KEY} FROM fo WHERE rel_type LIKE '%phosphorylates' OR source IN (SELECT g FROM ge) OR target IN (SELECT g FROM ge)", "fo AS (SELECT * FROM pri WHERE source IN ('S1', 'S2', 'S3')), ge AS (SELECT source AS g FROM fo WHERE rel_type LIKE '%phosphorylates' UNION SELECT target FROM fo WHERE rel_type LIKE '%phosphorylates')")
+@query(f"SELECT {KEY} FROM fo WHERE rel_type LIKE '%phosphorylates' OR source IN (SELECT g FROM ge) OR target IN (SELECT g FROM ge)", "fo AS (SELECT * FROM pri), ge AS (SELECT source AS g FROM fo WHERE rel_type LIKE '%phosphorylates' UNION SELECT target FROM fo WHERE rel_type LIKE '%phosphorylates')")
 def filter_phospho_primary(s):
-    return priors.phospho_primary(s.priors.where("source IN ('S1', 'S2', 'S3')")).select(*RELATION)
+    return priors.phospho_primary(s.priors).select(*RELATION)
 
 
 @query(f"SELECT {KEY} FROM pri WHERE source IN (SELECT gene FROM up) AND target IN (SELECT gene FROM up)", "up AS (SELECT DISTINCT gene FROM rws JOIN chg USING (row_id) WHERE sign = 1)")
@@ -271,34 +271,33 @@ def data_centric_edges(s):
     return sinks.data_centric(search.satisfying(_pairs(s)))
 
 
-SUPPLIERS = "sup AS (SELECT * FROM cells WHERE row_id LIKE 'S%'), pc AS (SELECT a.row_id AS a, b.row_id AS b, a.m, a.v AS x, b.v AS y FROM sup a JOIN sup b ON a.m = b.m AND length(b.row_id) = length(a.row_id) AND substr(b.row_id, 1, length(b.row_id) - 1) = substr(a.row_id, 1, length(a.row_id) - 1) AND a.row_id < b.row_id)"
+ENDS = "ends AS (SELECT DISTINCT src_row AS a, tgt_row AS b FROM prs), pc AS (SELECT e.a, e.b, x.m, x.v AS x, y.v AS y FROM ends e JOIN cells x ON x.row_id = e.a JOIN cells y ON y.row_id = e.b AND y.m = x.m)"
 
 
-def _supplier_pairs(s: star.Star) -> tuple[DataFrame, DataFrame]:
-    """Pairs of suppliers that differ in the last digit."""
-    ids = s.rows.where("row_id LIKE 'S%'").select(F.col("row_id").alias("a"), F.expr("substr(row_id, 1, length(row_id) - 1)").alias("stem"))
-    pairs = ids.join(ids.withColumnRenamed("a", "b"), "stem").where("a < b").select("a", "b")
-    return pairs, s.values.where("row_id LIKE 'S%'")
+def _ends(s: star.Star) -> tuple[DataFrame, DataFrame]:
+    """Both ends of every pair that a search of the whole prior table gives, and all values."""
+    found = _pairs(s)
+    return found.select(F.col("src_row").alias("a"), F.col("tgt_row").alias("b")).distinct(), s.values
 
 
-@query("SELECT a, b, count(*) AS n, round(corr(x, y), 6) AS r FROM pc GROUP BY 1, 2 HAVING count(*) >= 3", SUPPLIERS)
+@query("SELECT a, b, count(*) AS n, CASE WHEN NOT isnan(corr(x, y)) THEN round(corr(x, y), 6) END AS r FROM pc GROUP BY 1, 2 HAVING count(*) >= 3", ENDS)
 def pearson_correlation(s):
-    pairs, values = _supplier_pairs(s)
+    pairs, values = _ends(s)
     return pairwise.pearson(pairwise.paired_values(pairs, values)).where("n >= 3").select("a", "b", "n", r6("r"))
 
 
 @query(
-    "SELECT a, b, count(*) AS n, round(corr(rx, ry), 6) AS r FROM (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OVER (PARTITION BY a, b, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2.0 AS ry FROM pc) GROUP BY 1, 2",
-    SUPPLIERS,
+    "SELECT a, b, count(*) AS n, CASE WHEN NOT isnan(corr(rx, ry)) THEN round(corr(rx, ry), 6) END AS r FROM (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OVER (PARTITION BY a, b, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2.0 AS ry FROM pc) GROUP BY 1, 2 HAVING count(*) >= 3",
+    ENDS,
 )
 def spearman_correlation(s):
-    pairs, values = _supplier_pairs(s)
-    return pairwise.spearman(pairwise.paired_values(pairs, values), ["a", "b"]).select("a", "b", "n", r6("r"))
+    pairs, values = _ends(s)
+    return pairwise.spearman(pairwise.paired_values(pairs, values), ["a", "b"]).where("n >= 3").select("a", "b", "n", r6("r"))
 
 
 @query()
 def correlation_signs(s):
-    pairs, values = _supplier_pairs(s)
+    pairs, values = _ends(s)
     return pairwise.correlate(pairs, s.rows, values, pairwise.CorrelationLimits(p=0.05))
 
 

@@ -143,7 +143,7 @@ def parse(lines: list[str]) -> Config:
 
 def read_parameters(spark: SparkSession, path: str) -> Config:
     """A parameter file from any store that Spark reads; a file of tens of lines."""
-    return parse([r.value for r in spark.read.text(path).limit(10_000).collect()])
+    return parse([r.value for r in spark.read.text(path).collect()])
 
 
 def as_json() -> str:

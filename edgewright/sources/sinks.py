@@ -19,10 +19,16 @@ def site_text(sites: Column) -> Column:
 
 
 def results(found: DataFrame, priors: DataFrame, by_p: bool = True) -> DataFrame:
-    """One line for each relation and pair, best relations first."""
+    """One line for each relation and pair, best relations first; pairs of correlation mode have its columns."""
     sites = priors.select(*RELATION, site_text(F.col("sites")).alias("Sites"))
     scored = result_rows(found, by_p).join(sites, RELATION, "left")
     letter = lambda e: F.when(F.col(e) > 0, "a").when(F.col(e) < 0, "i").otherwise("")
+    if "corr_p" in found.columns:
+        return in_report_order(scored).select(
+            F.col("source").alias("Source"), F.col("rel_type").alias("Relation"), F.col("target").alias("Target"), "Sites",
+            F.col("src_row").alias("Source data ID"), letter("src_effect").alias("Source site effect"), F.col("tgt_row").alias("Target data ID"),
+            F.col("corr").alias("Correlation"), F.col("corr_p").alias("Correlation pval"),
+        )
     return in_report_order(scored).select(
         F.col("source").alias("Source"), F.col("rel_type").alias("Relation"), F.col("target").alias("Target"), "Sites",
         F.col("src_row").alias("Source data ID"), F.col("src_type").alias("Source data type"), letter("src_effect").alias("Source site effect"), F.col("src_value").alias("Source change"), F.col("src_p").alias("Source change pval"),

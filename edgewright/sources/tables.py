@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -20,6 +21,16 @@ def tsv(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     return spark.read.option("sep", "\t").option("header", header).option("quote", "").option("mode", "PERMISSIVE").csv(path)
 
 
+def tsv_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """A tab-separated table, or None if there is no such file."""
+    try:
+        return tsv(spark, path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def need(df: DataFrame, columns: list[str]) -> None:
     if lost := [c for c in columns if c not in df.columns]:
         raise ValueError(f"columns not found: {lost}")
@@ -61,10 +72,10 @@ def annotation(table: DataFrame, id_column: str = "ID", symbols: str = "Symbols"
 
 
 def values(table: DataFrame, id_column: str, columns: list[tuple[str, str]], replicate: int = 0) -> DataFrame:
-    """Long values of ``columns`` (name, group); what is no number is missing. Of one id the last row counts."""
+    """Long values of ``columns`` (name, group); what is no number is missing. Of one id (without blanks around it) the last row counts."""
     need(table, [id_column, *(c for c, _ in columns)])
     numbered = table.withColumn("__line", F.monotonically_increasing_id())
-    last = F.row_number().over(W.partitionBy(_col(id_column)).orderBy(F.desc("__line")))
+    last = F.row_number().over(W.partitionBy(F.trim(_col(id_column))).orderBy(F.desc("__line")))
     one = numbered.withColumn("__n", last).where("__n = 1")
     cells = F.array(*[F.struct(F.lit(i).alias("sample_idx"), F.lit(g).alias("grp"), number(_col(c)).alias("value")) for i, (c, g) in enumerate(columns)])
     return one.select(F.trim(_col(id_column)).alias("row_id"), F.lit(replicate).alias("replicate"), F.explode(cells).alias("x")).select("row_id", "replicate", "x.*")
@@ -80,6 +91,14 @@ def joined_values(rows: DataFrame, found: DataFrame, groups: list[str], missing:
     return every.withColumn("value", log2(F.col("value"))) if take_log else every
 
 
+def with_repeats(rows: DataFrame, found: DataFrame, again: DataFrame, values_again: DataFrame, take_log: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows and values after a repeat experiment: ids that ``rows`` has get more values, others become new rows."""
+    fresh = again.join(rows.select("row_id"), "row_id", "left_anti")
+    more = values_again.join(again.select("row_id"), "row_id", "left_semi")
+    more = more.withColumn("value", log2(F.col("value"))) if take_log else more
+    return rows.unionByName(fresh), found.unionByName(more)
+
+
 def larger_spread(found: DataFrame) -> DataFrame:
     """Of copies of an id (column copy) keep the one of larger standard deviation."""
     sd = found.groupBy("row_id", "copy").agg(F.stddev_samp("value").alias("sd"))

@@ -271,3 +271,46 @@ def test_star_queries_match_sql(spark, name):
     names = [d[0] for d in cursor.description]
     want = sorted(map(repr, cursor.fetchall()))
     assert sorted(repr(tuple(r[c] for c in names)) for r in queries.QUERIES[name](spark, sf).collect()) == want
+
+
+def test_tail_probabilities_converge_for_many_degrees_of_freedom():
+    import numpy as np
+
+    from edgewright.functions import stats
+
+    half = [float(stats.gamma_upper(np.array([k / 2]), np.array([k / 2]))[0]) for k in (1e5, 1e6, 1e7)]
+    assert all(0.499 < x < 0.5 for x in half) and half == sorted(half)
+    assert abs(float(stats.beta_inc(np.array([3.0]), np.array([2.0]), np.array([0.7]))[0]) - 0.6517) < 1e-9
+    assert abs(float(stats.t_two_sided(np.array([4.0]), np.array([2.0]))[0]) - 0.057191) < 1e-6
+
+
+def test_mutation_rows_are_tested_by_their_categories(spark):
+    from edgewright.model import ROWS, VALUES
+    from edgewright.operators import detectors
+
+    rows = spark.createDataFrame([("m", "mutation", ["A"], None, 1), ("x", "protein", ["B"], None, 1)], ROWS)
+    hits = (1, 10, 11, 12, 13, 14, 15, 16, 17)
+    cells = [("m", 0, i, "control" if i < 10 else "test", float(i in hits)) for i in range(20)]
+    cells += [("x", 0, i, "control" if i < 3 else "test", float(v)) for i, v in enumerate([1, 2, 3, 4, 5, 9])]
+    got = {r.row_id: (round(r.p, 6), r.sign) for r in detectors.changes(rows, spark.createDataFrame(cells, VALUES), "significant-change-of-mean", {"mutation": 0.1, "protein": 0.2}).collect()}
+    assert got == {"m": (0.000903, 1), "x": (0.106367, 1)}
+
+
+def test_repeats_bring_new_rows_and_ids_are_trimmed_and_unique(spark):
+    import pytest
+
+    from edgewright.model import ROWS
+    from edgewright.operators import search
+    from edgewright.sources import tables
+
+    first = spark.createDataFrame([("x", "1"), ("x ", "2")], "ID string, v string")
+    assert [r.value for r in tables.values(first, "ID", [("v", "all")]).collect()] in ([1.0], [2.0])
+    rows = spark.createDataFrame([("x", "protein", ["A"], None, 1)], ROWS)
+    again = spark.createDataFrame([("x", "protein", ["A"], None, 1), ("new", "protein", ["B"], None, 1)], ROWS)
+    values = tables.values(first, "ID", [("v", "all")])
+    more = tables.values(spark.createDataFrame([("x", "5"), ("new", "6")], "ID string, v string"), "ID", [("v", "all")], 1)
+    r, v = tables.with_repeats(rows, values, again, more)
+    assert sorted(x.row_id for x in r.collect()) == ["new", "x"] and sorted((x.row_id, x.replicate) for x in v.collect()) == [("new", 1), ("x", 0), ("x", 1)]
+    assert search.with_unique_ids(r).count() == 2
+    with pytest.raises(ValueError, match="A x"):
+        search.with_unique_ids(rows.unionByName(rows))
