@@ -168,7 +168,7 @@ def run(analysis: Analysis, known: tuple[DataFrame, float] | None = None) -> Ana
         analysis.pairs = search.pairs(analysis.priors, analysis.rows, analysis.changes, rules).cache()
     if get("calculate-network-significance", False):
         signs = analysis.rows.select("row_id", "data_type").join(analysis.changes.select("row_id", "sign"), "row_id")
-        _with_significance(analysis, known, lambda n, least: significance.permutation_test(analysis.pairs, signs, n, minimum=least, persist=lambda df: df.cache()))
+        _with_significance(analysis, known, lambda n, least: significance.permutation_test(analysis.pairs, signs, n, minimum=least))
         if get("use-network-significance-for-causal-reasoning", False):
             _with_network_activity(analysis, rules, get("fdr-threshold-for-network-significance", 0.1))
     return analysis

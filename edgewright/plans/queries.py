@@ -350,7 +350,7 @@ SELECT gene, row_id FROM act UNION ALL SELECT gene, row_id FROM rws WHERE effect
 def network_significance(s):
     found = _pairs(s).cache()
     signs = s.rows.select("row_id", "data_type").join(_changes(s).select("row_id", "sign"), "row_id")
-    out, p = significance.permutation_test(found, signs, iterations=20, batch=10, persist=lambda df: df.cache())
+    out, p = significance.permutation_test(found, signs, iterations=192)
     return out.withColumn("graph_p", F.lit(p))
 
 

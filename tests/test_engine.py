@@ -154,18 +154,55 @@ def test_conflicts(spark):
     assert got == {("A", "phosphorylates", "B"): [1, 2], ("A", "dephosphorylates", "B"): [3], ("C", "phosphorylates", "B"): [], ("C", "dephosphorylates", "B"): [], ("A", "upregulates-expression", "D"): []}
 
 
-def test_permutations_are_repeatable_and_bounded(spark):
-    net = [(f"G{s}", "phosphorylates", f"T{t}", 1, f"g{s}", 1, f"t{t}") for s in range(3) for t in range(s, 12)]
+def _network(spark):
+    net = [(f"G{s}", "phosphorylates", f"T{t}", 1 if t % 4 else -1, f"g{s}", 1 if s else -1, f"t{t}") for s in range(3) for t in range(s, 12)]
     pairs = spark.createDataFrame(net, "source string, rel_type string, target string, rel_sign int, src_row string, src_effect int, tgt_row string")
-    rows = [(f"g{s}", "protein", 1) for s in range(3)] + [(f"t{t}", "phosphoprotein", 1 if t < 5 else 0) for t in range(12)]
-    frame = spark.createDataFrame(rows, "row_id string, data_type string, sign int")
-    runs = [significance.permutation_test(pairs, f, 20, batch=8) for f in (frame, frame.repartition(5))]
+    rows = [(f"g{s}", "protein", s - 1) for s in range(3)] + [(f"t{t}", "phosphoprotein", 1 if t < 5 else -1 if t < 7 else 0) for t in range(12)]
+    return net, pairs, rows, spark.createDataFrame(rows, "row_id string, data_type string, sign int")
+
+
+def test_permutations_are_repeatable_and_bounded(spark):
+    _, pairs, _, frame = _network(spark)
+    runs = [significance.permutation_test(pairs, f, 20) for f in (frame, frame.repartition(5))]
     first, second = (sorted(map(tuple, r[0].collect())) for r in runs)
     assert first == second and runs[0][1] == runs[1][1]
     for r in runs[0][0].collect():
         assert all(p is None or 0.05 <= p <= 1 for p in (r.p_changed, r.p_activating, r.p_inhibiting))
 
 
+def test_permutation_test_against_counts_by_hand(spark):
+    net, pairs, rows, frame = _network(spark)
+    numbered, n = significance.slots(frame), 100  # two batches
+    dealt = []
+    for first in range(0, n, significance.BATCH):
+        last = min(n, first + significance.BATCH)
+        masks = significance.dealt_signs(numbered, first, last, 1).collect()
+        dealt += [{r.row_id: (r.up >> i & 1) - (r.down >> i & 1) for r in masks} for i in range(last - first)]
+    kinds = {r: k for r, k, _ in rows}
+    deck = lambda of: sorted((kinds[r], v) for r, v in of.items())
+    truth = {r: v for r, _, v in rows}
+    assert all(deck(d) == deck(truth) for d in dealt) and len({tuple(sorted(d.items())) for d in dealt}) > 90
+
+    def counts(sign):
+        of = {g: [len({t for s, _, t, r, _, _, tr in net if s == g and hit(sign[tr] * r, sign[tr])}) for hit in (lambda x, y: y != 0, lambda x, y: x == 1, lambda x, y: x == -1)] for g in ("G0", "G1", "G2")}
+        return of, len({(s, t) for s, _, t, r, sr, e, tr in net if sign[sr] * sign[tr] * r * e == 1})
+
+    (seen, size), drawn = counts(truth), [counts(d) for d in dealt]
+    got, graph_p = significance.permutation_test(pairs, frame, n)
+    assert graph_p == sum(d[1] >= size for d in drawn) / n and size > 0
+    for r in got.collect():
+        want = [max(1, sum(d[0][r.source][i] >= o for d in drawn)) / n if o else None for i, o in enumerate(seen[r.source])]
+        assert [r.changed, r.activating, r.inhibiting] == seen[r.source] and [r.p_changed, r.p_activating, r.p_inhibiting] == want
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 1000])
+def test_permuted_is_a_fair_bijection(n):
+    slot = np.arange(n)
+    places = [significance.permuted(slot, n, key) for key in range(400)]
+    assert all(sorted(p.tolist()) == list(range(n)) for p in places)
+    assert n == 1 or abs(np.mean([p[0] for p in places]) - (n - 1) / 2) < n / 6 and abs(np.mean([p[0] < p[n // 2] for p in places]) - 0.5) < 0.12
+
+
 def test_sequence_windows(spark):
     seq = spark.createDataFrame([("A", "MKLVSTPQRSAWYG" * 3), ("B", "MKLVSTPQRSAWYG" * 3), ("C", "G" * 50)], "gene string, sequence string")
     sites = lambda *s: [(g, "S", p) for g, p in s]
