@@ -133,9 +133,45 @@ def paired_t(s):
     return detectors.paired(s.values).select("row_id", r6("t"), "df")
 
 
-@query()
+def _tested(least: int) -> str:
+    """Welch's p by Simpson's rule: DuckDB has no t distribution. Its tail is an integral of sin(x) ** (df - 1), with x = u ** 4 for small df."""
+    return f"""{WELCH},
+wd AS (SELECT row_id, mt - mc AS d, (mt-mc)/sqrt(vt/nt+vc/nc) AS t, (vt/nt+vc/nc)**2/((vt/nt)**2/(nt-1)+(vc/nc)**2/(nc-1)) AS df FROM wt WHERE nt >= {least} AND nc >= {least} AND vt/nt+vc/nc > 0),
+wu AS (SELECT *, CASE WHEN df < 3 THEN 4.0 ELSE 1.0 END AS e, pow(atan2(sqrt(df), abs(t)), 1 / CASE WHEN df < 3 THEN 4.0 ELSE 1.0 END) / 1000 AS h FROM wd),
+wp AS (SELECT row_id, d, least(1.0, 2 / sqrt(pi()) * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) * h / 3 * list_sum(list_transform(range(0, 1001), lambda i: (CASE WHEN i = 0 OR i = 1000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * e * pow(i * h, e - 1) * pow(sin(pow(i * h, e)), df - 1)))) AS p FROM wu),
+sch AS (SELECT r.row_id, r.data_type, sign(d) * -ln(p) AS value, p, d FROM rws r LEFT JOIN wp USING (row_id))"""
+
+
+def _significant(s: star.Star, limit: float, least: int = 0) -> DataFrame:
+    return detectors.changes(s.rows, s.values, "significant-change-of-mean", {"protein": limit, "phosphoprotein": limit}, least)
+
+
+P_SIGN = "CAST(CASE WHEN p <= 0.05 THEN CASE WHEN d > 0 THEN 1 ELSE -1 END ELSE 0 END AS INT) AS sign"
+
+
+@query(f"SELECT row_id, round(value, 5) + 0.0 AS value, round(p, 6) AS p, {P_SIGN} FROM sch", _tested(3))
 def change_significant(s):
-    return detectors.changes(s.rows, s.values, "significant-change-of-mean", {"protein": 0.05, "phosphoprotein": 0.05}, 3)
+    return _significant(s, 0.05, 3).select("row_id", (F.round("value", 5) + F.lit(0.0)).alias("value"), r6("p"), "sign")
+
+
+@query(
+    "SELECT row_id, round(sgn * -ln(p), 6) + 0.0 AS value, p, CAST(CASE WHEN p <= 0.5 THEN sgn ELSE 0 END AS INT) AS sign FROM (SELECT row_id, min_by(CASE WHEN m % 2 = 0 THEN 1 ELSE -1 END, m) AS sgn, min_by((v % 997 + 1) / 1000, m) AS p FROM cells GROUP BY 1)"
+)
+def change_signed_p(s):
+    x = F.when(F.col("sample_idx") % 2 == 0, 1).otherwise(-1) * ((F.col("value") % 997 + 1) / 1000)
+    return detectors.changes(s.rows, s.values.withColumn("value", x), "signed-p-values", {"protein": 0.5, "phosphoprotein": 0.5}).select("row_id", r6("value"), "p", "sign")
+
+
+@query(
+    "SELECT family, round(coalesce(max(p) FILTER (WHERE p <= 0.9 * k / m), -1), 6) AS threshold FROM (SELECT *, count(*) OVER (PARTITION BY family ORDER BY p) AS k, count(*) OVER (PARTITION BY family) AS m FROM took) GROUP BY 1",
+    f"""{_tested(2)}, signed AS (SELECT row_id, data_type, p, CASE WHEN p IS NULL THEN 0 WHEN d > 0 THEN 1 ELSE -1 END AS s FROM sch),
+both_ends AS (SELECT a.row_id AS a, a.data_type AS a_type, a.p AS ap, b.row_id AS b, b.data_type AS b_type, b.p AS bp FROM prs JOIN signed a ON a.row_id = src_row JOIN signed b ON b.row_id = tgt_row WHERE a.s * b.s <> 0),
+took AS (SELECT a AS row_id, a_type AS family, ap AS p FROM both_ends UNION SELECT b, b_type, bp FROM both_ends)""",
+)
+def data_fdr_thresholds(s):
+    found = search.pairs(s.priors, s.rows, _significant(s, 1.0))
+    tested = fdr.participants(found.where("verdict <> 0")).withColumn("family", fdr.family(F.col("data_type"), False))
+    return thresholds(tested, ["family"], 0.9).select("family", r6("threshold"))
 
 
 def _categorical_g(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,6 +266,56 @@ def differentially_expressed(s):
     return search.differentially_expressed(s.rows, _changes(s))
 
 
+@query(f"SELECT {KEY} FROM pri WHERE rel_type LIKE '%phosphorylates'")
+def filter_site_specific_only(s):
+    return priors.relation_filter(s.priors, "site-specific-only").select(*RELATION)
+
+
+@query(f"SELECT {KEY} FROM pri WHERE rel_type NOT LIKE '%expression'")
+def filter_without_expression(s):
+    return priors.relation_filter(s.priors, "without-expression").select(*RELATION)
+
+
+@query(f"SELECT {KEY} FROM pri WHERE source IN ('S3', 'P5') OR target IN ('S3', 'P5')")
+def neighborhood_of_genes(s):
+    return priors.neighborhood(s.priors, ["S3", "P5"]).select(*RELATION)
+
+
+def relations_of_known_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sup = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_acctbal > 0").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("symbol"))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size > 10").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("symbol"))
+    return priors.known_symbols(star.load(spark, sf_dir).priors, sup.unionByName(part)).select(*RELATION)
+
+
+QUERIES["relations_of_known_symbols"] = relations_of_known_symbols
+SQL["relations_of_known_symbols"] = f"WITH {star.SQL} SELECT {KEY} FROM pri JOIN supplier ON source = 'S' || s_suppkey JOIN part ON target = 'P' || p_partkey WHERE s_acctbal > 0 AND p_size > 10"
+
+
+@query(f"SELECT {KEY}, CAST(len(os) AS BIGINT) AS papers, array_to_string(list_sort(list_transform(lns, lambda x: 'S' || x)), ';') AS sites FROM pri")
+def merged_networks(s):
+    """Two networks of the same relations, one with the even papers and one site, the other with the odd papers and all sites."""
+    share = lambda n: F.filter("mediators", lambda m: F.substring(m, 6, 20).cast("long") % 2 == n)
+    even = s.priors.withColumns({"mediators": share(0), "sites": F.slice("sites", 1, 1)})
+    both = priors.merged([even, s.priors.withColumn("mediators", share(1))])
+    return both.select(*RELATION, F.size("mediators").cast("long").alias("papers"), sinks.site_text(F.col("sites")).alias("sites"))
+
+
+@query(f"SELECT {KEY}, CAST(CASE WHEN CAST(substr(source, 2) AS INT) % 2 = 1 THEN len(os) ELSE 1 END AS BIGINT) AS papers FROM pri")
+def additional_priors(s):
+    """Relations of odd suppliers, then all as additional ones with a single paper: those already there stay as they are."""
+    own = s.priors.where(F.substring("source", 2, 20).cast("long") % 2 == 1)
+    more = s.priors.withColumn("mediators", F.array(F.lit("PMID:0")))
+    return priors.with_additional(own, [more]).select(*RELATION, F.size("mediators").cast("long").alias("papers"))
+
+
+@query(f"SELECT {KEY}, src_row, tgt_row, CAST(verdict AS INT) AS verdict FROM prs")
+def evidence_of_expression(s):
+    """Suppliers as expression data, which alone counts as evidence."""
+    rows = s.rows.withColumn("data_type", F.when(F.col("row_id").startswith("S"), "rna").otherwise(F.col("data_type")))
+    changes = detectors.changes(rows, s.values, "difference-of-means", {**LIMITS, "rna": 1.0})
+    return search.pairs(s.priors, rows, changes, Rules(expression_as_evidence=True)).select(*RELATION, "src_row", "tgt_row", "verdict")
+
+
 def _opposed(s: star.Star) -> DataFrame:
     """The network, and its other half a part key further with opposite types, so that conflicts occur."""
     flip = F.when(F.col("rel_type") == "phosphorylates", "dephosphorylates").when(F.col("rel_type") == "dephosphorylates", "phosphorylates").when(F.col("rel_type") == "upregulates-expression", "downregulates-expression").otherwise("upregulates-expression")
@@ -280,14 +366,14 @@ def _ends(s: star.Star) -> tuple[DataFrame, DataFrame]:
     return found.select(F.col("src_row").alias("a"), F.col("tgt_row").alias("b")).distinct(), s.values
 
 
-@query("SELECT a, b, count(*) AS n, CASE WHEN NOT isnan(corr(x, y)) THEN round(corr(x, y), 6) END AS r FROM pc GROUP BY 1, 2 HAVING count(*) >= 3", ENDS)
+@query("SELECT a, b, count(*) AS n, CASE WHEN NOT isnan(corr(x, y)) THEN round(corr(x, y), 6) + 0.0 END AS r FROM pc GROUP BY 1, 2 HAVING count(*) >= 3", ENDS)
 def pearson_correlation(s):
     pairs, values = _ends(s)
     return pairwise.pearson(pairwise.paired_values(pairs, values)).where("n >= 3").select("a", "b", "n", r6("r"))
 
 
 @query(
-    "SELECT a, b, count(*) AS n, CASE WHEN NOT isnan(corr(rx, ry)) THEN round(corr(rx, ry), 6) END AS r FROM (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OVER (PARTITION BY a, b, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2.0 AS ry FROM pc) GROUP BY 1, 2 HAVING count(*) >= 3",
+    "SELECT a, b, count(*) AS n, CASE WHEN NOT isnan(corr(rx, ry)) THEN round(corr(rx, ry), 6) + 0.0 END AS r FROM (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OVER (PARTITION BY a, b, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2.0 AS ry FROM pc) GROUP BY 1, 2 HAVING count(*) >= 3",
     ENDS,
 )
 def spearman_correlation(s):
@@ -295,10 +381,17 @@ def spearman_correlation(s):
     return pairwise.spearman(pairwise.paired_values(pairs, values), ["a", "b"]).where("n >= 3").select("a", "b", "n", r6("r"))
 
 
-@query()
+#: p of r with n - 2 degrees of freedom: the finite sums of the t distribution for whole degrees of freedom.
+R_TAIL = """cr AS (SELECT a, b, count(*) AS n, CASE WHEN count(*) >= 3 AND NOT isnan(corr(x, y)) THEN corr(x, y) END AS r FROM pc GROUP BY 1, 2),
+ct AS (SELECT *, abs(r) AS sn, sqrt(greatest(1 - r * r, 0)) AS cs FROM cr),
+cp AS (SELECT a, b, n, r, CASE WHEN n % 2 = 0 THEN 1 - sn * list_sum(list_transform(range(0, (n - 2) // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * pow(cs, 2 * k)))
+  ELSE 1 - 2 / pi() * (atan2(sn, cs) + sn * coalesce(list_sum(list_transform(range(0, (n - 3) // 2), lambda k: sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5)) * pow(cs, 2 * k + 1))), 0)) END AS p FROM ct)"""
+
+
+@query("SELECT a, b, n, round(r, 6) + 0.0 AS r, abs(round(p, 6)) AS p, CAST(CASE WHEN p <= 0.05 THEN sign(r) ELSE 0 END AS INT) AS sign FROM cp", f"{ENDS}, {R_TAIL}")
 def correlation_signs(s):
     pairs, values = _ends(s)
-    return pairwise.correlate(pairs, s.rows, values, pairwise.CorrelationLimits(p=0.05))
+    return pairwise.correlate(pairs, s.rows, values, pairwise.CorrelationLimits(p=0.05)).select("a", "b", "n", r6("r"), r6("p"), "sign")
 
 
 @query("SELECT r.data_type, CAST(floor(round(sd / 0.05, 6)) AS BIGINT) AS bin, count(*) AS n FROM (SELECT row_id, stddev_samp(v) AS sd FROM cells GROUP BY 1) JOIN rws r USING (row_id) WHERE sd IS NOT NULL GROUP BY 1, 2")
@@ -346,6 +439,17 @@ SQL["activity_prioritized"] = f"""WITH {star.SQL}, act AS (SELECT 'S' || s_suppk
 SELECT gene, row_id FROM act UNION ALL SELECT gene, row_id FROM rws WHERE effect <> 0 AND gene NOT IN (SELECT gene FROM act)"""
 
 
+def activity_upstream_of_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = star.load(spark, sf_dir)
+    rows = star.with_activity(spark, sf_dir, s.rows)
+    return search.pairs(s.priors, rows, _changes(s), Rules(activity_upstream_of_expression=True)).select(*RELATION, "src_row", "tgt_row")
+
+
+QUERIES["activity_upstream_of_expression"] = activity_upstream_of_expression
+SQL["activity_upstream_of_expression"] = f"""WITH {star.SQL}, act AS (SELECT 'S' || s_suppkey AS source, 'S' || s_suppkey || '-act' AS row_id FROM supplier WHERE s_acctbal < 0 OR s_acctbal > 5000)
+SELECT {KEY}, src_row, tgt_row FROM prs WHERE rel_type LIKE '%phosphorylates' UNION ALL SELECT {KEY}, act.row_id AS src_row, tgt_row FROM tgt JOIN act USING (source)"""
+
+
 @query()
 def network_significance(s):
     found = _pairs(s).cache()
@@ -354,14 +458,23 @@ def network_significance(s):
     return out.withColumn("graph_p", F.lit(p))
 
 
-@query()
+@query(
+    f"SELECT row_id, class, round(value, 5) + 0.0 AS value, round(p, 6) AS p, round(CASE WHEN p IS NOT NULL THEN least(min(p * m / k) OVER (PARTITION BY class ORDER BY p DESC), 1.0) END, 6) AS q, {P_SIGN} FROM (SELECT *, count(p) OVER (PARTITION BY class ORDER BY p) AS k, count(p) OVER (PARTITION BY class) AS m FROM (SELECT *, CASE WHEN data_type = 'phosphoprotein' THEN 'site' ELSE data_type END AS class FROM sch))",
+    _tested(2),
+)
 def value_changes(s):
-    return fdr.value_changes(s.rows, detectors.changes(s.rows, s.values, "significant-change-of-mean", {"protein": 0.05, "phosphoprotein": 0.05}))
+    out = fdr.value_changes(s.rows, _significant(s, 0.05))
+    return out.select("row_id", "class", (F.round("value", 5) + F.lit(0.0)).alias("value"), r6("p"), r6("q"), "sign")
 
 
-@query()
+@query(
+    """SELECT source AS "Source", rel_type AS "Relation", target AS "Target", array_to_string(list_sort(list_transform(lns, lambda x: 'S' || x)), ';') AS "Sites",
+src_row AS "Source data ID", 'protein' AS "Source data type", CASE WHEN src_effect > 0 THEN 'a' ELSE 'i' END AS "Source site effect", round(src_value, 6) AS "Source change", CAST(NULL AS DOUBLE) AS "Source change pval",
+tgt_row AS "Target data ID", tgt_type AS "Target data type", round(tgt_value, 6) AS "Target change", CAST(NULL AS DOUBLE) AS "Target change pval" FROM prs WHERE verdict = 1"""
+)
 def results_report(s):
-    return sinks.results(search.satisfying(_pairs(s)), s.priors, by_p=False)
+    out = sinks.results(search.satisfying(_pairs(s)), s.priors, by_p=False)
+    return out.withColumns({c: r6(c) for c in ("Source change", "Target change")})
 
 
 @query()
