@@ -298,7 +298,7 @@ def test_effects_nearby(spark):
     assert {r.row_id: r.effect for r in tables.fill_effects(rows, known, 1).collect()} == {"a": 0, "b": 0}
 
 
-@pytest.mark.parametrize("name", ["causative_relations", "conflicting_relations", "search_pairs_near_sites", "downstream_counts", "network_without_conflicts", "welch_t", "fdr_q_values", "spearman_correlation"])
+@pytest.mark.parametrize("name", ["causative_relations", "conflicting_relations", "search_pairs_near_sites", "downstream_counts", "network_without_conflicts", "welch_t", "fdr_q_values", "spearman_correlation", "change_significant", "change_signed_p", "correlation_signs", "additional_priors", "merged_networks", "relations_of_known_symbols", "activity_upstream_of_expression", "evidence_of_expression"])
 def test_star_queries_match_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
