@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, mixing, quality_model, quality_rules, secrets, simhash, suffix_dedup, token_store, url_filter
+from . import decontaminate, licenses, mixing, quality_model, quality_rules, ranked_search, secrets, simhash, suffix_dedup, token_store, toxicity, url_filter, vector_codes
 from .work import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,8 +59,23 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.tokenized(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.coded(table(spark, sf_dir, "embeddings"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    every = [op1_mixing, op2_suffix_dedup, op3_quality_rules, op4_url_filter, op5_licenses, op6_simhash, op7_secrets, op8_decontaminate, op9_quality, op10_tokens]
+    every = [
+        op1_mixing, op2_suffix_dedup, op3_quality_rules, op4_url_filter, op5_licenses, op6_simhash, op7_secrets, op8_decontaminate, op9_quality, op10_tokens,
+        op11_toxicity, op12_vector_codes, op13_ranked_search,
+    ]
     return {f.__name__: f for f in every}
 
 
@@ -86,4 +101,4 @@ FROM judged"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": RULES_SQL, "op5_licenses": licenses.scanned_sql()}
+    return {"op3_quality_rules": RULES_SQL, "op5_licenses": licenses.scanned_sql(), "op12_vector_codes": vector_codes.coded_sql(), "op13_ranked_search": ranked_search.RANKED_SQL}
