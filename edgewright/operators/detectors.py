@@ -62,16 +62,16 @@ def fold_change_of_mean(values: DataFrame) -> DataFrame:
     return means.select("row_id", F.when(t > c, F.try_divide(t, c)).otherwise(-F.try_divide(c, t)).alias(V))
 
 
-def welch(values: DataFrame, min_sample: int = 0) -> DataFrame:
-    """row_id, replicate, diff, t, df of test against control; null with under two values or fewer than min_sample in a group, or no variance."""
+def welch(values: DataFrame, min_sample: int = 0, by: tuple[str, ...] = ("row_id", "replicate")) -> DataFrame:
+    """row_id, replicate (or other keys), diff, t, df of test against control; null with under two values or fewer than min_sample in a group, or no variance."""
     x = F.col(V)
-    got = values.groupBy("row_id", "replicate").agg(
+    got = values.groupBy(*by).agg(
         F.avg(_test(x)).alias("mt"), F.avg(_control(x)).alias("mc"), F.var_samp(_test(x)).alias("vt"), F.var_samp(_control(x)).alias("vc"), F.count(_test(x)).alias("nt"), F.count(_control(x)).alias("nc")
     )
     a, b = F.col("vt") / F.col("nt"), F.col("vc") / F.col("nc")
     ok = (F.least("nt", "nc") >= max(2, min_sample)) & (a + b > 0)
     return got.select(
-        "row_id", "replicate", (F.col("mt") - F.col("mc")).alias("diff"),
+        *by, (F.col("mt") - F.col("mc")).alias("diff"),
         F.when(ok, (F.col("mt") - F.col("mc")) / F.sqrt(a + b)).alias("t"),
         F.when(ok, (a + b) ** 2 / (a * a / (F.col("nt") - 1) + b * b / (F.col("nc") - 1))).alias("df"),
     )
@@ -169,27 +169,14 @@ def fisher(first: DataFrame, second: DataFrame) -> DataFrame:
     return both.select("row_id", F.coalesce(F.when(F.col("p").isNotNull(), F.col("diff")), F.col("diff2"), F.col("diff")).alias("diff"), p.alias("p"))
 
 
-def with_missing_value_test(values: DataFrame, rows: DataFrame, sufficiency: float = 0.001, min_sample: int = 0, pairs: bool = False) -> DataFrame:
-    """The t-test combined with the test of presence."""
-    both = fisher(significant_change(values, pairs, min_sample), categorical_change(presence(values, rows), sufficiency))
+def with_missing_value_test(values: DataFrame, rows: DataFrame, sufficiency: float = 0.001, min_sample: int = 0, pairs: bool = False, by_tables: DataFrame | None = None) -> DataFrame:
+    """The t-test combined with the test of presence, or with p-values from random tables, ``by_tables(row_id, p)`` (``presence.missing_p``)."""
+    flags = presence(values, rows)
+    second = categorical_change(flags, sufficiency) if by_tables is None else difference_of_means(flags).withColumnRenamed(V, "diff").join(by_tables, "row_id")
+    both = fisher(significant_change(values, pairs, min_sample), second)
     return both.select("row_id", stats.signed_log(F.col("p"), F.signum("diff")).alias(V), "p", "diff")
 
 
-def missing_by_permutation(values: DataFrame, rows: DataFrame, iterations: int = 1000, seed: int = 1) -> DataFrame:
-    """row_id, p: how often as many values are missing in the test group (or as few) when group labels of the samples are dealt anew."""
-    flags = presence(values, rows).where("value IS NOT NULL AND grp IN ('control', 'test')")
-    samples = flags.select("sample_idx", "grp").distinct()
-    dealt = samples.crossJoin(F.broadcast(samples.sparkSession.range(iterations).withColumnRenamed("id", "iter")))  # samples times a parameter
-    place = F.row_number().over(W.partitionBy("iter").orderBy(F.xxhash64("sample_idx", "iter", F.lit(seed)), "sample_idx"))
-    n_test = samples.where("grp = 'test'").count()
-    dealt = dealt.withColumn("t", (place <= n_test).cast("int")).select("iter", "sample_idx", "t")
-    zeros = flags.where("value = 0").select("row_id", "sample_idx", "grp")
-    seen = zeros.groupBy("row_id").agg(F.count(F.when(F.col("grp") == "test", 1)).alias("observed"))
-    drawn = zeros.join(dealt, "sample_idx").groupBy("row_id", "iter").agg(F.sum("t").alias("n"))
-    counts = drawn.join(seen, "row_id").groupBy("row_id").agg(F.avg((F.col("n") >= F.col("observed")).cast("double")).alias("up"), F.avg((F.col("n") <= F.col("observed")).cast("double")).alias("down"))
-    return counts.select("row_id", F.least(F.lit(1.0), F.greatest(2 * F.least("up", "down"), F.lit(1.0 / iterations))).alias("p"))
-
-
 def summarize(values: DataFrame, mode: str, min_sample: int = 0) -> DataFrame:
     """row_id, value, p (null where the mode has none) by value-transformation."""
     made = {

@@ -21,16 +21,25 @@ def participants(found: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
-def data_thresholds(tested: DataFrame, q: dict[str, float], pool: bool = False) -> dict[str, float]:
+def data_thresholds(tested: DataFrame, q: dict[str, float], pool: bool = False, others: DataFrame | None = None) -> dict[str, float]:
     """p thresholds by data type for tested(row_id, data_type, p) (at most ten numbers come to the driver).
 
-    Types without rows keep threshold 1, so that nothing else is dropped.
+    A type of which no row was tested goes by all its rows at the ends of
+    relations, ``others`` of the same columns. Types without rows there keep threshold 1: no relation can have one.
     """
-    rows = tested.withColumn("family", family(F.col("data_type"), pool))
     pooled = lambda t: pool and t in PROTEOMIC and "protein" in q
     rates = {t: q["protein"] if pooled(t) else own for t, own in q.items()}
-    found = {rate: {r["family"]: r["threshold"] for r in thresholds(rows, ["family"], rate).collect()} for rate in set(rates.values())}
-    return {t: found[rate].get("protein" if pool and t in PROTEOMIC else t, 1.0) for t, rate in rates.items()}
+    took_part = {r["data_type"] for r in tested.select("data_type").distinct().collect()}
+    found = {}
+    for rows, types in ((tested, [t for t in rates if t in took_part]), (others, [t for t in rates if t not in took_part])):
+        if rows is None or not types:
+            continue
+        # rows tested of types without a rate of their own belong to the pool too
+        kept = rows if rows is tested else rows.where(F.col("data_type").isin(types))
+        families = kept.withColumn("family", family(F.col("data_type"), pool))
+        by_rate = {rate: {r["family"]: r["threshold"] for r in thresholds(families, ["family"], rate).collect()} for rate in {rates[t] for t in types}}
+        found |= {t: by_rate[rates[t]].get("protein" if pool and t in PROTEOMIC else t, 1.0) for t in types}
+    return {t: found.get(t, 1.0) for t in rates}
 
 
 def correlation_threshold(found: DataFrame, q: float) -> float:

@@ -27,21 +27,42 @@ def sequence_windows(rows: DataFrame, sequences: DataFrame, before: int = 5, aft
     return got.where("missing = 0 AND window = w2").select("row_id", "window")
 
 
-def kinase_activity(rows: DataFrame, changes: DataFrame, sequences: DataFrame, scores: DataFrame) -> DataFrame:
-    """kinase, r, p, signed value, q: Spearman of changes with the kinase's score of each window.
+def window_values(rows: DataFrame, changes: DataFrame, sequences: DataFrame) -> DataFrame:
+    """window, value: the change of each sequence window; of rows with one window the last by row_id counts, rows without a change don't."""
+    windows = sequence_windows(rows, sequences).join(changes.where("value IS NOT NULL").select("row_id", "value"), "row_id")
+    return windows.groupBy("window").agg(F.max_by("value", "row_id").alias("value"))
+
+
+def sequences_by_change(rows: DataFrame, changes: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Windows in order of their change, the smallest first; equal changes by window."""
+    return window_values(rows, changes, sequences).orderBy("value", "window")
+
+
+def window_scores(windows: DataFrame, weights: DataFrame, before: int = 5) -> DataFrame:
+    """window, kinase, score: sum over the window's places of the logarithm (base 2) of the weight that the kinase gives the residue there.
 
-    ``scores(window, kinase, score)``. Of rows with one window the last by
-    row_id counts.
+    ``weights(kinase, place, residue, weight)``: places count from the site (0).
+    A residue without a weight counts as 1; a kinase that knows none of a window's residues has no score for it.
     """
-    windows = sequence_windows(rows, sequences).join(changes.where("value IS NOT NULL").select("row_id", "value"), "row_id")
-    last = F.row_number().over(W.partitionBy("window").orderBy(F.desc("row_id")))
-    windows = windows.withColumn("n", last).where("n = 1")
-    both = windows.join(scores, "window").select("kinase", F.col("value").alias("x"), F.col("score").alias("y"))
+    letters = windows.select("window", F.posexplode(F.split("window", ""))).select("window", (F.col("pos") - before).alias("place"), F.upper("col").alias("residue"))
+    known = weights.where("weight > 0").select("kinase", "place", F.upper("residue").alias("residue"), F.log2("weight").alias("w"))
+    return letters.join(known, ["place", "residue"]).groupBy("window", "kinase").agg(F.sum("w").alias("score"))
+
+
+def kinase_activity(rows: DataFrame, changes: DataFrame, sequences: DataFrame, scores: DataFrame) -> DataFrame:
+    """kinase, n, r, p, signed value, q: Spearman of changes with the kinase's score of each window, ``scores(window, kinase, score)``."""
+    both = window_values(rows, changes, sequences).join(scores, "window").select("kinase", F.col("value").alias("x"), F.col("score").alias("y"))
     tested = spearman(both, ["kinase"]).withColumn("family", F.lit("kinase"))
     out = q_values(tested, ["family"])
     return out.select("kinase", "n", "r", "p", signed_log(F.col("p"), F.signum("r")).alias("value"), "q")
 
 
+def library_activity(rows: DataFrame, changes: DataFrame, sequences: DataFrame, weights: DataFrame) -> DataFrame:
+    """``kinase_activity`` by the weights of a kinase library."""
+    windows = sequence_windows(rows, sequences).select("window").distinct()
+    return kinase_activity(rows, changes, sequences, window_scores(windows, weights))
+
+
 def empirical_rank_p(both: DataFrame, iterations: int = 5000, seed: int = 1) -> DataFrame:
     """kinase, p: share of random orders of the values whose mean-rank product sum reaches the observed one."""
     place = both.withColumn("rx", F.rank().over(W.partitionBy("kinase").orderBy("x"))).withColumn("ry", F.rank().over(W.partitionBy("kinase").orderBy("y")))

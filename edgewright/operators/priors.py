@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import RELATION, RELATION_TYPES, acts_on, rel_sign
+from ..shared import written
 
 FILTERS = ["no-filter", "phospho-only", "site-specific-only", "expression-only", "without-expression", "phospho-primary-expression-secondary"]
 OPPOSITES = [("phosphorylates", "dephosphorylates", True), ("upregulates-expression", "downregulates-expression", False), ("acetylates", "deacetylates", True), ("methylates", "demethylates", True), ("activates-gtpase", "inhibits-gtpase", False)]
@@ -95,6 +96,40 @@ def phospho_primary(relations: DataFrame, strict: bool = False) -> DataFrame:
     return phospho.unionByName(marked.where("__s OR __t").select(*relations.columns))
 
 
+def current_symbols(aliases: DataFrame, rounds: int = 12) -> DataFrame:
+    """name, symbol: the symbol in use that each name stands for, from ``aliases(name, symbol, rank)``.
+
+    A symbol that another one lists as previous has been renamed and is followed,
+    over any chain of up to 2 ** ``rounds`` steps (each round doubles the steps that names have made). A
+    name goes by its best rank: previous before alias; one that stands for several
+    symbols there is ambiguous and has none, nor has one on a circle.
+    """
+    renamed = aliases.where("rank = 1 AND name <> symbol").select("name").distinct()
+    # a symbol in use stands for itself, unless it was renamed
+    held = aliases.where("rank = 0").join(renamed, "name", "left_anti").select("name").distinct()
+    others = aliases.where("rank > 0 AND name <> symbol").join(held, "name", "left_anti")
+    best = others.groupBy("name").agg(F.min("rank").alias("rank"))
+    one = others.join(best, ["name", "rank"]).groupBy("name").agg(F.count_distinct("symbol").alias("n"), F.min("symbol").alias("symbol")).where("n = 1").drop("n")
+    steps = written(one, "names")
+    for _ in range(rounds):
+        onward = steps.select(F.col("name").alias("symbol"), F.col("symbol").alias("next"))
+        further = written(steps.join(onward, "symbol", "left").select("name", F.coalesce("next", "symbol").alias("symbol"), F.col("next").isNotNull().alias("moved")), "names")
+        steps = further.drop("moved")
+        if further.where("moved").isEmpty():
+            break
+    return held.select("name", F.col("name").alias("symbol")).unionByName(steps.join(held.select(F.col("name").alias("symbol")), "symbol", "left_semi").select("name", "symbol"))
+
+
+def with_current_symbols(priors: DataFrame, current: DataFrame) -> DataFrame:
+    """Relations with both ends under the symbols in use (``current_symbols``); ChEBI names stay, relations with another name go, those that become equal are merged."""
+    out = priors
+    for end in ("source", "target"):
+        names = current.select(F.col("name").alias(end), F.col("symbol").alias("__symbol"))
+        found = F.when(F.col(end).startswith("CHEBI:"), F.col(end)).otherwise(F.col("__symbol"))
+        out = out.join(names, end, "left").withColumn(end, found).drop("__symbol").where(F.col(end).isNotNull())
+    return merged([out.select(*priors.columns)])
+
+
 def known_symbols(priors: DataFrame, symbols: DataFrame) -> DataFrame:
     """Relations whose ends are known gene symbols (column symbol) or ChEBI ids."""
     known = symbols.select(F.col("symbol")).distinct()

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import stats
 from ..model import EVIDENCE_TYPES, PROTEOMIC, RELATION, RELATION_TYPES, SITE_TYPES, Rules, acts_on, target_rules
+from . import detectors
 
 
 def by_gene(rows: DataFrame, changes: DataFrame | None = None) -> DataFrame:
@@ -129,12 +131,32 @@ def differentially_expressed(rows: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def with_unique_ids(rows: DataFrame) -> DataFrame:
-    """``rows``, or an error if a gene has the same row_id twice."""
-    if twice := duplicate_ids(rows).orderBy("gene", "row_id").take(3):
-        raise ValueError("ids that occur twice under a gene: " + ", ".join(f"{r.gene} {r.row_id}" for r in twice))
+    """``rows``, or an error if two of them have the same row_id: values belong to ids, so the two could not be told apart."""
+    genes = F.array_sort(F.array_distinct(F.flatten(F.collect_list("genes"))))
+    twice = rows.groupBy("row_id").agg(F.count("*").alias("n"), genes.alias("genes")).where("n > 1")
+    if found := twice.orderBy("row_id").take(3):
+        raise ValueError("ids that occur twice: " + ", ".join(f"{' '.join(r.genes)} {r.row_id}" for r in found))
     return rows
 
 
-def duplicate_ids(rows: DataFrame) -> DataFrame:
-    """Genes under which one row_id occurs twice."""
-    return rows.select(F.explode(F.array_distinct("genes")).alias("gene"), "row_id").groupBy("gene", "row_id").agg(F.count("*").alias("n")).where("n > 1")
+def group_changes(rows: DataFrame, values: DataFrame, groups: DataFrame, threshold: float = 0.5, min_sample: int = 0) -> DataFrame:
+    """gene, row_id, diff, t, df, p, sign: change of each row between the samples that ``groups(gene, sample_idx, grp)`` calls test and control for a gene.
+
+    One test for each gene and row, all in one plan: groups are joined to the
+    values by sample, and means and variances are summed up before the shuffle.
+    """
+    cells = values.where("replicate = 0 AND value IS NOT NULL").join(rows.select("row_id"), "row_id", "left_semi").select("row_id", "sample_idx", "value")
+    tested = detectors.welch(cells.join(groups.select("gene", "sample_idx", "grp"), "sample_idx"), min_sample, ("gene", "row_id"))
+    tested = tested.withColumn("p", stats.t_p(F.col("t"), F.col("df")))
+    sign = F.when(F.col("p") <= threshold, F.when(F.col("diff") > 0, 1).otherwise(-1)).otherwise(0)
+    return tested.select("gene", "row_id", "diff", "t", "df", "p", F.coalesce(sign, F.lit(0)).cast("int").alias("sign"))
+
+
+def mutation_comparison(priors: DataFrame, rows: DataFrame, values: DataFrame, groups: DataFrame, threshold: float = 0.5, rules: Rules = Rules(), causal: bool = True) -> DataFrame:
+    """gene, source, rel_type, target: relations that explain (or contradict) the changes between a gene's mutated and other samples, for every gene of ``groups``."""
+    changed = group_changes(rows, values, groups, threshold).where("sign <> 0").select("gene", "row_id", "sign")
+    found = pairs(priors, rows, None, rules).select(*RELATION, "rel_sign", "src_effect", "src_row", "tgt_row")
+    source = changed.select(F.col("gene"), F.col("row_id").alias("src_row"), F.col("sign").alias("s"))
+    target = changed.select(F.col("gene"), F.col("row_id").alias("tgt_row"), F.col("sign").alias("t"))
+    both = found.join(source, "src_row").join(target, ["gene", "tgt_row"])
+    return both.where(F.col("s") * F.col("t") * F.col("rel_sign") * F.col("src_effect") == (1 if causal else -1)).select("gene", *RELATION).distinct()

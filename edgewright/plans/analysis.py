@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.multiple_testing import thresholds
 from ..model import PROTEOMIC
-from ..operators import detectors, fdr, pairwise, priors, search, significance
+from ..operators import correlation_blocks, detectors, fdr, kinase, pairwise, presence, priors, search, significance
 from ..sources import params, sinks, tables
 
 
 #: Known parameters without an implementation: an error rather than another result than asked for.
-NOT_DONE = ["kinase-library", "randomized-matrix-directory-for-missing-proteomic-data", "show-all-genes-with-proteomic-data", "show-insignificant-data", "hide-data-not-part-of-causal-relations"]
+NOT_DONE = ["show-all-genes-with-proteomic-data", "show-insignificant-data", "hide-data-not-part-of-causal-relations"]
+
+
+#: The parameter that asks for random presence tables, and how many are made: a p is at least one in so many.
+RANDOM_TABLES, N_TABLES = "randomized-matrix-directory-for-missing-proteomic-data", 1000
 
 
 @dataclass
@@ -31,6 +35,8 @@ class Analysis:
     pairs: DataFrame | None = None
     significance: DataFrame | None = None
     graph_p: float | None = None
+    graph_sizes: DataFrame | None = None
+    kinases: DataFrame | None = None
     reused: bool = False
 
     def result(self, causal: bool = True) -> DataFrame:
@@ -64,17 +70,17 @@ def load(spark: SparkSession, base: str, config: params.Config) -> Analysis:
     ids = get("id-column", "ID")
     values_file = tables.tsv(spark, _path(base, get("proteomics-values-file")))
     platform = tables.tsv(spark, _path(base, get("proteomics-platform-file"))) if get("proteomics-platform-file") else values_file
-    rows = tables.annotation(platform, ids, get("symbols-column", "Symbols"), get("sites-column", "Sites"), get("effect-column", "Effect"), get("feature-column"))
+    rows = tables.annotation(platform, ids, get("symbols-column", "Symbols"), get("sites-column", "Sites"), get("effect-column", "Effect"), get("feature-column")).drop("line")
     values = tables.joined_values(rows, tables.values(values_file, ids, columns), groups, get("default-missing-value"), get("do-log-transform", False))
     for i, name in enumerate(get("proteomics-repeat-values-file", []), 1):
         repeat = tables.tsv(spark, _path(base, name))
         # a values file without symbols repeats the platform's rows alone
-        named = tables.annotation(repeat, ids, get("symbols-column", "Symbols"), get("sites-column", "Sites"), get("effect-column", "Effect")) if get("symbols-column", "Symbols") in repeat.columns else rows
+        named = tables.first_of_id(tables.annotation(repeat, ids, get("symbols-column", "Symbols"), get("sites-column", "Sites"), get("effect-column", "Effect"))) if get("symbols-column", "Symbols") in repeat.columns else rows
         rows, values = tables.with_repeats(rows, values, named, tables.values(repeat, ids, columns, i), get("do-log-transform", False))
     for key, kind in (("acetyl-proteomic-file", "acetylprotein"), ("methyl-proteomic-file", "methylprotein")):
         if get(key):
             more = tables.tsv(spark, _path(base, get(key)))
-            extra = tables.annotation(more, ids, get("symbols-column", "Symbols"), get("sites-column", "Sites"), get("effect-column", "Effect")).withColumn("data_type", F.lit(kind))
+            extra = tables.annotation(more, ids, get("symbols-column", "Symbols"), get("sites-column", "Sites"), get("effect-column", "Effect")).withColumn("data_type", F.lit(kind)).drop("line")
             rows = rows.unionByName(extra)
             values = values.unionByName(tables.values(more, ids, columns))
     net = relations_of(spark, base, config)
@@ -119,8 +125,7 @@ def relations_of(spark: SparkSession, base: str, config: params.Config) -> DataF
     more = [tables.priors(spark, _path(base, p)) for p in get("additional-custom-priors", [])]
     net = priors.with_additional(net, more) if more else net
     if get("hgnc-file"):
-        known = tables.tsv(spark, _path(base, get("hgnc-file")))
-        net = priors.known_symbols(net, known.select(F.col(f"`{known.columns[0]}`").alias("symbol")))
+        net = priors.with_current_symbols(net, priors.current_symbols(tables.aliases(spark, _path(base, get("hgnc-file")))))
     return priors.gene_focus(priors.relation_filter(net, get("relation-filter-type", "no-filter")), get("gene-focus", []))
 
 
@@ -142,33 +147,54 @@ def run(analysis: Analysis, known: tuple[DataFrame, float] | None = None) -> Ana
         found = search.pairs(analysis.priors, analysis.rows, None, rules)
         ends = found.select(F.col("src_row").alias("a"), F.col("tgt_row").alias("b"))
         shown = detectors.presence(analysis.values, analysis.rows) if get("use-missing-proteomic-data-for-test", False) else None
-        corr = pairwise.correlate(ends, analysis.rows, analysis.values, limits, shown)
+        overlap = None
+        if shown is not None and get(RANDOM_TABLES):
+            proteomic = analysis.rows.where(F.col("data_type").isin(PROTEOMIC))
+            state, samples = presence.randomised(shown, proteomic, N_TABLES)
+            overlap = lambda e: presence.overlap_p(e, state, samples, shown, proteomic, N_TABLES)
+        corr = pairwise.correlate(ends, analysis.rows, analysis.values, limits, shown, overlap)
         analysis.pairs = pairwise.correlation_pairs(found, corr).cache()
-        signs_of = lambda e: pairwise.correlate(e, analysis.rows, analysis.values, limits, shown)
+        signs_of = lambda e: pairwise.correlate(e, analysis.rows, analysis.values, limits, shown, overlap)
         if get("fdr-threshold-for-correlation") is not None:
             limit = fdr.correlation_threshold(analysis.pairs.where("verdict <> 0"), get("fdr-threshold-for-correlation"))
-            signs_of = lambda e: pairwise.correlate(e, analysis.rows, analysis.values, limits, shown).where(F.col("p") <= limit)
+            signs_of = lambda e: pairwise.correlate(e, analysis.rows, analysis.values, limits, shown, overlap).where(F.col("p") <= limit)
             analysis.pairs = analysis.pairs.withColumn("verdict", F.when(F.col("corr_p") <= limit, F.col("verdict")).otherwise(0))
         if get("calculate-network-significance", False):
-            _with_significance(analysis, known, lambda n, least: significance.correlation_permutation_test(analysis.pairs, signs_of, analysis.rows, n, minimum=least))
+            dealt = significance.on_relations(analysis.priors, analysis.rows)
+            limits = replace(limits, p=limit) if get("fdr-threshold-for-correlation") is not None else limits
+
+            def test(n: int, least: int) -> tuple[DataFrame, float]:
+                if shown is not None or not correlation_blocks.fits(dealt):
+                    return significance.correlation_permutation_test(analysis.pairs, signs_of, dealt, n, minimum=least)
+                out, graph_p, analysis.graph_sizes = correlation_blocks.permutation_test(analysis.pairs, analysis.values, dealt, limits, n, minimum=least)
+                return out, graph_p
+
+            _with_significance(analysis, known, test)
         return analysis
     rates = get("fdr-threshold-for-data-significance", {})
     limits = {**get("threshold-for-data-significance", {}), **{t: 1.0 for t in rates}}
     make = lambda by: detectors.changes(analysis.rows, analysis.values, mode, by, get("minimum-sample-size") or 0)
     if get("use-missing-proteomic-data-for-test", False) and mode.startswith("significant-change"):
-        both = detectors.with_missing_value_test(analysis.values, analysis.rows, get("missing-value-test-data-sufficiency-threshold", 0.001), get("minimum-sample-size") or 0, mode.endswith("paired")).cache()
+        by_tables = None
+        if get(RANDOM_TABLES):
+            flags = detectors.presence(analysis.values, analysis.rows)
+            state, samples = presence.randomised(flags, analysis.rows.where(F.col("data_type").isin(PROTEOMIC)), N_TABLES)
+            by_tables = presence.missing_p(state, samples, flags, N_TABLES).select("row_id", "p")
+        both = detectors.with_missing_value_test(analysis.values, analysis.rows, get("missing-value-test-data-sufficiency-threshold", 0.001), get("minimum-sample-size") or 0, mode.endswith("paired"), by_tables).cache()
         plain = make
         make = lambda by: _with_p(plain(by), both, analysis.rows, by)
     analysis.changes = make(limits).cache()
     analysis.pairs = search.pairs(analysis.priors, analysis.rows, analysis.changes, rules).cache()
     if rates:
         tested = fdr.participants(analysis.pairs.where("verdict <> 0")).where(F.col("data_type").isin([*rates, *PROTEOMIC]))
-        limits.update(fdr.data_thresholds(tested, rates, get("pool-proteomics-for-fdr-adjustment", False)))
+        ends = significance.on_relations(analysis.priors, analysis.rows).select("row_id", "data_type").join(analysis.changes.select("row_id", "p"), "row_id")
+        limits.update(fdr.data_thresholds(tested, rates, get("pool-proteomics-for-fdr-adjustment", False), ends))
         analysis.changes = make(limits).cache()
         analysis.pairs = search.pairs(analysis.priors, analysis.rows, analysis.changes, rules).cache()
     if get("calculate-network-significance", False):
-        signs = analysis.rows.select("row_id", "data_type").join(analysis.changes.select("row_id", "sign"), "row_id")
-        _with_significance(analysis, known, lambda n, least: significance.permutation_test(analysis.pairs, signs, n, minimum=least))
+        dealt = significance.on_relations(analysis.priors, analysis.rows).select("row_id", "data_type").join(analysis.changes.select("row_id", "sign"), "row_id")
+        targets = search.target_pairs(analysis.priors, search.by_gene(analysis.rows, analysis.changes), rules)
+        _with_significance(analysis, known, lambda n, least: significance.permutation_test(targets, analysis.pairs, dealt, n, minimum=least))
         if get("use-network-significance-for-causal-reasoning", False):
             _with_network_activity(analysis, rules, get("fdr-threshold-for-network-significance", 0.1))
     return analysis
@@ -220,8 +246,14 @@ def write(analysis: Analysis, out: str) -> None:
     if analysis.changes is not None and by_p:
         sinks.write_tsv(fdr.value_changes(analysis.rows, analysis.changes).orderBy("class", "p", "row_id"), f"{out}/value-changes")
         sinks.write_tsv(search.unknown_effects(analysis.priors, analysis.rows, analysis.changes, analysis.config.rules()).orderBy("site"), f"{out}/unknown-site-effects")
+    if analysis.kinases is not None:
+        signed = F.when(F.col("r") >= 0, F.col("p")).otherwise(-F.col("p"))
+        sinks.write_tsv(analysis.kinases.orderBy("kinase").select(F.col("kinase").alias("Kinase"), signed.alias("pValues"), F.col("q").alias("QValue")), f"{out}/kinaseAnalysis")
     if analysis.significance is not None and not analysis.reused:
         sinks.write_lines(sinks.significance_lines(analysis.significance, analysis.graph_p), f"{out}/significance-pvals")
+    if analysis.graph_sizes is not None:
+        size = search.relations(search.satisfying(analysis.pairs)).count()
+        sinks.write_lines(sinks.null_distribution_lines(size, analysis.graph_sizes), f"{out}/graph-size-null-dist")
 
 
 def run_directory(spark: SparkSession, base: str, out: str | None = None) -> Analysis:
@@ -233,14 +265,55 @@ def run_directory(spark: SparkSession, base: str, out: str | None = None) -> Ana
     out = out or f"{base}/output"
     loaded = load(spark, base, params.read_parameters(spark, f"{base}/parameters.txt"))
     analysis = run(loaded, tables.significance(spark, f"{out}/significance-pvals"))
+    if loaded.config.get("kinase-library", False):
+        analysis.kinases = _kinases(spark, base, analysis)
     write(analysis, out)
     return analysis
 
 
-def run_directories(spark: SparkSession, bases: list[str], threads: int = 4, one: Callable[[SparkSession, str], object] = run_directory) -> None:
-    """Several analyses at once in one session."""
+def _kinases(spark: SparkSession, base: str, analysis: Analysis) -> DataFrame:
+    """Kinase activity by the library that ``custom-resource-directory`` holds: kinase-library.tsv and sequences.fasta."""
+    folder = analysis.config.get("custom-resource-directory")
+    if not folder or analysis.changes is None:
+        raise ValueError("kinase-library needs custom-resource-directory (kinase-library.tsv, sequences.fasta) and a mode with changes")
+    weights = tables.kinase_weights(spark, _path(base, f"{folder}/kinase-library.tsv"))
+    return kinase.library_activity(analysis.rows, analysis.changes, tables.sequences(spark, _path(base, f"{folder}/sequences.fasta")), weights)
+
+
+def studies(spark: SparkSession, base: str) -> list[str]:
+    """Directories with parameters.txt at any depth below ``base``, itself included, but none below another one."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "parameters.txt").load(base)
+    every = sorted(r["path"].rpartition("/")[0] for r in found.select("path").collect())  # one path for each study
+    kept: list[str] = []
+    for path in every:
+        if not any(path.startswith(f"{above}/") for above in kept):
+            kept.append(path)
+    return kept
+
+
+def run_directories(spark: SparkSession, bases: list[str], threads: int = 4, one: Callable[[SparkSession, str], object] = run_directory) -> dict[str, str | None]:
+    """Several analyses at once in one session, each in a scheduler pool of its own (fair, if spark.scheduler.mode says so).
+
+    Gives what went wrong with each, None for those that ended well; a failed one doesn't stop the others.
+    """
+
+    def attempt(base: str) -> str | None:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", base)
+        try:
+            one(spark, base)
+        except Exception as error:  # noqa: BLE001  whatever it is, the others go on and it is reported
+            return f"{type(error).__name__}: {error}"
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+        return None
+
     with ThreadPoolExecutor(threads) as pool:
-        list(pool.map(lambda base: one(spark, base), bases))
+        return dict(zip(bases, pool.map(attempt, bases), strict=True))
+
+
+def run_recursive(spark: SparkSession, base: str, threads: int = 1) -> dict[str, str | None]:
+    """``run_directories`` of all ``studies`` below a directory."""
+    return run_directories(spark, studies(spark, base), threads)
 
 
 def causality_graph(rows: DataFrame, values: DataFrame, net: DataFrame, threshold: float, graph_type: str = "causative", rules=None) -> DataFrame:

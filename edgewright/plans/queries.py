@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.multiple_testing import q_values, thresholds
 from ..functions.scalars import color
 from ..model import RELATION, Rules
-from ..operators import detectors, fdr, pairwise, priors, search, significance
+from ..operators import correlation_blocks, detectors, fdr, kinase, pairwise, presence, priors, search, significance
 from ..sources import sinks
 from . import star
 
@@ -450,11 +450,41 @@ SQL["activity_upstream_of_expression"] = f"""WITH {star.SQL}, act AS (SELECT 'S'
 SELECT {KEY}, src_row, tgt_row FROM prs WHERE rel_type LIKE '%phosphorylates' UNION ALL SELECT {KEY}, act.row_id AS src_row, tgt_row FROM tgt JOIN act USING (source)"""
 
 
+def _permuted(s: star.Star, iterations: int) -> tuple[DataFrame, float]:
+    changes = _changes(s)
+    targets = search.target_pairs(s.priors, search.by_gene(s.rows, changes), Rules())
+    dealt = significance.on_relations(s.priors, s.rows).select("row_id", "data_type").join(changes.select("row_id", "sign"), "row_id")
+    return significance.permutation_test(targets, search.pairs(s.priors, s.rows, changes), dealt, iterations)
+
+
 @query()
 def network_significance(s):
-    found = _pairs(s).cache()
-    signs = s.rows.select("row_id", "data_type").join(_changes(s).select("row_id", "sign"), "row_id")
-    out, p = significance.permutation_test(found, signs, iterations=192)
+    out, p = _permuted(s, 1000)
+    return out.withColumn("graph_p", F.lit(p))
+
+
+@query(
+    "SELECT source, potential, changed, activating, inhibiting, changed = 0 AS sure_changed, activating = 0 AS sure_activating, inhibiting = 0 AS sure_inhibiting FROM (SELECT source, count(DISTINCT target) AS potential, count(DISTINCT target) FILTER (WHERE tgt_sign <> 0) AS changed, count(DISTINCT target) FILTER (WHERE tgt_sign * rel_sign = 1) AS activating, count(DISTINCT target) FILTER (WHERE tgt_sign * rel_sign = -1) AS inhibiting FROM tgt GROUP BY 1) WHERE potential >= 5"
+)
+def network_significance_counts(s):
+    """What permutations are held against: every source with targets enough, and where p is 1 because nothing was observed."""
+    out, _ = _permuted(s, 64)
+    unseen = [((F.col(c) == 0) & (F.col(f"p_{c}") == 1)).alias(f"sure_{c}") for c in significance.TESTS]
+    return out.select("source", "potential", *significance.TESTS, *unseen)
+
+
+def _correlated(s: star.Star) -> tuple[DataFrame, pairwise.CorrelationLimits]:
+    limits = pairwise.CorrelationLimits(p=0.05)
+    found = search.pairs(s.priors, s.rows)
+    ends = found.select(F.col("src_row").alias("a"), F.col("tgt_row").alias("b"))
+    return pairwise.correlation_pairs(found, pairwise.correlate(ends, s.rows, s.values, limits)), limits
+
+
+@query()
+def correlation_network_significance(s):
+    """1,000 permutations in correlation mode, with the p of the graph's size."""
+    pairs, limits = _correlated(s)
+    out, p, _ = correlation_blocks.permutation_test(pairs, s.values, significance.on_relations(s.priors, s.rows), limits, 1000)
     return out.withColumn("graph_p", F.lit(p))
 
 
@@ -482,3 +512,110 @@ def graph_json(s):
     kept = search.relations(search.satisfying(_pairs(s)))
     genes = kept.select(F.explode(F.array("source", "target")).alias("gene")).distinct()
     return sinks.graph_json(kept, sinks.formats(genes, search.by_gene(s.rows, _changes(s)), 20.0))
+
+
+WINDOWS = """seqs AS (SELECT 'P' || p_partkey AS gene, upper(regexp_replace(p_name || p_type || p_name, '[^A-Za-z]', '', 'g')) AS seq FROM part),
+win AS (SELECT row_id, substr(seq, pos - 5, 10) AS win FROM rws JOIN seqs USING (gene) WHERE data_type = 'phosphoprotein' AND pos > 5 AND pos + 4 <= length(seq)),
+wval AS (SELECT win AS window_, max_by(value, row_id) AS value FROM win JOIN diff USING (row_id) WHERE value IS NOT NULL GROUP BY 1)"""
+SCORES = f"""{WINDOWS},
+weights AS (SELECT n_name AS kinase, p AS place, chr(c) AS residue, 0.5 + ((n_nationkey * 31 + (p + 5) * 17 + c * 7) % 40) / 20.0 AS weight FROM nation, range(-5, 5) a(p), range(65, 91) b(c)),
+scores AS (SELECT w.win, kinase, sum(log2(weight)) AS score FROM (SELECT DISTINCT win FROM win) w, range(-5, 5) a(p) JOIN weights ON place = p AND residue = substr(w.win, CAST(p + 6 AS INT), 1) GROUP BY ALL)"""
+
+
+def _files_query(name: str, select: str, ctes: str, f: Callable[[SparkSession, str], DataFrame]) -> None:
+    QUERIES[name] = f
+    SQL[name] = f"WITH {star.SQL}, {ctes} {select}"
+
+
+def sequences_by_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = star.load(spark, sf_dir)
+    return kinase.sequences_by_change(s.rows, _changes(s), star.sequences(spark, sf_dir)).select("window", r6("value"))
+
+
+_files_query("sequences_by_change", 'SELECT window_ AS "window", round(value, 6) + 0.0 AS value FROM wval', WINDOWS, sequences_by_change)
+
+
+def kinase_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    windows = kinase.sequence_windows(star.load(spark, sf_dir).rows, star.sequences(spark, sf_dir)).select("window").distinct()
+    return kinase.window_scores(windows, star.kinase_weights(spark, sf_dir)).select("window", "kinase", r6("score"))
+
+
+_files_query("kinase_scores", 'SELECT win AS "window", kinase, round(score, 6) + 0.0 AS score FROM scores', SCORES, kinase_scores)
+
+
+def kinase_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = star.load(spark, sf_dir)
+    weights = star.kinase_weights(spark, sf_dir).withColumn("weight", F.exp(F.round(F.ln("weight"), 9)))
+    return kinase.library_activity(s.rows, _changes(s), star.sequences(spark, sf_dir), weights).select("kinase", "n", F.round("r", 3).alias("r"))
+
+
+_files_query(
+    "kinase_activity",
+    "SELECT kinase, count(*) AS n, round(corr(rx, ry), 3) AS r FROM (SELECT kinase, rank() OVER (PARTITION BY kinase ORDER BY x) + (count(*) OVER (PARTITION BY kinase, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY kinase ORDER BY y) + (count(*) OVER (PARTITION BY kinase, y) - 1) / 2.0 AS ry FROM (SELECT kinase, round(value, 9) AS x, round(score, 9) AS y FROM wval JOIN scores ON win = window_)) GROUP BY 1",
+    SCORES, kinase_activity,
+)
+
+
+def mutation_effect_t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = star.load(spark, sf_dir)
+    return search.group_changes(s.rows, s.values, star.mutated_months(spark, sf_dir)).select("gene", "row_id", r6("t"), r6("df"))
+
+
+MUTATED = """mut AS (SELECT 'N' || s_nationkey AS gene, m, CASE WHEN count(*) FILTER (WHERE flag = 'R') % 2 = 1 THEN 'test' ELSE 'control' END AS mgrp FROM li JOIN supplier ON s_suppkey = s GROUP BY s_nationkey, m),
+mt AS (SELECT gene, row_id, avg(v) FILTER (WHERE mgrp='test') mt, avg(v) FILTER (WHERE mgrp='control') mc, var_samp(v) FILTER (WHERE mgrp='test') vt, var_samp(v) FILTER (WHERE mgrp='control') vc, count(*) FILTER (WHERE mgrp='test') nt, count(*) FILTER (WHERE mgrp='control') nc FROM cells JOIN mut USING (m) GROUP BY 1, 2)"""
+_files_query(
+    "mutation_effect_t",
+    "SELECT gene, row_id, CASE WHEN ok THEN round((mt-mc)/sqrt(vt/nt+vc/nc), 6) + 0.0 END AS t, CASE WHEN ok THEN round((vt/nt+vc/nc)**2/((vt/nt)**2/(nt-1)+(vc/nc)**2/(nc-1)), 6) + 0.0 END AS df FROM (SELECT *, nt > 1 AND nc > 1 AND vt/nt+vc/nc > 0 AS ok FROM mt)",
+    MUTATED, mutation_effect_t,
+)
+
+
+def mutation_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = star.load(spark, sf_dir)
+    return search.mutation_comparison(s.priors, s.rows, s.values, star.mutated_months(spark, sf_dir), threshold=0.05)
+
+
+QUERIES["mutation_comparison"] = mutation_comparison
+
+
+@query()
+def robustness(s):
+    """Twenty iterations of noise on all values, in one plan."""
+    return significance.robustness(s.priors, s.rows, s.values, lambda rows, values: detectors.changes(rows, values, "difference-of-means", LIMITS), 1.0, 20)
+
+
+def _aliases(s: star.Star) -> DataFrame:
+    """Parts renamed one after another: within each five, the first three have each become the next; every tenth part's alias names two."""
+    parts = s.rows.where("row_id LIKE 'P%' AND data_type = 'protein'").select(F.substring("row_id", 2, 20).cast("long").alias("p"))
+    name = lambda c: F.concat(F.lit("P"), c.cast("string"))
+    p = F.col("p")
+    approved = s.priors.select(F.explode(F.array("source", "target")).alias("name")).distinct().select("name", F.col("name").alias("symbol"), F.lit(0).alias("rank"))
+    renamed = parts.where(p % 5 < 3).select(name(p).alias("name"), name(p + 1).alias("symbol"), F.lit(1).alias("rank"))
+    doubled = parts.where(p % 5 == 4).select(name(p).alias("name"), F.explode(F.array(name(p - 1), name(p - 2))).alias("symbol"), F.lit(1).alias("rank")).where("substring(name, 2) % 10 = 4")
+    return approved.unionByName(renamed).unionByName(doubled)
+
+
+@query(
+    "SELECT name, symbol FROM held UNION ALL SELECT name, symbol FROM walk WHERE symbol IN (SELECT name FROM held)",
+    """ends AS (SELECT source AS name FROM pri UNION SELECT target FROM pri), pn AS (SELECT DISTINCT p FROM li),
+ren AS (SELECT 'P' || p AS name, 'P' || (p + 1) AS symbol FROM pn WHERE p % 5 < 3), dbl AS (SELECT 'P' || p AS name FROM pn WHERE p % 10 = 4),
+held AS (SELECT name, name AS symbol FROM ends WHERE name NOT IN (SELECT name FROM ren) AND name NOT IN (SELECT name FROM dbl)),
+walk AS (SELECT a.name, coalesce(c.symbol, b.symbol, a.symbol) AS symbol FROM ren a LEFT JOIN ren b ON b.name = a.symbol LEFT JOIN ren c ON c.name = b.symbol)""",
+)
+def current_symbols(s):
+    return priors.current_symbols(_aliases(s))
+
+
+def _whole(s: star.Star) -> DataFrame:
+    """Values of every row in every month, null where nothing was shipped."""
+    months = s.values.select("sample_idx", "grp").distinct().agg(F.collect_set(F.struct("sample_idx", "grp")).alias("months"))  # 84 at most
+    grid = s.rows.select("row_id").join(F.broadcast(months)).select("row_id", F.explode("months").alias("x")).select("row_id", F.lit(0).alias("replicate"), "x.*")
+    return grid.join(s.values.select("row_id", "sample_idx", "value"), ["row_id", "sample_idx"], "left").select("row_id", "replicate", "sample_idx", "grp", "value")
+
+
+@query()
+def missing_value_p(s):
+    """Whether rows miss more or fewer test months than in random tables of the same sums."""
+    flags = detectors.presence(_whole(s), s.rows)
+    state, samples = presence.randomised(flags, s.rows, tables=100, rounds=3)
+    return presence.missing_p(state, samples, flags, 100)

@@ -64,6 +64,28 @@ def with_activity(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFram
     return rows.unionByName(act)
 
 
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """gene, sequence: the letters of a part's name and type stand for its residues."""
+    t = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return t.select(_name("P", "p_partkey").alias("gene"), F.upper(F.regexp_replace(F.concat("p_name", "p_type", "p_name"), "[^A-Za-z]", "")).alias("sequence"))
+
+
+def kinase_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """kinase, place, residue, weight: nations stand for kinases."""
+    t = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    places, letters = F.sequence(F.lit(-5), F.lit(4)), F.transform(F.sequence(F.lit(65), F.lit(90)), lambda c: F.char(c))
+    each = t.select("n_nationkey", F.col("n_name").alias("kinase"), F.explode(places).alias("place")).select("*", F.explode(letters).alias("residue"))
+    return each.select("kinase", "place", "residue", (0.5 + ((F.col("n_nationkey") * 31 + (F.col("place") + 5) * 17 + F.ascii("residue") * 7) % 40) / 20.0).alias("weight"))
+
+
+def mutated_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """gene, sample_idx, grp: a nation's suppliers are mutated in months in which they ship an odd number of returned lines."""
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("s"), F.col("s_nationkey").alias("nation"))
+    returned = F.sum((F.col("flag") == "R").cast("int"))
+    each = lineitems(spark, sf_dir).join(supplier, "s").groupBy("nation", F.col("m").alias("sample_idx")).agg(returned.alias("n"))
+    return each.select(_name("N", "nation").alias("gene"), "sample_idx", F.when(F.col("n") % 2 == 1, "test").otherwise("control").alias("grp"))
+
+
 #: The same in SQL, as common table expressions.
 SQL = """
 li AS (SELECT l_suppkey AS s, l_partkey AS p, CAST(l_linenumber AS INT) AS ln, l_orderkey AS o, l_quantity AS q, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) AS m, l_returnflag AS flag FROM lineitem),

@@ -11,7 +11,7 @@ from ..model import Rules
 
 #: key -> (kind, may repeat, what it does). Kinds: text, list, number, int, flag, map (DATA-TYPE number), activity (GENE a|i).
 KEYS: dict[str, tuple[str, bool, str]] = {
-    "kinase-library": ("text", False, "table of kinase scores by sequence window"),
+    "kinase-library": ("flag", False, "activity of kinases by the library in the resource directory"),
     "proteomics-values-file": ("text", False, "measurement values"),
     "proteomics-repeat-values-file": ("text", True, "values of a repeated experiment"),
     "proteomics-platform-file": ("text", False, "row annotation, if apart from the values"),
@@ -54,7 +54,7 @@ KEYS: dict[str, tuple[str, bool, str]] = {
     "use-network-significance-for-causal-reasoning": ("flag", False, "add significant sources as activity"),
     "minimum-potential-targets-to-consider-for-downstream-significance": ("int", False, "least number of measured targets"),
     "use-missing-proteomic-data-for-test": ("flag", False, "test presence beside values"),
-    "randomized-matrix-directory-for-missing-proteomic-data": ("text", False, "randomised presence tables"),
+    "randomized-matrix-directory-for-missing-proteomic-data": ("text", False, "missing values are tested by randomised presence tables, made here whatever the directory"),
     "missing-value-test-data-sufficiency-threshold": ("number", False, "p that the margins must be able to reach"),
     "prioritize-activity-data": ("flag", False, "activity rows replace a gene's other evidence"),
     "do-site-matching": ("flag", False, "sites must match"),

@@ -102,6 +102,12 @@ def significance_lines(found: DataFrame, graph_p: float) -> DataFrame:
     return first.unionByName(rows).orderBy("part", F.asc_nulls_last("least"), "source").select("line")
 
 
+def null_distribution_lines(size: int, sizes: DataFrame) -> DataFrame:
+    """``line`` in order: the size of the result, then its size in each iteration of ``sizes(iter, size)``."""
+    head = sizes.sparkSession.createDataFrame([(-1, f"Actual graph size\n{size}\n\nNull distribution")], "iter int, line string")
+    return head.unionByName(sizes.select("iter", F.col("size").cast("double").cast("string").alias("line"))).orderBy("iter").select("line")
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     lines.coalesce(1).write.mode("overwrite").text(path)
 

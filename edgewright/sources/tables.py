@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -16,9 +15,27 @@ NO_SITES = "cast(NULL AS array<struct<gene:string,aa:string,pos:int>>)"
 FEATURES = {"P": "phosphoprotein", "G": "protein", "R": "rna", "A": "acetylprotein", "M": "methylprotein", "C": "metabolite"}
 
 
+#: Order of lines that ``tsv`` reads.
+LINE = "__line"
+
+
+def with_line(read: DataFrame) -> DataFrame:
+    """Rows as a file source gives them with LINE, which sorts them by file name and place in the file.
+
+    A task reads the splits that Spark packs for it, largest first, so the order of
+    tasks and splits is not that of lines. Within one split rows come in order.
+    """
+    return read.withColumn(LINE, F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("place")))
+
+
 def tsv(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """All columns as text, without quoting; short lines end in nulls."""
-    return spark.read.option("sep", "\t").option("header", header).option("quote", "").option("mode", "PERMISSIVE").csv(path)
+    """All columns as text, without quoting, and LINE as the last one; short lines end in nulls."""
+    return with_line(spark.read.option("sep", "\t").option("header", header).option("quote", "").option("mode", "PERMISSIVE").csv(path))
+
+
+def line_of(table: DataFrame) -> Column:
+    """LINE, or for tables that come from elsewhere the order in which Spark holds them."""
+    return F.col(LINE) if LINE in table.columns else F.monotonically_increasing_id()
 
 
 def tsv_or_none(spark: SparkSession, path: str) -> DataFrame | None:
@@ -51,31 +68,41 @@ def annotation(table: DataFrame, id_column: str = "ID", symbols: str = "Symbols"
     Genes are separated by white space, as are the site groups that belong to
     them; the sites of a group by a bar. Genes beyond the groups take those of
     the first. Effect a, i or else unknown; rows without sites have effect 1.
-    Of one id the last row by symbols counts.
+    Equal rows count once. Other rows with one id are all given:
+    ``search.with_unique_ids`` refuses them, ``first_of_id`` takes the first (by ``line``).
     """
     need(table, [id_column, symbols, *([feature] if feature else [])])
     blank = lambda name: blank_to_null(_col(name)) if name and name in table.columns else F.lit(None).cast("string")
     rows = table.where(blank(id_column).isNotNull()).select(
         blank(id_column).alias("row_id"), F.split(blank(symbols), r"\s+").alias("genes"), F.split(blank(sites), r"\s+").alias("groups"),
-        F.lower(F.substring(blank(effect), 1, 1)).alias("e"), F.upper(F.substring(blank(feature) if feature else F.lit(None).cast("string"), 1, 1)).alias("f"),
+        F.lower(F.substring(blank(effect), 1, 1)).alias("e"), F.upper(F.substring(blank(feature) if feature else F.lit(None).cast("string"), 1, 1)).alias("f"), line_of(table).alias("line"),
     )
     each = F.transform("genes", lambda g, i: F.transform(F.split(F.coalesce(F.try_element_at("groups", i + 1), F.try_element_at("groups", F.lit(1))), r"\|"), lambda s: F.struct(g.alias("gene"), parse_site(s)["aa"].alias("aa"), parse_site(s)["pos"].alias("pos"))))
     found = F.when(F.col("groups").isNotNull(), F.filter(F.flatten(each), lambda s: s["pos"].isNotNull()))
     types = F.create_map(*[F.lit(x) for kv in FEATURES.items() for x in kv])
     kind = F.coalesce(F.when(F.col("f").isNotNull(), types[F.col("f")]), F.when(F.col("groups").isNotNull(), "phosphoprotein").otherwise("protein"))
     known = F.when(F.col("e") == "a", 1).when(F.col("e") == "i", -1)
-    made = rows.select("row_id", kind.alias("data_type"), "genes", found.alias("sites"), "e", known.alias("known"))
+    made = rows.select("row_id", kind.alias("data_type"), "genes", found.alias("sites"), known.alias("known"), "line")
     site = F.col("data_type").isin(SITE_TYPES)
     made = made.withColumn("effect", F.when(site, F.coalesce("known", F.lit(0))).otherwise(F.coalesce("known", F.lit(1))))
-    last = F.row_number().over(W.partitionBy("row_id").orderBy(F.array_join("genes", " ").desc()))
-    return made.withColumn("n", last).where("n = 1").select("row_id", "data_type", "genes", F.when(site, F.col("sites")).alias("sites"), "effect")
+    made = made.select("row_id", "data_type", "genes", F.when(site, F.col("sites")).alias("sites"), "effect", "line")
+    return made.groupBy("row_id", "data_type", "genes", "sites", "effect").agg(F.min("line").alias("line"))
+
+
+def first_of_id(rows: DataFrame) -> DataFrame:
+    """Of each id the first line of an ``annotation``.
+
+    Repeat experiments may name an id more than once. Values belong to ids, so such
+    copies have one spread, and the rule that a larger spread wins leaves the first.
+    """
+    return rows.withColumn("n", F.row_number().over(W.partitionBy("row_id").orderBy("line"))).where("n = 1").drop("n", "line")
 
 
 def values(table: DataFrame, id_column: str, columns: list[tuple[str, str]], replicate: int = 0) -> DataFrame:
     """Long values of ``columns`` (name, group); what is no number is missing. Of one id (without blanks around it) the last row counts."""
     need(table, [id_column, *(c for c, _ in columns)])
-    numbered = table.withColumn("__line", F.monotonically_increasing_id())
-    last = F.row_number().over(W.partitionBy(F.trim(_col(id_column))).orderBy(F.desc("__line")))
+    numbered = table.withColumn(LINE, line_of(table))
+    last = F.row_number().over(W.partitionBy(F.trim(_col(id_column))).orderBy(F.desc(LINE)))
     one = numbered.withColumn("__n", last).where("__n = 1")
     cells = F.array(*[F.struct(F.lit(i).alias("sample_idx"), F.lit(g).alias("grp"), number(_col(c)).alias("value")) for i, (c, g) in enumerate(columns)])
     return one.select(F.trim(_col(id_column)).alias("row_id"), F.lit(replicate).alias("replicate"), F.explode(cells).alias("x")).select("row_id", "replicate", "x.*")
@@ -99,16 +126,9 @@ def with_repeats(rows: DataFrame, found: DataFrame, again: DataFrame, values_aga
     return rows.unionByName(fresh), found.unionByName(more)
 
 
-def larger_spread(found: DataFrame) -> DataFrame:
-    """Of copies of an id (column copy) keep the one of larger standard deviation."""
-    sd = found.groupBy("row_id", "copy").agg(F.stddev_samp("value").alias("sd"))
-    best = sd.withColumn("n", F.row_number().over(W.partitionBy("row_id").orderBy(F.desc_nulls_last("sd"), "copy"))).where("n = 1")
-    return found.join(best.select("row_id", "copy"), ["row_id", "copy"], "left_semi").drop("copy")
-
-
 def priors(spark: SparkSession, path: str) -> DataFrame:
     """source, type, target, mediators, sites in lines; comments and empty lines don't count; the first of equal relations holds. An unknown type is an error when read."""
-    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id()).where("value <> '' AND NOT startswith(value, '#')")
+    lines = with_line(spark.read.text(path)).withColumnRenamed(LINE, "line").where("value <> '' AND NOT startswith(value, '#')")
     part = lambda i: blank_to_null(F.try_element_at(F.split("value", "\t"), F.lit(i + 1)))
     sites = F.filter(F.transform(F.split(part(4), ";"), parse_site), lambda s: s["pos"].isNotNull())
     known = F.lower(part(1)).isin([t for t, _, _ in RELATION_TYPES])
@@ -216,6 +236,42 @@ def sif(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where("value <> ''").select(part(0).alias("source"), part(1).alias("rel_type"), part(2).alias("target"), part(3).alias("mediators"), part(4).alias("sites"))
 
 
+def sequences(spark: SparkSession, path: str) -> DataFrame:
+    """gene, sequence from a FASTA file, of any number of lines a record; the first record of a gene holds.
+
+    Records begin with ``>`` at the start of a line, and Spark splits files there, so a
+    record is never cut. The gene is what GN= names in the heading, else its first word.
+    """
+    records = with_line(spark.read.option("lineSep", "\n>").text(path)).where(F.length(F.trim("value")) > 0)
+    text = F.regexp_replace("value", "^>", "")
+    head = F.regexp_extract(text, r"^([^\n\r]*)", 1)
+    named = F.regexp_extract(head, r"\bGN=(\S+)", 1)
+    gene = F.when(named != "", named).otherwise(F.regexp_extract(head, r"^\s*(\S+)", 1))
+    letters = F.upper(F.regexp_replace(F.substring(text, F.length(head) + 1, F.length(text)), r"[^A-Za-z]", ""))
+    found = records.select(gene.alias("gene"), letters.alias("sequence"), F.col(LINE).alias("line")).where("gene <> '' AND sequence <> ''")
+    return found.groupBy("gene").agg(F.min_by("sequence", "line").alias("sequence"))
+
+
+def kinase_weights(spark: SparkSession, path: str) -> DataFrame:
+    """kinase, place, residue, weight: one line for each kinase and residue, the columns after those two are places from the site (-5 to 4)."""
+    table = tsv(spark, path)
+    kinase, residue, *places = [c for c in table.columns if c != LINE]
+    cells = F.array(*[F.struct(F.lit(c).try_cast("int").alias("place"), number(_col(c)).alias("weight")) for c in places])
+    return table.select(F.trim(_col(kinase)).alias("kinase"), F.trim(_col(residue)).alias("residue"), F.explode(cells).alias("x")).select("kinase", "x.place", "residue", "x.weight").dropna()
+
+
+def aliases(spark: SparkSession, path: str) -> DataFrame:
+    """name, symbol, rank from a table of symbol, previous symbols and aliases (lists parted by commas or bars): 0 approved, 1 previous, 2 alias."""
+    table = tsv(spark, path)
+    names = [c for c in table.columns if c != LINE]
+    symbol = F.trim(_col(names[0]))
+    parts = [F.array(F.struct(symbol.alias("name"), F.lit(0).alias("rank")))]
+    for rank, column in enumerate(names[1:3], 1):
+        parts.append(F.transform(F.split(F.coalesce(_col(column), F.lit("")), r"[,|]"), lambda x, rank=rank: F.struct(F.trim(x).alias("name"), F.lit(rank).alias("rank"))))
+    each = table.where(symbol.isNotNull()).select(symbol.alias("symbol"), F.explode(F.concat(*parts)).alias("x"))
+    return each.select("x.name", "symbol", "x.rank").where("name <> ''").distinct()
+
+
 def format_lines(spark: SparkSession, path: str) -> DataFrame:
     """kind (node or edge), id, property, value."""
     part = lambda i: F.try_element_at(F.split("value", "\t"), F.lit(i + 1))

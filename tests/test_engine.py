@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from edgewright.functions import stats
 from edgewright.functions.multiple_testing import q_values, thresholds
 from edgewright.model import PRIORS, ROWS, VALUES, Rules
-from edgewright.operators import detectors, kinase, pairwise, priors, search, significance
+from edgewright.operators import correlation_blocks, detectors, fdr, kinase, pairwise, priors, search, significance
 from edgewright.plans import analysis, queries, tools
 from edgewright.sources import params, sinks, tables
 
@@ -161,38 +161,123 @@ def _network(spark):
     return net, pairs, rows, spark.createDataFrame(rows, "row_id string, data_type string, sign int")
 
 
+def _targets(spark, net):
+    return spark.createDataFrame([(s, k, t, r, tr) for s, k, t, r, _, _, tr in net], "source string, rel_type string, target string, rel_sign int, tgt_row string")
+
+
 def test_permutations_are_repeatable_and_bounded(spark):
-    _, pairs, _, frame = _network(spark)
-    runs = [significance.permutation_test(pairs, f, 20) for f in (frame, frame.repartition(5))]
+    net, pairs, _, frame = _network(spark)
+    runs = [significance.permutation_test(_targets(spark, net), pairs, f, 20) for f in (frame, frame.repartition(5))]
     first, second = (sorted(map(tuple, r[0].collect())) for r in runs)
     assert first == second and runs[0][1] == runs[1][1]
     for r in runs[0][0].collect():
-        assert all(p is None or 0.05 <= p <= 1 for p in (r.p_changed, r.p_activating, r.p_inhibiting))
+        assert all(0.05 <= p <= 1 for p in (r.p_changed, r.p_activating, r.p_inhibiting))
 
 
-def test_permutation_test_against_counts_by_hand(spark):
-    net, pairs, rows, frame = _network(spark)
-    numbered, n = significance.slots(frame), 100  # two batches
-    dealt = []
-    for first in range(0, n, significance.BATCH):
-        last = min(n, first + significance.BATCH)
-        masks = significance.dealt_signs(numbered, first, last, 1).collect()
-        dealt += [{r.row_id: (r.up >> i & 1) - (r.down >> i & 1) for r in masks} for i in range(last - first)]
-    kinds = {r: k for r, k, _ in rows}
-    deck = lambda of: sorted((kinds[r], v) for r, v in of.items())
-    truth = {r: v for r, _, v in rows}
-    assert all(deck(d) == deck(truth) for d in dealt) and len({tuple(sorted(d.items())) for d in dealt}) > 90
+def _deals(frame, n, seed=1):
+    """The signs that each iteration deals, as dictionaries."""
+    words = -(-n // significance.BATCH)
+    masks = significance.dealt_signs(significance.slots(frame), 0, words, seed).collect()
+    bit = lambda m, i: m[i // significance.BATCH] >> i % significance.BATCH & 1
+    return [{r.row_id: bit(r.up, i) - bit(r.down, i) for r in masks} for i in range(n)]
+
+
+def _downstream(net, sign, sources):
+    of = {g: [len({t for s, _, t, r, _, _, tr in net if s == g and hit(sign[tr] * r, sign[tr])}) for hit in (lambda x, y: y != 0, lambda x, y: x == 1, lambda x, y: x == -1)] for g in sources}
+    return of, len({(s, k, t) for s, k, t, r, sr, e, tr in net if sr and sign[sr] * sign[tr] * r * e == 1})
 
-    def counts(sign):
-        of = {g: [len({t for s, _, t, r, _, _, tr in net if s == g and hit(sign[tr] * r, sign[tr])}) for hit in (lambda x, y: y != 0, lambda x, y: x == 1, lambda x, y: x == -1)] for g in ("G0", "G1", "G2")}
-        return of, len({(s, t) for s, _, t, r, sr, e, tr in net if sign[sr] * sign[tr] * r * e == 1})
 
-    (seen, size), drawn = counts(truth), [counts(d) for d in dealt]
-    got, graph_p = significance.permutation_test(pairs, frame, n)
+@pytest.mark.parametrize("causal", [True, False])
+def test_permutation_test_against_counts_by_hand(spark, causal):
+    net, pairs, rows, frame = _network(spark)
+    # H has no data of its own; K's targets never change; the last row is on no relation and is not dealt
+    extra = [("H", "upregulates-expression", f"T{t}", -1, None, 0, f"t{t}") for t in range(6)] + [("K", "upregulates-expression", f"Z{t}", 1, None, 0, f"z{t}") for t in range(5)]
+    still = [(f"z{t}", "metabolite", 0) for t in range(5)]
+    frame = frame.unionByName(spark.createDataFrame(still, frame.schema))
+    every, n = net + extra, 300
+    dealt = _deals(frame, n)
+    kinds = {r: k for r, k, _ in rows + still}
+    deck = lambda of: sorted((kinds[r], v) for r, v in of.items())
+    truth = {r: v for r, _, v in rows + still}
+    assert all(deck(d) == deck(truth) for d in dealt) and len({tuple(sorted(d.items())) for d in dealt}) > 290
+    turned = every if causal else [(s, k, t, r, sr, -e, tr) for s, k, t, r, sr, e, tr in every]
+    sources = ("G0", "G1", "G2", "H", "K")
+    seen, _ = _downstream(every, truth, sources)
+    size = _downstream(turned, truth, sources)[1]
+    drawn = [(_downstream(every, d, sources)[0], _downstream(turned, d, sources)[1]) for d in dealt]
+    got, graph_p = significance.permutation_test(_targets(spark, every), pairs, frame, n, causal=causal, settled=None)
     assert graph_p == sum(d[1] >= size for d in drawn) / n and size > 0
-    for r in got.collect():
-        want = [max(1, sum(d[0][r.source][i] >= o for d in drawn)) / n if o else None for i, o in enumerate(seen[r.source])]
-        assert [r.changed, r.activating, r.inhibiting] == seen[r.source] and [r.p_changed, r.p_activating, r.p_inhibiting] == want
+    rows_of = {r.source: r for r in got.collect()}
+    assert set(rows_of) == set(sources)
+    for source, r in rows_of.items():
+        want = [max(1, sum(d[0][source][i] >= o for d in drawn)) / n if o else 1.0 for i, o in enumerate(seen[source])]
+        assert [r.changed, r.activating, r.inhibiting] == seen[source] and [r.p_changed, r.p_activating, r.p_inhibiting] == want and r.iterations == (n if any(seen[source]) else 0)
+    # sources whose p is settled leave early, with the same p within its error
+    quick, quick_p = significance.permutation_test(_targets(spark, every), pairs, frame, n, causal=causal, settled=15)
+    for r in quick.collect():
+        full = rows_of[r.source]
+        assert r.iterations <= n and (r.source != "K" or r.iterations == 0)
+        for c in significance.TESTS:
+            assert abs(r[f"p_{c}"] - full[f"p_{c}"]) < 0.15
+    assert min(r.iterations for r in quick.collect() if r.source != "K") < n and abs(quick_p - graph_p) < 0.15
+
+
+def test_only_rows_on_relations_are_dealt(t1):
+    rows, _, net = t1
+    more = rows.unionByName(rows.where("row_id = 'D'").withColumns({"row_id": F.lit("far"), "genes": F.array(F.lit("Q"))}))
+    assert {r.row_id for r in significance.on_relations(net, more).collect()} == {r[0] for r in ROWS_T1}
+
+
+def test_correlation_permutations_against_counts_by_hand(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    names = [f"g{i}" for i in range(3)] + [f"t{i}" for i in range(9)]
+    kind = lambda r: "protein" if r[0] == "g" else "phosphoprotein"
+    data = {r: rng.normal(0, 1, 10) for r in names}
+    for i in range(4):
+        data[f"t{i}"] = data["g0"] * (1 if i % 2 else -1) + rng.normal(0, 0.3, 10)
+    data["t8"] = np.full(10, 2.0)  # no variance
+    for r in names:
+        data[r][rng.random(10) < 0.1] = np.nan
+    data["t7"][2:] = np.nan  # too few values
+    net = [(f"G{g}", "upregulates-expression", f"T{t}", 1 if (g + t) % 3 else -1, f"g{g}", 1 if g else -1, f"t{t}") for g in range(3) for t in range(9) if (g * 5 + t) % 4 or g == 0]
+    net += [("G0", "phosphorylates", "T1", -1, "g0", -1, "t1"), ("G2", "upregulates-expression", "T1", 1, "g1", 1, "t3")]
+    rows = spark.createDataFrame([(r, kind(r), [r.upper()], None, 1) for r in names], ROWS)
+    values = spark.createDataFrame([(r, 0, i, "all", None if np.isnan(x) else float(x)) for r in names for i, x in enumerate(data[r])], VALUES)
+    limits = pairwise.CorrelationLimits(p=0.2)
+    every = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    sign = {(r.a, r.b): r.sign for r in pairwise.correlate(every, rows, values, limits).collect()}
+    found = spark.createDataFrame(net, "source string, rel_type string, target string, rel_sign int, src_row string, src_effect int, tgt_row string")
+    found = found.join(spark.createDataFrame([(a, b, s) for (a, b), s in sign.items()], "src_row string, tgt_row string, s int"), ["src_row", "tgt_row"]).withColumn("verdict", F.expr("s * rel_sign * src_effect"))
+    n, where = 200, {r: (r.kind, r.slot, r.n) for r in significance.slots(rows.withColumn("sign", F.lit(0))).collect()}
+    at, holder = {r.row_id: v for r, v in where.items()}, {(v[0], v[1]): r.row_id for r, v in where.items()}
+
+    def result(sign_of):
+        kept = {(s, k, t) for s, k, t, r, sr, e, tr in net if sign_of(sr, tr) * r * e == 1}
+        return {g: len({t for s, _, t in kept if s == g}) for g in ("G0", "G1", "G2")}, len(kept)
+
+    seen, size = result(lambda a, b: sign.get((a, b), 0))
+    drawn = []
+    for i in range(n):
+        to = {r: holder[k, int(significance.permuted(np.array([x]), m, hash((int(k), 1, i)))[0])] for r, (k, x, m) in at.items()}
+        drawn.append(result(lambda a, b: sign.get((to[a], to[b]), 0)))
+    monkeypatch.setattr(correlation_blocks, "BLOCK", 4)
+    monkeypatch.setattr(correlation_blocks, "LOOKUPS", 64 * len(net))
+    out, graph_p, sizes = correlation_blocks.permutation_test(found, values, rows, limits, n)
+    assert [r["size"] for r in sizes.orderBy("iter").collect()] == [d[1] for d in drawn] and graph_p == sum(d[1] >= size for d in drawn) / n
+    assert {r.source: (r.n, r.p) for r in out.collect()} == {g: (seen[g], max(1, sum(d[0][g] >= seen[g] for d in drawn)) / n if seen[g] else 1.0) for g in seen}
+    # the way for any kind of data gives the same
+    signs = lambda e: pairwise.correlate(e, rows, values, limits)
+    slow, slow_p = significance.correlation_permutation_test(found, signs, rows, 20)
+    assert slow_p == sum(d[1] >= size for d in drawn[:20]) / 20
+    assert {r.source: r.p for r in slow.collect()} == {g: max(1, sum(d[0][g] >= seen[g] for d in drawn[:20])) / 20 if seen[g] else 1.0 for g in seen}
+
+
+def test_types_without_tested_rows_go_by_all_rows_on_relations(spark):
+    schema = "row_id string, data_type string, p double"
+    tested = spark.createDataFrame([("a", "protein", 0.001), ("b", "protein", 0.9)], schema)
+    others = spark.createDataFrame([("a", "protein", 0.001)] + [(f"r{i}", "rna", 0.001 if i < 2 else 0.5 + i / 100) for i in range(10)], schema)
+    assert fdr.data_thresholds(tested, {"protein": 0.1, "rna": 0.1, "metabolite": 0.1}, others=others) == {"protein": 0.001, "rna": 0.001, "metabolite": 1.0}
+    assert fdr.data_thresholds(tested, {"rna": 0.1}, others=others.where("p > 0.1")) == {"rna": -1.0}
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 1000])
@@ -351,3 +436,38 @@ def test_repeats_bring_new_rows_and_ids_are_trimmed_and_unique(spark):
     assert search.with_unique_ids(r).count() == 2
     with pytest.raises(ValueError, match="A x"):
         search.with_unique_ids(rows.unionByName(rows))
+
+
+def test_repeated_ids_of_a_platform_are_an_error(spark, tmp_path):
+    (tmp_path / "p.txt").write_text("ID\tSymbols\tSites\tEffect\tv\nx\tA\tS1\ta\t1\nx\tA\tS1\ta\t1\ny\tA\tS2\ti\t2\n")
+    made = tables.annotation(tables.tsv(spark, str(tmp_path / "p.txt")))
+    assert search.with_unique_ids(made).count() == 2  # equal lines count once
+    (tmp_path / "q.txt").write_text("ID\tSymbols\tSites\tEffect\tv\nx\tA\tS2\ti\t7\nx\tA\tS1\ta\t1\nz\tB\t\t\t1\nz\tC\t\t\t1\n")
+    made = tables.annotation(tables.tsv(spark, str(tmp_path / "q.txt")))
+    with pytest.raises(ValueError, match="A x"):
+        search.with_unique_ids(made.where("row_id = 'x'"))
+    with pytest.raises(ValueError, match="B C z"):
+        search.with_unique_ids(made.where("row_id = 'z'"))
+    assert [(r.row_id, r.sites[0].pos) for r in tables.first_of_id(made.where("row_id = 'x'")).collect()] == [("x", 2)]
+
+
+def test_order_of_lines_holds_for_many_files_and_splits(spark, tmp_path):
+    for part in range(3):
+        lines = [f"id{i % 40}\t{1000 * part + i}" for i in range(200)]
+        (tmp_path / f"part-{part}.txt").write_text("ID\tv\n" + "\n".join(lines) + "\n")
+        net = [f"A{i % 40}\tphosphorylates\tB\tPMID:{1000 * part + i}" for i in range(200 + 300 * (2 - part))]
+        (tmp_path / f"net-{part}.sif").write_text("\n".join(net) + "\n")
+    keys = {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "0"}
+    held = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        table = tables.tsv(spark, str(tmp_path / "part-*.txt"))
+        assert table.rdd.getNumPartitions() > 10
+        last = {r.row_id: r.value for r in tables.values(table, "ID", [("v", "all")]).collect()}
+        assert last == {f"id{i % 40}": float(2000 + i) for i in range(160, 200)}
+        first = {r.source: r.mediators for r in tables.priors(spark, str(tmp_path / "net-*.sif")).collect()}
+        assert first == {f"A{i}": [f"PMID:{i}"] for i in range(40)}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
