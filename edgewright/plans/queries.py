@@ -482,9 +482,9 @@ def _correlated(s: star.Star) -> tuple[DataFrame, pairwise.CorrelationLimits]:
 
 @query()
 def correlation_network_significance(s):
-    """1,000 permutations in correlation mode, with the p of the graph's size."""
+    """128 permutations in correlation mode (a run has 1,000), with the p of the graph's size."""
     pairs, limits = _correlated(s)
-    out, p, _ = correlation_blocks.permutation_test(pairs, s.values, significance.on_relations(s.priors, s.rows), limits, 1000)
+    out, p, _ = correlation_blocks.permutation_test(pairs, s.values, significance.on_relations(s.priors, s.rows), limits, 128)
     return out.withColumn("graph_p", F.lit(p))
 
 
@@ -518,7 +518,7 @@ WINDOWS = """seqs AS (SELECT 'P' || p_partkey AS gene, upper(regexp_replace(p_na
 win AS (SELECT row_id, substr(seq, pos - 5, 10) AS win FROM rws JOIN seqs USING (gene) WHERE data_type = 'phosphoprotein' AND pos > 5 AND pos + 4 <= length(seq)),
 wval AS (SELECT win AS window_, max_by(value, row_id) AS value FROM win JOIN diff USING (row_id) WHERE value IS NOT NULL GROUP BY 1)"""
 SCORES = f"""{WINDOWS},
-weights AS (SELECT n_name AS kinase, p AS place, chr(c) AS residue, 0.5 + ((n_nationkey * 31 + (p + 5) * 17 + c * 7) % 40) / 20.0 AS weight FROM nation, range(-5, 5) a(p), range(65, 91) b(c)),
+weights AS (SELECT n_name AS kinase, p AS place, chr(CAST(c AS INT)) AS residue, 0.5 + ((n_nationkey * 31 + (p + 5) * 17 + c * 7) % 40) / 20.0 AS weight FROM nation, range(-5, 5) a(p), range(65, 91) b(c)),
 scores AS (SELECT w.win, kinase, sum(log2(weight)) AS score FROM (SELECT DISTINCT win FROM win) w, range(-5, 5) a(p) JOIN weights ON place = p AND residue = substr(w.win, CAST(p + 6 AS INT), 1) GROUP BY ALL)"""
 
 
@@ -545,13 +545,16 @@ _files_query("kinase_scores", 'SELECT win AS "window", kinase, round(score, 6) +
 
 def kinase_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = star.load(spark, sf_dir)
-    weights = star.kinase_weights(spark, sf_dir).withColumn("weight", F.exp(F.round(F.ln("weight"), 9)))
-    return kinase.library_activity(s.rows, _changes(s), star.sequences(spark, sf_dir), weights).select("kinase", "n", F.round("r", 3).alias("r"))
+    sequences = star.sequences(spark, sf_dir)
+    # rounded, so that equal sums are equal whatever the order of their parts
+    changes = _changes(s).withColumn("value", F.round("value", 9))
+    scores = kinase.window_scores(kinase.sequence_windows(s.rows, sequences).select("window").distinct(), star.kinase_weights(spark, sf_dir))
+    return kinase.kinase_activity(s.rows, changes, sequences, scores.withColumn("score", F.round("score", 9))).select("kinase", "n", r6("r"))
 
 
 _files_query(
     "kinase_activity",
-    "SELECT kinase, count(*) AS n, round(corr(rx, ry), 3) AS r FROM (SELECT kinase, rank() OVER (PARTITION BY kinase ORDER BY x) + (count(*) OVER (PARTITION BY kinase, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY kinase ORDER BY y) + (count(*) OVER (PARTITION BY kinase, y) - 1) / 2.0 AS ry FROM (SELECT kinase, round(value, 9) AS x, round(score, 9) AS y FROM wval JOIN scores ON win = window_)) GROUP BY 1",
+    "SELECT kinase, count(*) AS n, round(corr(rx, ry), 6) + 0.0 AS r FROM (SELECT kinase, rank() OVER (PARTITION BY kinase ORDER BY x) + (count(*) OVER (PARTITION BY kinase, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY kinase ORDER BY y) + (count(*) OVER (PARTITION BY kinase, y) - 1) / 2.0 AS ry FROM (SELECT kinase, round(value, 9) AS x, round(score, 9) AS y FROM wval JOIN scores ON win = window_)) GROUP BY 1",
     SCORES, kinase_activity,
 )
 
@@ -572,7 +575,7 @@ _files_query(
 
 def mutation_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = star.load(spark, sf_dir)
-    return search.mutation_comparison(s.priors, s.rows, s.values, star.mutated_months(spark, sf_dir), threshold=0.05)
+    return search.mutation_comparison(s.priors, s.rows, s.values, star.mutated_months(spark, sf_dir))
 
 
 QUERIES["mutation_comparison"] = mutation_comparison
@@ -619,3 +622,33 @@ def missing_value_p(s):
     flags = detectors.presence(_whole(s), s.rows)
     state, samples = presence.randomised(flags, s.rows, tables=100, rounds=3)
     return presence.missing_p(state, samples, flags, 100)
+
+
+def _digests(name: str, by: str) -> None:
+    """A second form of a query with wide results: for each value of ``by`` the number of rows and the MD5 of all of them, in order."""
+    whole = QUERIES[name]
+
+    def digested(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = whole(spark, sf_dir)
+        fields = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in sorted(rows.columns) if dict(rows.dtypes)[c] != "double"]
+        lines = rows.select(F.col(by).alias("key"), F.concat_ws("|", *fields).alias("line"))
+        return lines.groupBy("key").agg(F.count("*").alias("n"), F.md5(F.array_join(F.sort_array(F.collect_list("line")), ";").cast("binary")).alias("digest"))
+
+    QUERIES[f"{name}_digests"] = digested
+
+
+def _digest_sql(name: str, by: str, columns: list[str]) -> None:
+    line = " || '|' || ".join(f"""coalesce(CAST("{c}" AS VARCHAR), '')""" for c in sorted(columns))
+    SQL[f"{name}_digests"] = f"""SELECT "{by}" AS key, count(*) AS n, md5(string_agg(line, ';' ORDER BY line)) AS digest FROM (SELECT "{by}", {line} AS line FROM ({SQL[name]})) GROUP BY 1"""
+
+
+#: Wide results by target, of which each has a few rows: their columns but for doubles.
+for _name, _by, _columns in (
+    ("search_pairs", "target", [*RELATION, "src_row", "tgt_row", "src_effect", "verdict"]),
+    ("search_pairs_near_sites", "target", [*RELATION, "src_row", "tgt_row", "verdict"]),
+    ("evidence_of_expression", "target", [*RELATION, "src_row", "tgt_row", "verdict"]),
+    ("network_without_conflicts", "target", [*RELATION, "sites"]),
+    ("results_report", "Target", ["Source", "Relation", "Target", "Sites", "Source data ID", "Source data type", "Source site effect", "Target data ID", "Target data type"]),
+):
+    _digests(_name, _by)
+    _digest_sql(_name, _by, _columns)

@@ -265,10 +265,12 @@ def aliases(spark: SparkSession, path: str) -> DataFrame:
     table = tsv(spark, path)
     names = [c for c in table.columns if c != LINE]
     symbol = F.trim(_col(names[0]))
-    parts = [F.array(F.struct(symbol.alias("name"), F.lit(0).alias("rank")))]
-    for rank, column in enumerate(names[1:3], 1):
-        parts.append(F.transform(F.split(F.coalesce(_col(column), F.lit("")), r"[,|]"), lambda x, rank=rank: F.struct(F.trim(x).alias("name"), F.lit(rank).alias("rank"))))
-    each = table.where(symbol.isNotNull()).select(symbol.alias("symbol"), F.explode(F.concat(*parts)).alias("x"))
+
+    def ranked(column: Column, rank: int) -> Column:
+        return F.transform(F.split(F.coalesce(column, F.lit("")), r"[,|]"), lambda x: F.struct(F.trim(x).alias("name"), F.lit(rank).alias("rank")))
+
+    listed = F.concat(ranked(symbol, 0), *(ranked(_col(c), rank) for rank, c in enumerate(names[1:3], 1)))
+    each = table.where(symbol.isNotNull()).select(symbol.alias("symbol"), F.explode(listed).alias("x"))
     return each.select("x.name", "symbol", "x.rank").where("name <> ''").distinct()
 
 
