@@ -1,11 +1,12 @@
-"""Benchmark decontamination: rare word-pair seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 With 2 for a match and -1 for anything else, an alignment of score 2 t L with
-an item of L words has at least t L matched words. If at most L / 3 words are
-changed, lost or put in between, then t L - L / 6 - 1 matched pairs of words
-stand side by side, so one of the item's rarest pairs is among them: all but so
-many less one. Those pairs are the seeds; how often the corpus has them only
-orders them, so none is too frequent to be sought.
+an item of L words has at least t L matched words. So of any L - t L + 1 of the
+item's words it matches one: the rarest so many are seeds (n = 1), and no edit,
+insertion or order hides a copy from all of them. If at most L / 3 words are
+changed, lost or put in between, then t L - L / 6 - 1 matched pairs of words stand
+side by side as well, so the rarest pairs are seeds too (n = 2). How often the
+corpus has a seed only orders them, so none is too frequent to be sought.
 """
 
 from __future__ import annotations
@@ -82,14 +83,18 @@ class Items:
         #: An alignment's most words in the text.
         self.reach = np.ceil(self.sizes * (3 - 2 * self.threshold)).astype(np.int64)
         self.pairs = [gram_keys(x, min(2, len(x))) for x in ids]
+        self.words = [gram_keys(x, 1) for x in ids]
 
     def index(self, counts: dict[int, int]) -> None:
-        """Seeds: of each item's pairs the rarest, as ``counts`` (0 if absent) has them, so many that one is surely shared."""
+        """Seeds: of each item's words and pairs the rarest, as ``counts`` (0 if absent) has them, so many that one is surely shared."""
         keys, items = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-        for item, (pairs, n, t) in enumerate(zip(self.pairs, self.sizes, self.threshold)):
-            shared = max(1, int(np.floor(t * n - n / 6 - 1 + 1e-9)))
-            often = np.array([counts.get(k, 0) for k in pairs.tolist()])
-            seeds = np.unique(pairs[np.lexsort((pairs, often))[: len(pairs) - shared + 1]])
+
+        def rarest(grams: np.ndarray, shared: int) -> np.ndarray:
+            often = np.array([counts.get(k, 0) for k in grams.tolist()])
+            return grams[np.lexsort((grams, often))[: len(grams) - shared + 1]]
+
+        for item, (pairs, words, n, t, need) in enumerate(zip(self.pairs, self.words, self.sizes, self.threshold, self.need)):
+            seeds = np.unique(np.concatenate((rarest(words, int(need)), rarest(pairs, max(1, int(np.floor(t * n - n / 6 - 1 + 1e-9)))))))
             keys.append(seeds)
             items.append(np.full(len(seeds), item, np.int64))
         keys, items = np.concatenate(keys).astype(np.uint64), np.concatenate(items)
@@ -108,11 +113,9 @@ class Items:
         return np.array([get(w, 0) for w in words], np.uint64)
 
     def text_keys(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and keys of known pairs of words, and of single words where items of one word are sought."""
+        """Places and keys of known words and pairs of words."""
         keys = gram_keys(ids, 2)
         at = np.flatnonzero(keys)
-        if self.sizes.min() > 1:
-            return at, keys[at]
         single = np.flatnonzero(ids)
         return np.concatenate((at, single)), np.concatenate((keys[at], gram_keys(ids[single], 1)))
 
@@ -145,12 +148,15 @@ class Items:
             words = self.ids[item].astype(np.int64)
             mine[words] = True
             for part in np.split(own, np.flatnonzero(np.diff(own) > reach) + 1):
-                passage = ids[max(0, part[0] - reach) : part[-1] + 2 + reach].astype(np.int64)
-                there = np.zeros(len(self.vocab) + 1, bool)
-                there[passage] = True
-                # no alignment scores more than one that may match any word of the other side
-                if min(best_run(there[words]), best_run(mine[passage])) >= 2 * self.threshold[item] * len(words) - 1e-9:
-                    yield item, passage
+                first, last = max(0, part[0] - reach), min(len(ids), part[-1] + 2 + reach)
+                # an alignment has at most ``reach`` words, so it lies whole in one of these stretches
+                for start in range(first, max(first + 1, last - reach), reach) if last - first > 3 * reach else [first]:
+                    passage = ids[start : start + 2 * reach if last - first > 3 * reach else last].astype(np.int64)
+                    there = np.zeros(len(self.vocab) + 1, bool)
+                    there[passage] = True
+                    # no alignment scores more than one that may match any word of the other side
+                    if min(best_run(there[words]), best_run(mine[passage])) >= 2 * self.threshold[item] * len(words) - 1e-9:
+                        yield item, passage
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
@@ -169,17 +175,18 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
         yield block
 
 
-def pair_counts(docs: DataFrame, block: Items) -> dict[int, int]:
-    """How many documents hold each pair of words of the block; as many rows as the block has pairs."""
+def seed_counts(docs: DataFrame, block: Items) -> dict[int, int]:
+    """How many documents hold each word and each pair of words of the block; as many rows as the block has of them."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((block.vocab, np.unique(np.concatenate(block.pairs)), block.sizes))
+    shared = spark.sparkContext.broadcast((block.vocab, np.unique(np.concatenate(block.pairs + block.words)), block.sizes))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, keys, _ = shared.value
         bits, get, total = Items.bits_of(keys), vocab.get, np.zeros(len(keys), np.int64)
         for batch in batches:
             for text in batch.column(0):
-                own = np.unique(gram_keys(np.array([get(w, 0) for w in words_of(text.as_py())], np.uint64), 2))
+                ids = np.array([get(w, 0) for w in words_of(text.as_py())], np.uint64)
+                own = np.unique(np.concatenate((gram_keys(ids, 2), gram_keys(ids[ids > 0], 1))))
                 own = own[bits[own >> np.uint64(44)]]
                 where = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                 total[where[keys[where] == own]] += 1
@@ -194,7 +201,7 @@ def pair_counts(docs: DataFrame, block: Items) -> dict[int, int]:
 def _block_matches(docs: DataFrame, rows: list[tuple[int, bytes]], threshold: float, short: int) -> DataFrame:
     spark = docs.sparkSession
     block = Items(rows, threshold, short)
-    block.index(pair_counts(docs, block))
+    block.index(seed_counts(docs, block))
     shared, ids_of = spark.sparkContext.broadcast(block), [x for x, _ in rows]
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,9 +241,9 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.5, short: in
     ``score`` is the alignment's share of the item's own score: 1 for a whole
     copy, less for edited ones; case and ASCII punctuation don't count. Scores
     of ``threshold`` or more are given, for items of fewer than ``short`` words
-    whole copies alone. Every passage around a seed (a rare pair of the item's
-    words, by itself for items of one word) that has enough of the item's words is aligned,
-    however many documents hold the seed. Null and empty texts hold nothing,
+    whole copies alone. Every passage around a seed (a rare word or pair of words of
+    the item) that has enough of the item's words is aligned, however many documents
+    hold the seed, so no score of ``threshold`` is missed. Null and empty texts hold nothing,
     items without words aren't sought; repeated rows give one match; null
     doc_ids are matched as one document; an item_id with several texts is
     sought by each. Without items or documents the result is empty.

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .work import text_batches
+from .work import hash63, hash_bound, text_batches
 
 UPPER, DIGITS, SYMBOLS, BLANKS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&|<>", b" \t\n\r\x0b\x0c"
 PUNCTUATION = b".,;:!?'\"()-"
@@ -112,22 +112,23 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 5000, max_unla
     if not ones or not n_docs:
         return None
     prior = min(0.98, (ones + 1) / (n + 2))
-    by_hash = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000))
+    by_hash = hash63("doc_id", 11)
     trusted = marks.where("quality = 1").orderBy(by_hash, "doc_id").limit(max_positive).select("doc_id", F.lit(True).alias("trusted"))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).where(fold(F.col("doc_id")) != 0)
-    share = min(1.0, 1.2 * max_unlabelled / n_docs)
-    found = texts.join(F.broadcast(trusted), "doc_id", "left").withColumn("u", by_hash < int(1_000_000 * share)).where("trusted OR u")
+    found = texts.join(F.broadcast(trusted), "doc_id", "left").withColumn("h", by_hash).withColumn("u", F.col("h") <= hash_bound(max_unlabelled, n_docs)).where("trusted OR u")
 
     @F.pandas_udf("array<double>")
     def measure(s: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in s:
             yield x.map(features)
 
-    rows = found.select("doc_id", "trusted", "u", measure("text").alias("x")).limit(2 * max_positive + 2 * max_unlabelled).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["x"]))
+    rows = found.select("h", "doc_id", "trusted", "u", measure("text").alias("x")).limit(2 * max_positive + 2 * max_unlabelled + 200).collect()
+    rows.sort(key=lambda r: (r["h"], r["doc_id"], r["x"]))
     positive = np.array([r["x"] for r in rows if r["trusted"]])[:max_positive]
     unlabelled = np.array([r["x"] for r in rows if r["u"]])[:max_unlabelled]
-    return fit_nnpu(positive, unlabelled, prior) if len(positive) and len(unlabelled) else None
+    if len(positive) and not len(unlabelled):
+        raise RuntimeError("no unlabelled text in the sample")
+    return fit_nnpu(positive, unlabelled, prior) if len(positive) else None
 
 
 def score_column(model: Model | None, text: Column) -> Column:

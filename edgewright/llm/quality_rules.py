@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .work import hash63, hash_bound
+
 BLANKS, SYMBOLS = b" \t\n\r\x0b\x0c", b"#*$%&|<>"
 FOLLOW = bytes(range(0x80, 0xC0))  # bytes that don't begin a code point
 UPPER, DIGITS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
@@ -73,9 +75,7 @@ def order_rules(docs: DataFrame, sample: int = 2000, rules: dict[str, Callable[[
     bits are the rules, with its count.
     """
     rules = rules or RULES
-    n = docs.count()
-    share = min(1.0, sample / max(n, 1))
-    part = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * share))
+    part = docs.where(hash63("doc_id", 5) <= hash_bound(sample, docs.count()))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spent, masks = Counter(), Counter()

@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .work import small, text_batches, unused, written
+from .work import hash63, hash_bound, small, text_batches, written
 
 WORD = r"[\p{L}\p{M}]+"
 #: Lengths of beginnings and ends of words that can be patterns.
@@ -197,21 +197,16 @@ def weights_of(known: np.ndarray, share: float) -> np.ndarray:
     return np.where(known == 1, each[1], np.where(known == 0, each[0], 1.0))
 
 
-def by_hash(salt: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(salt)), 1)
-
-
 def sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int, max_unlabelled: int) -> tuple[DataFrame, float] | None:
     """``doc_id, text, toxic`` (-1: not labelled) of at most so many documents of the training folds, by hash order, and the share of toxic ones among all labelled; None without both labels."""
     learn = fold(F.col("doc_id")) != 1
     marks = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("toxic")).where(learn & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(learn)
     known = written(marks.join(ids.distinct(), "doc_id", "left_semi"), "toxic_labels")
-    part = lambda value, most: known.where(F.col("toxic") == value).orderBy(by_hash(5), "doc_id").limit(most)
+    part = lambda value, most: known.where(F.col("toxic") == value).orderBy(hash63("doc_id", 5), "doc_id").limit(most)
     n_docs = ids.count()
-    # the threshold lies on all 63 bits, so it holds for any number of documents; the surplus allows for chance
-    bound = min(2**63 - 1, int(2**63 * (1.2 * max_unlabelled + 100) / max(1, n_docs)))
-    others = ids.where(by_hash(6) <= bound).distinct().join(known, "doc_id", "left_anti").orderBy(by_hash(6), "doc_id").limit(max_unlabelled)
+    some = ids.where(hash63("doc_id", 6) <= hash_bound(max_unlabelled, n_docs)).distinct()
+    others = some.join(known, "doc_id", "left_anti").orderBy(hash63("doc_id", 6), "doc_id").limit(max_unlabelled)
     picked = written(part(1, max_toxic).unionByName(part(0, max_clean)).unionByName(others.select("doc_id", F.lit(-1).alias("toxic"))), "toxic_sample")
     n, n_toxic = known.agg(F.count("*"), F.sum("toxic")).first()
     if not n_toxic or n_toxic == n:

@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
@@ -67,6 +67,15 @@ def small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= SMALL_ROWS else ids
 
 
+def hash_bound(rows: int, of: int) -> int:
+    """Bound on a hash of 63 bits below which some 1.2 ``rows`` + 100 of ``of`` rows lie: all bits count, so it holds however many rows there are."""
+    return min(2**63 - 1, int(2**63 * (1.2 * rows + 100) / max(1, of)))
+
+
+def hash63(column: str, salt: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(column, F.lit(salt)), 1)
+
+
 def unused(name: str, *tables: DataFrame) -> str:
     """A column name that none of the tables has in any case of letters."""
     taken = {c.lower() for df in tables for c in df.columns}
