@@ -25,6 +25,8 @@ TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in r
 MULTIPLIER = 0x9E3779B97F4A7C15
 #: Items are searched in blocks of so many words in all (a few MB in each task), one pass over the corpus for each block.
 BLOCK_WORDS = 1_000_000
+#: Stretches of a text that are looked at together.
+STRETCHES = 32
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -82,6 +84,8 @@ class Items:
         self.need = np.ceil(self.threshold * self.sizes - 1e-9).astype(np.int64)
         #: An alignment's most words in the text.
         self.reach = np.ceil(self.sizes * (3 - 2 * self.threshold)).astype(np.int64)
+        #: The power of two that is no less.
+        self.steps = 1 << np.ceil(np.log2(self.reach)).astype(np.int64)
         self.pairs = [gram_keys(x, min(2, len(x))) for x in ids]
         self.words = [gram_keys(x, 1) for x in ids]
 
@@ -130,33 +134,50 @@ class Items:
         return np.repeat(at, many), self.items[which]
 
     def passages(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(item, words around its seeds) where the text has enough of the item's words."""
+        """(item, words around its seeds) where the text has enough of the item's words.
+
+        The text is looked at in stretches of twice the reach of items of like size, each
+        half over the next, so every alignment lies whole in one of them, with a seed.
+        """
         at, items = self.hits(ids)
-        if not len(at):
-            return
-        there = np.zeros(len(self.vocab) + 1, bool)
-        there[ids.astype(np.int64)] = True
-        found = np.unique(items)
-        sizes = self.sizes[found]
+        ids = ids.astype(np.int64)
+        for reach in np.unique(self.steps[items]).tolist():
+            own = self.steps[items] == reach
+            last = max(0, -(-(len(ids) - reach) // reach) - 1)
+            first = np.minimum(at[own] // reach, last)
+            key = np.concatenate((first * len(self.sizes) + items[own], (np.maximum(first, 1) - 1) * len(self.sizes) + items[own]))
+            key = np.unique(key)
+            for some in np.split(key, np.searchsorted(key, np.arange(STRETCHES, last + 1, STRETCHES) * len(self.sizes))):
+                if len(some):
+                    yield from self.enough(ids, reach, last, some // len(self.sizes), some % len(self.sizes))
+
+    def enough(self, ids: np.ndarray, reach: int, last: int, stretch: np.ndarray, items: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Of these stretches (in order, at most STRETCHES different ones) and items the words between the first and last that match, if they can reach the score."""
+        low = int(stretch[0])
+        there = np.zeros((int(stretch[-1]) - low + 1, len(self.vocab) + 1), bool)
+        bounds = [(k * reach, len(ids) if k == last else (k + 2) * reach) for k in range(low, int(stretch[-1]) + 1)]
+        for row, (begin, end) in zip(there, bounds):
+            row[ids[begin:end]] = True
+        sizes = self.sizes[items]
         ends = np.cumsum(sizes)
-        words = self.flat[np.repeat(self.starts[found] - (ends - sizes), sizes) + np.arange(ends[-1])]
-        found = found[np.add.reduceat(there[words], ends - sizes, dtype=np.int64) >= self.need[found]]
-        for item in found.tolist():
-            own = np.sort(at[items == item])
-            reach = self.reach[item]
-            mine = np.zeros(len(self.vocab) + 1, bool)
-            words = self.ids[item].astype(np.int64)
-            mine[words] = True
-            for part in np.split(own, np.flatnonzero(np.diff(own) > reach) + 1):
-                first, last = max(0, part[0] - reach), min(len(ids), part[-1] + 2 + reach)
-                # an alignment has at most ``reach`` words, so it lies whole in one of these stretches
-                for start in range(first, max(first + 1, last - reach), reach) if last - first > 3 * reach else [first]:
-                    passage = ids[start : start + 2 * reach if last - first > 3 * reach else last].astype(np.int64)
-                    there = np.zeros(len(self.vocab) + 1, bool)
-                    there[passage] = True
-                    # no alignment scores more than one that may match any word of the other side
-                    if min(best_run(there[words]), best_run(mine[passage])) >= 2 * self.threshold[item] * len(words) - 1e-9:
-                        yield item, passage
+        words = self.flat[np.repeat(self.starts[items] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        present = there[np.repeat(stretch - low, sizes), words]
+        kept = np.add.reduceat(present, ends - sizes, dtype=np.int64) >= self.need[items]
+        mine = np.zeros(len(self.vocab) + 1, bool)
+        for i in np.flatnonzero(kept).tolist():
+            item, (begin, end) = int(items[i]), bounds[int(stretch[i]) - low]
+            least = 2 * self.threshold[item] * sizes[i] - 1e-9
+            # no alignment scores more than one that may match any word of the other side
+            if best_run(present[ends[i] - sizes[i] : ends[i]]) < least:
+                continue
+            own = self.flat[self.starts[item] : self.starts[item] + sizes[i]]
+            mine[own] = True
+            matched = mine[ids[begin:end]]
+            mine[own] = False
+            place, need = np.flatnonzero(matched), int(self.need[item])
+            # it has ``need`` matched words among ``reach`` of the text, and ends with matched ones
+            if len(place) >= need and (place[need - 1 :] - place[: len(place) - need + 1]).min() < self.reach[item] and best_run(matched) >= least:
+                yield item, ids[begin + place[0] : begin + place[-1] + 1]
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
