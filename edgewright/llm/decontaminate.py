@@ -12,6 +12,7 @@ corpus has a seed only orders them, so none is too frequent to be sought.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ STRETCHES = 32
 
 
 def words_of(text: bytes | None) -> list[bytes]:
+    if text and text.isascii():
+        return text.lower().translate(TABLE).split()
     return (text or b"").decode("utf-8", "replace").lower().encode().translate(TABLE).split()
 
 
@@ -85,7 +88,9 @@ class Items:
         #: An alignment's most words in the text.
         self.reach = np.ceil(self.sizes * (3 - 2 * self.threshold)).astype(np.int64)
         #: The power of two that is no less.
-        self.steps = 1 << np.ceil(np.log2(self.reach)).astype(np.int64)
+        power = np.ceil(np.log2(self.reach)).astype(np.int64)
+        #: A power of two that is no less; items of like reach share one, as fewer looks at a text cost less than wider ones.
+        self.steps = 1 << (power.max() - (power.max() - power) // 3 * 3)
         self.pairs = [gram_keys(x, min(2, len(x))) for x in ids]
         self.words = [gram_keys(x, 1) for x in ids]
 
@@ -113,8 +118,7 @@ class Items:
         return bits
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        get = self.vocab.get
-        return np.array([get(w, 0) for w in words], np.uint64)
+        return np.array(list(map(self.vocab.get, words, repeat(0))), np.uint64)
 
     def text_keys(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and keys of known words and pairs of words."""
@@ -162,14 +166,18 @@ class Items:
         ends = np.cumsum(sizes)
         words = self.flat[np.repeat(self.starts[items] - (ends - sizes), sizes) + np.arange(ends[-1])]
         present = there[np.repeat(stretch - low, sizes), words]
-        kept = np.add.reduceat(present, ends - sizes, dtype=np.int64) >= self.need[items]
+        kept = np.flatnonzero(np.add.reduceat(present, ends - sizes, dtype=np.int64) >= self.need[items])
+        if not len(kept):
+            return
+        # no alignment scores more than one that may match any word of the other side; here the best runs of all items at once
+        side = np.arange(sizes[kept].max())
+        row = np.where(side < sizes[kept][:, None], present[np.minimum((ends - sizes)[kept][:, None] + side, len(present) - 1)], False)
+        total = np.cumsum(np.where(row, 2, -1), axis=1)
+        runs = (total - np.minimum(np.minimum.accumulate(total, axis=1), 0)).max(1)
         mine = np.zeros(len(self.vocab) + 1, bool)
-        for i in np.flatnonzero(kept).tolist():
+        for i in kept[runs >= 2 * self.threshold[items[kept]] * sizes[kept] - 1e-9].tolist():
             item, (begin, end) = int(items[i]), bounds[int(stretch[i]) - low]
             least = 2 * self.threshold[item] * sizes[i] - 1e-9
-            # no alignment scores more than one that may match any word of the other side
-            if best_run(present[ends[i] - sizes[i] : ends[i]]) < least:
-                continue
             own = self.flat[self.starts[item] : self.starts[item] + sizes[i]]
             mine[own] = True
             matched = mine[ids[begin:end]]
@@ -206,7 +214,7 @@ def seed_counts(docs: DataFrame, block: Items) -> dict[int, int]:
         bits, get, total = Items.bits_of(keys), vocab.get, np.zeros(len(keys), np.int64)
         for batch in batches:
             for text in batch.column(0):
-                ids = np.array([get(w, 0) for w in words_of(text.as_py())], np.uint64)
+                ids = np.array(list(map(get, words_of(text.as_py()), repeat(0))), np.uint64)
                 own = np.unique(np.concatenate((gram_keys(ids, 2), gram_keys(ids[ids > 0], 1))))
                 own = own[bits[own >> np.uint64(44)]]
                 where = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
