@@ -15,10 +15,6 @@ from ..operators import correlation_blocks, detectors, fdr, kinase, pairwise, pr
 from ..sources import params, sinks, tables
 
 
-#: Known parameters without an implementation: an error rather than another result than asked for.
-NOT_DONE = ["show-all-genes-with-proteomic-data", "show-insignificant-data", "hide-data-not-part-of-causal-relations"]
-
-
 #: The parameter that asks for random presence tables, and how many are made: a p is at least one in so many.
 RANDOM_TABLES, N_TABLES = "randomized-matrix-directory-for-missing-proteomic-data", 1000
 
@@ -63,8 +59,6 @@ def groups_of(config: params.Config) -> list[tuple[str, str]]:
 def load(spark: SparkSession, base: str, config: params.Config) -> Analysis:
     """Read and combine the inputs that the parameters name. Missing files of a TCGA directory are skipped."""
     get = config.get
-    if refused := [k for k in NOT_DONE if get(k)]:
-        raise ValueError(f"parameters that nothing here heeds: {', '.join(refused)}")
     columns = groups_of(config)
     groups = [g for _, g in columns]
     ids = get("id-column", "ID")
@@ -218,6 +212,20 @@ def _with_p(changes: DataFrame, both: DataFrame, rows: DataFrame, limits: dict[s
     return joined.select("row_id", pick("value", "v2").alias("value"), pick("p", "p2").alias("p"), sign.cast("int").alias("sign"))
 
 
+def _significant(analysis: Analysis) -> DataFrame | None:
+    """gene, crowded, activating, inhibiting: sources significant at the network's rate; None without a network significance."""
+    sig = analysis.significance
+    if sig is None:
+        return None
+    rate, out = analysis.config.get("fdr-threshold-for-network-significance", 0.1), [F.col("source").alias("gene")]
+    names = {"p_changed": "crowded", "p_activating": "activating", "p_inhibiting": "inhibiting"} if "p_changed" in sig.columns else {"p": "crowded"}
+    for column, name in names.items():
+        limit = thresholds(sig.withColumn("all", F.lit(1)), ["all"], rate, column).agg(F.coalesce(F.max("threshold"), F.lit(-1.0))).first()[0]
+        out.append((F.col(column) <= limit).alias(name))
+    rest = [F.lit(False).alias(n) for n in ("activating", "inhibiting") if n not in names.values()]
+    return sig.select(*out, *rest)
+
+
 def _with_network_activity(analysis: Analysis, rules, rate: float) -> None:
     """Search again with sources that are significant downstream as activity rows."""
     sig, ok = analysis.significance, []
@@ -233,13 +241,20 @@ def _with_network_activity(analysis: Analysis, rules, rate: float) -> None:
 
 def write(analysis: Analysis, out: str) -> None:
     """All result files as folders of tab-separated text under ``out``."""
-    by_p = analysis.config.get("value-transformation") in detectors.P_MODES
+    get = analysis.config.get
+    by_p = get("value-transformation") in detectors.P_MODES
     for name, causal in (("causative", True), ("conflicting", False)):
         found = analysis.result(causal)
         kept = search.relations(found)
-        genes = kept.select(F.explode(F.array("source", "target")).alias("gene")).distinct()
-        sinks.write_tsv(sinks.sif_lines(kept, analysis.priors), f"{out}/{name}.sif")
-        sinks.write_tsv(sinks.formats(genes, search.by_gene(analysis.rows, analysis.changes), analysis.config.get("color-saturation-value", 1.0)), f"{out}/{name}.format")
+        correlation, unchanged = analysis.changes is None, get("show-insignificant-data", False)
+        every = causal and not correlation and get("show-all-genes-with-proteomic-data", False)
+        # of conflicts only the evidence is drawn, unless unchanged rows are shown too
+        evidence = correlation or (get("hide-data-not-part-of-causal-relations", False) and not every if causal else not unchanged)
+        genes, rows = sinks.drawn(found, analysis.priors, search.by_gene(analysis.rows, analysis.changes), every, unchanged or correlation, evidence)
+        lines = sinks.formats(genes, rows, get("color-saturation-value", 1.0), _significant(analysis) if causal else None, not correlation)
+        sinks.write_tsv(sinks.sif_lines(kept, analysis.priors).unionByName(sinks.isolated(genes, kept), allowMissingColumns=True), f"{out}/{name}.sif")
+        sinks.write_tsv(lines, f"{out}/{name}.format")
+        sinks.write_lines(sinks.graph_json(kept.join(analysis.priors, ["source", "rel_type", "target"]), lines).orderBy("kind", "json").select("json"), f"{out}/{name}.json")
         if analysis.config.get("generate-data-centric-graph", False):
             sinks.write_tsv(sinks.data_centric(found), f"{out}/{name}-data-centric.sif")
     sinks.write_tsv(sinks.results(analysis.result(), analysis.priors, by_p), f"{out}/results")

@@ -507,11 +507,36 @@ def results_report(s):
     return out.withColumns({c: r6(c) for c in ("Source change", "Target change")})
 
 
-@query()
+def _rgb_sql(saturation: int) -> str:
+    w = f"least(abs(value) / {saturation}, 1.0)"
+    part = lambda up, down: f"CAST(round(255 + (CASE WHEN value > 0 THEN {up} ELSE {down} END - 255) * {w}) AS INT)"
+    return " || ',' || ".join((part(255, 40), part(80, 80), part(40, 255)))
+
+
+@query(
+    f"""SELECT 'node' AS kind, '{{"data":{{"id":"' || gene || '","text":"' || gene || '","sites":[' || coalesce(sites, '') || ']' || coalesce(',"tooltipText":"' || tip || '"', '') || '}}' || coalesce(',"css":{{"backgroundColor":"rgb(' || fill || ')"}}', '') || '}}' AS json FROM nodes
+UNION ALL SELECT 'edge', '{{"data":{{"source":"' || source || '","target":"' || target || '","edgeType":"' || rel_type || '","tooltipText":"' || array_to_string(list_sort(list_transform(lns, lambda x: target || '_' || x)), ', ') || '","pcLinks":[' || array_to_string(list_transform(list_sort(os), lambda x: '"PMID:' || x || '"'), ',') || ']}}}}' FROM kept JOIN pri USING ({KEY})""",
+    f"""kept AS (SELECT DISTINCT {KEY} FROM prs WHERE verdict = 1), gn AS (SELECT source AS gene FROM kept UNION SELECT target FROM kept),
+drw AS (SELECT r.gene, r.row_id, r.data_type, effect, value, {_rgb_sql(20)} AS rgb FROM rws r JOIN gn USING (gene) JOIN chg USING (row_id) WHERE sign <> 0),
+nodes AS (SELECT gene, string_agg('{{"siteInfo":"' || row_id || '","siteText":"p","siteBackgroundColor":"rgb(' || rgb || ')","siteBorderColor":"rgb(' || CASE WHEN effect > 0 THEN '0,180,20' WHEN effect < 0 THEN '180,0,20' ELSE '50,50,50' END || ')"}}', ',' ORDER BY row_id) FILTER (WHERE data_type = 'phosphoprotein') AS sites,
+ max(rgb) FILTER (WHERE data_type = 'protein') AS fill, max(row_id) FILTER (WHERE data_type = 'protein') AS tip FROM gn LEFT JOIN drw USING (gene) GROUP BY 1)""",
+)
 def graph_json(s):
-    kept = search.relations(search.satisfying(_pairs(s)))
-    genes = kept.select(F.explode(F.array("source", "target")).alias("gene")).distinct()
-    return sinks.graph_json(kept, sinks.formats(genes, search.by_gene(s.rows, _changes(s)), 20.0))
+    found = search.satisfying(_pairs(s))
+    kept = search.relations(found)
+    genes, rows = sinks.drawn(found, s.priors, search.by_gene(s.rows, _changes(s)))
+    # values as decimal text differ between engines, so tooltips here name the row alone
+    lines = sinks.formats(genes, rows, 20.0).withColumn("setting", F.when(F.col("property") == "tooltip", F.split("setting", ", ")[0]).otherwise(F.col("setting")))
+    return sinks.graph_json(kept.join(s.priors, RELATION), lines)
+
+
+@query(
+    "SELECT DISTINCT r.gene FROM rws r JOIN chg USING (row_id) WHERE sign <> 0 AND gene IN (SELECT source FROM pri UNION SELECT target FROM pri) AND gene NOT IN (SELECT source FROM prs WHERE verdict = 1 UNION SELECT target FROM prs WHERE verdict = 1)"
+)
+def isolated_changed_genes(s):
+    found = search.satisfying(_pairs(s))
+    genes, _ = sinks.drawn(found, s.priors, search.by_gene(s.rows, _changes(s)), every_gene=True)
+    return sinks.isolated(genes, search.relations(found)).select(F.col("source").alias("gene"))
 
 
 WINDOWS = """seqs AS (SELECT 'P' || p_partkey AS gene, upper(regexp_replace(p_name || p_type || p_name, '[^A-Za-z]', '', 'g')) AS seq FROM part),
@@ -624,6 +649,49 @@ def missing_value_p(s):
     return presence.missing_p(state, samples, flags, 100)
 
 
+def _categories(s: star.Star, of: int) -> DataFrame:
+    """Values as categories: their remainder by ``of``."""
+    return s.values.withColumn("value", F.floor("value") % of)
+
+
+CATEGORIES = "ends AS (SELECT DISTINCT src_row AS a, tgt_row AS b FROM prs)"
+
+
+@query(
+    """SELECT a, b, n, round(r, 6) + 0.0 AS r, round(pow(d2 / (d2 + 2 * f), d2 / 2), 6) + 0.0 AS p FROM (SELECT a, b, sum(n) AS n, max(r) AS r, sum(n) - 3.0 AS d2, (sum(n * (my - grand) ** 2) / 2) / (sum(within) / (sum(n) - 3)) AS f FROM grouped GROUP BY 1, 2 HAVING count(*) = 3 AND sum(n) > 8 AND sum(within) > 0)""",
+    f"""{CATEGORIES}, cn AS (SELECT e.a, e.b, CAST(floor(x.v) AS BIGINT) % 3 AS x, y.v AS y FROM ends e JOIN cells x ON x.row_id = e.a JOIN cells y ON y.row_id = e.b AND y.m = x.m),
+total AS (SELECT a, b, avg(y) AS grand, corr(x, y) AS r FROM cn GROUP BY 1, 2),
+grouped AS (SELECT a, b, x, CAST(count(*) AS BIGINT) AS n, avg(y) AS my, var_pop(y) * count(*) AS within, max(grand) AS grand, max(r) AS r FROM cn JOIN total USING (a, b) GROUP BY 1, 2, 3)""",
+)
+def category_with_number(s):
+    """Analysis of variance of the target's values by three categories of the source's, for pairs with more than eight months."""
+    pairs, values = _ends(s)
+    both = pairwise.paired_values(pairs, _categories(s, 3).where("row_id LIKE 'S%'").unionByName(values.where("row_id LIKE 'P%'")))
+    whole = both.groupBy("a", "b").agg(F.count_distinct("x").alias("k"), F.count("*").alias("m")).where("k = 3 AND m > 8")
+    tested = pairwise.categorical_numeric(both.join(whole.select("a", "b"), ["a", "b"], "left_semi")).where("p IS NOT NULL")
+    return tested.select("a", "b", F.col("n").cast("decimal(38,0)").alias("n"), r6("r"), r6("p"))
+
+
+@query(
+    "SELECT a, b, max(n) AS n, round(exp(-sum(o * ln(o * n / (r * c)))), 6) + 0.0 AS p FROM tables GROUP BY 1, 2 HAVING max(kx) = 3 AND max(ky) = 2",
+    f"""{CATEGORIES}, cc AS (SELECT e.a, e.b, CAST(floor(x.v) AS BIGINT) % 3 AS x, CAST(floor(y.v) AS BIGINT) % 2 AS y FROM ends e JOIN cells x ON x.row_id = e.a JOIN cells y ON y.row_id = e.b AND y.m = x.m),
+counted AS (SELECT a, b, x, y, count(*) AS o FROM cc GROUP BY ALL), kinds AS (SELECT a, b, count(DISTINCT x) AS kx, count(DISTINCT y) AS ky FROM cc GROUP BY 1, 2),
+tables AS (SELECT *, CAST(sum(o) OVER (PARTITION BY a, b, x) AS BIGINT) AS r, CAST(sum(o) OVER (PARTITION BY a, b, y) AS BIGINT) AS c, CAST(sum(o) OVER (PARTITION BY a, b) AS BIGINT) AS n FROM counted JOIN kinds USING (a, b))""",
+)
+def category_with_category(s):
+    """G-test of three categories of the source's values against two of the target's."""
+    pairs, _ = _ends(s)
+    both = pairwise.paired_values(pairs, _categories(s, 3).where("row_id LIKE 'S%'").unionByName(_categories(s, 2).where("row_id LIKE 'P%'")))
+    whole = both.groupBy("a", "b").agg(F.count_distinct("x").alias("k"), F.count_distinct("y").alias("l")).where("k = 3 AND l = 2")
+    tested = pairwise.categorical_categorical(both.join(whole.select("a", "b"), ["a", "b"], "left_semi"))
+    return tested.select("a", "b", "n", r6("p"))
+
+
+@query("SELECT DISTINCT data_type, p, k / CAST(m AS DOUBLE) AS expected FROM rk", f"{PSEUDO}, {RANK}")
+def uniformity(s):
+    return fdr.uniformity(_pseudo_p(s), ["data_type"])
+
+
 def _digests(name: str, by: str) -> None:
     """A second form of a query with wide results: for each value of ``by`` the number of rows and the MD5 of all of them, in order."""
     whole = QUERIES[name]

@@ -50,7 +50,10 @@ def jsonize(spark: SparkSession, base: str) -> list[str]:
     stems = graphs_below(spark, base)
     for stem in stems:
         sif, lines = tables.sif(spark, f"{stem}.sif"), tables.format_lines(spark, f"{stem}.format")
-        sinks.graph_json(_edges(sif), lines).select("json").write.mode("overwrite").text(f"{stem}.json")
+        listed = F.filter(F.split(F.coalesce("mediators", F.lit("")), "[; ]+"), lambda m: m != "")
+        placed = F.filter(F.transform(F.split(F.coalesce("sites", F.lit("")), ";"), tables.parse_site), lambda s: s["pos"].isNotNull())
+        edges = _edges(sif).withColumns({"mediators": listed, "sites": placed})
+        sinks.graph_json(edges, lines).select("json").write.mode("overwrite").text(f"{stem}.json")
     return stems
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import color
-from ..model import RELATION
+from ..model import RELATION, SITE_TYPES
 from ..operators.search import in_report_order, result_rows
 
 #: Letters of data types in graph files.
@@ -48,34 +48,99 @@ def data_centric(found: DataFrame) -> DataFrame:
     return s.join(t, RELATION).select("src_row", "rel_type", "tgt_row").distinct()
 
 
-def formats(genes: DataFrame, data: DataFrame, saturation: float = 1.0) -> DataFrame:
-    """kind, id, property, setting lines for ``genes(gene)`` from data(gene, row_id, data_type, effect, value, sign).
+#: Borders of nodes and marks.
+DEFAULT_BORDER, ACTIVATING, INHIBITING, BOTH = "50 50 50", "0 180 20", "180 0 20", "150 150 0"
 
-    The first total-protein row (by row_id) colours the node; the other rows
-    are marks: id|letter|colour|border|value.
+
+def formats(genes: DataFrame, data: DataFrame, saturation: float = 1.0, significant: DataFrame | None = None, background: bool = True) -> DataFrame:
+    """kind, id, property, setting lines for ``genes(gene)`` from the rows to draw, data(gene, row_id, data_type, effect, value, sign).
+
+    With ``background`` the first total-protein or metabolite row (by row_id) of a gene colours its node;
+    other rows are marks: id|letter|colour|border|value. ``significant(gene, crowded,
+    activating, inhibiting)``: genes whose targets are so get a broad or coloured border.
     """
     rows = data.join(genes.select("gene").distinct(), "gene", "left_semi")
-    first = F.row_number().over(W.partitionBy("gene").orderBy(F.when(F.col("data_type") == "protein", 0).otherwise(1), "row_id"))
-    rows = rows.withColumn("n", first).withColumn("total", (F.col("data_type") == "protein") & (F.col("n") == 1))
+    can_fill = F.col("data_type").isin("protein", "metabolite")
+    first = F.row_number().over(W.partitionBy("gene").orderBy(F.when(can_fill, 0).otherwise(1), "row_id"))
+    rows = rows.withColumn("n", first).withColumn("total", can_fill & (F.col("n") == 1) & F.lit(background))
     value = F.coalesce("value", F.lit(0.0))
     letters = F.create_map(*[F.lit(x) for kv in LETTERS.items() for x in kv])
     letter = F.when((F.col("data_type") == "activity") & (F.col("sign") < 0), "i").otherwise(letters[F.col("data_type")])
-    border = F.when(F.col("effect") > 0, "0 180 20").when(F.col("effect") < 0, "180 0 20").otherwise("50 50 50")
+    by_effect = F.when(F.col("effect") > 0, ACTIVATING).when(F.col("effect") < 0, INHIBITING).otherwise(DEFAULT_BORDER)
+    border = F.when(F.col("data_type").isin(SITE_TYPES), by_effect).when(F.col("data_type") == "mutation", F.when(F.col("effect") == 1, ACTIVATING).otherwise(INHIBITING)).when(F.col("data_type") == "activity", ACTIVATING).otherwise(DEFAULT_BORDER)
     mark = F.concat_ws("|", F.regexp_replace("row_id", r"\|", "-"), letter, color(value, saturation), border, F.round(value, 6).cast("string"))
     node = lambda prop, setting: [F.lit("node").alias("kind"), F.col("gene").alias("id"), F.lit(prop).alias("property"), setting.alias("setting")]
-    colors = rows.where("total").select(*node("color", color(value, saturation)))
-    tips = rows.where("total").select(*node("tooltip", F.concat_ws(", ", "row_id", F.round(value, 6).cast("string"))))
-    marks = rows.where("NOT total").select(*node("rppasite", mark))
-    return colors.unionByName(tips).unionByName(marks)
+    out = data.sparkSession.createDataFrame([("node", "all-nodes", "color", "255 255 255"), ("node", "all-nodes", "bordercolor", DEFAULT_BORDER)], "kind string, id string, property string, setting string")
+    parts = [
+        rows.where("total").select(*node("color", color(value, saturation))),
+        rows.where("total").select(*node("tooltip", F.concat_ws(", ", "row_id", F.round(value, 6).cast("string")))),
+        rows.where("NOT total").select(*node("rppasite", mark)),
+    ]
+    if significant is not None:
+        drawn = significant.join(rows.select("gene").distinct(), "gene", "left_semi")
+        hue = F.when(F.col("activating") & F.col("inhibiting"), BOTH).when(F.col("activating"), ACTIVATING).when(F.col("inhibiting"), INHIBITING)
+        parts += [drawn.where("crowded").select(*node("borderwidth", F.lit("2"))), drawn.select(*node("bordercolor", hue)).where("setting IS NOT NULL")]
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
+def drawn(found: DataFrame, priors: DataFrame, data: DataFrame, every_gene: bool = False, unchanged: bool = False, evidence_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Genes and rows of a result's drawing, from all rows by gene, data(gene, row_id, sign, ...).
+
+    Changed rows of the result's genes; with ``every_gene`` also genes elsewhere on
+    relations that have a changed row, with all their rows (unchanged ones only with
+    ``unchanged``); with ``evidence_only`` none but the rows of the result's pairs, changed or not if ``unchanged``.
+    """
+    genes = found.select(F.explode(F.array("source", "target")).alias("gene")).distinct()
+    rows = data.join(genes, "gene", "left_semi")
+    if evidence_only:
+        used = found.select(F.explode(F.array("src_row", "tgt_row")).alias("row_id")).distinct()
+        kept = rows.join(used, "row_id", "left_semi").select(*data.columns)
+        return genes, kept if unchanged else kept.where("sign <> 0")
+    rows = rows.where("sign <> 0")
+    if every_gene:
+        ends = priors.select(F.explode(F.array("source", "target")).alias("gene")).distinct()
+        others = data.where("sign <> 0").select("gene").distinct().join(ends, "gene", "left_semi").join(genes, "gene", "left_anti")
+        more = data.join(others, "gene", "left_semi").select(*data.columns)
+        rows, genes = rows.unionByName(more if unchanged else more.where("sign <> 0")), genes.unionByName(others)
+    return genes, rows
+
+
+def isolated(genes: DataFrame, relations: DataFrame) -> DataFrame:
+    """Genes of a drawing that no relation touches, as lines of a SIF file: the name alone."""
+    ends = relations.select(F.explode(F.array("source", "target")).alias("gene")).distinct()
+    return genes.join(ends, "gene", "left_anti").select(F.col("gene").alias("source"))
+
+
+def _rgb(colour: Column) -> Column:
+    return F.concat(F.lit("rgb("), F.regexp_replace(colour, " ", ","), F.lit(")"))
 
 
 def graph_json(relations: DataFrame, formats: DataFrame) -> DataFrame:
-    """One JSON text for each node and each edge."""
+    """One JSON text for each node and each edge, from relations (with mediators and sites if they have them) and format lines.
+
+    Nodes: data (id, text, sites, tooltipText) and css (backgroundColor,
+    borderColor, borderWidth); edges: data (source, target, edgeType, tooltipText: the target's sites, pcLinks: mediators).
+    """
     ends = relations.select(F.explode(F.array("source", "target")).alias("id")).distinct()
-    settings = formats.where("kind = 'node'").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("property", "setting"))).alias("settings"))
-    nodes = ends.join(settings, "id", "left").select(F.lit("node").alias("kind"), F.to_json(F.struct("id", "settings")).alias("json"))
-    edge = F.struct(F.concat_ws(" ", *RELATION).alias("id"), "source", "target", F.col("rel_type").alias("edgeType"))
-    return nodes.unionByName(relations.select(*RELATION).distinct().select(F.lit("edge").alias("kind"), F.to_json(edge).alias("json")))
+    one = lambda prop: F.max(F.when(F.col("property") == prop, F.col("setting")))
+    part = F.split("setting", r"\|")
+    site = F.struct(part[0].alias("siteInfo"), part[1].alias("siteText"), _rgb(part[2]).alias("siteBackgroundColor"), _rgb(part[3]).alias("siteBorderColor"))
+    settings = formats.where("kind = 'node' AND id <> 'all-nodes'").groupBy("id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("property") == "rppasite", site))).alias("sites"), one("tooltip").alias("tooltipText"), one("color").alias("fill"), one("bordercolor").alias("border"), one("borderwidth").alias("width"),
+    )
+    names = ends.unionByName(settings.select("id")).distinct()
+    none = F.expr("cast(array() AS array<struct<siteInfo:string,siteText:string,siteBackgroundColor:string,siteBorderColor:string>>)")
+    css = F.struct(_rgb(F.col("fill")).alias("backgroundColor"), _rgb(F.col("border")).alias("borderColor"), F.concat("width", F.lit("px")).alias("borderWidth"))
+    has_css = F.coalesce("fill", "border", "width").isNotNull()
+    data = F.struct("id", F.col("id").alias("text"), F.coalesce("sites", none).alias("sites"), "tooltipText")
+    nodes = names.join(settings, "id", "left").select(F.lit("node").alias("kind"), F.to_json(F.struct(data.alias("data"), F.when(has_css, css).alias("css"))).alias("json"))
+    sites = F.array_join(F.array_sort(F.transform("sites", lambda s: F.concat(F.col("target"), F.lit("_"), s["pos"].cast("string")))), ", ") if "sites" in relations.columns else F.lit("")
+    links = F.when(F.size("mediators") > 0, F.col("mediators")) if "mediators" in relations.columns else F.lit(None).cast("array<string>")
+    edge = F.struct("source", "target", F.col("rel_type").alias("edgeType"), F.coalesce(sites, F.lit("")).alias("tooltipText"), links.alias("pcLinks"))
+    edges = relations.dropDuplicates(RELATION).select(F.lit("edge").alias("kind"), F.to_json(F.struct(edge.alias("data"))).alias("json"))
+    return nodes.unionByName(edges)
 
 
 def series(steps: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:

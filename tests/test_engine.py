@@ -367,7 +367,9 @@ def test_views_of_graphs(spark, tmp_path):
     assert {(r.step, r.row_id, r.ghost) for r in marks.collect()} == {("early", "B_S1", False), ("late", "B_S1", False), ("early", "C_S3", True), ("late", "C_S3", False)}
     assert tools.jsonize(spark, str(tmp_path / "runs")) == stems
     texts = [json.loads(r.value) for r in spark.read.text(f"{stems[1]}.json").collect()]
-    assert {t["id"] for t in texts} == {"A", "B", "C", "A phosphorylates B", "B phosphorylates C"}
+    data = [t["data"] for t in texts]
+    assert {d["id"] for d in data if "id" in d} == {"A", "B", "C"} and {(d["source"], d["edgeType"], d["target"], d["tooltipText"]) for d in data if "source" in d} == {("A", "phosphorylates", "B", "B_1"), ("B", "phosphorylates", "C", "C_3")}
+    assert next(d for d in data if d.get("id") == "C")["sites"] == [{"siteInfo": "C_S3", "siteText": "p", "siteBackgroundColor": "rgb(4,5,6)", "siteBorderColor": "rgb(0,0,0)"}]
     sif, lines = tables.sif(spark, f"{stems[1]}.sif"), tables.format_lines(spark, f"{stems[1]}.format")
     kept, shown = tools.graph_view(sif, lines, ["C"])
     assert [(r.source, r.target) for r in kept.collect()] == [("B", "C")] and {r.id for r in shown.collect()} == {"all-nodes", "B", "C", "B phosphorylates C"}

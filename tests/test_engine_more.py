@@ -1,6 +1,7 @@
 """Random tables, robustness, kinase library, names, mutation comparison and directory runs on small tables."""
 
 import itertools
+import json
 import math
 
 import duckdb
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from edgewright.model import PRIORS, ROWS, VALUES, Rules
 from edgewright.operators import detectors, kinase, presence, priors, search, significance
 from edgewright.plans import analysis, queries
-from edgewright.sources import tables
+from edgewright.sources import sinks, tables
 
 
 def table_of(cells, width, n_tables):
@@ -241,7 +242,44 @@ def test_missing_values_by_random_tables_in_a_run(spark, tmp_path):
     assert g0.p < 0.1 and g0.value < 0
 
 
-STAR = ["network_significance_counts", "sequences_by_change", "kinase_scores", "kinase_activity", "mutation_effect_t", "current_symbols"]
+def test_what_is_drawn(spark):
+    rows = [("a", "A", 1), ("a0", "A", 0), ("b", "B", -1), ("b2", "B", 1), ("c", "C", 1), ("c0", "C", 0), ("far", "F", 1)]
+    data = spark.createDataFrame([(g, r, "protein" if len(r) == 1 else "phosphoprotein", 1, float(s), s) for r, g, s in rows], "gene string, row_id string, data_type string, effect int, value double, sign int")
+    net = spark.createDataFrame([("A", "phosphorylates", "B", ["PMID:1"], [("S", 5), ("S", 3)]), ("A", "phosphorylates", "C", [], [])], PRIORS)
+    found = spark.createDataFrame([("A", "phosphorylates", "B", "a", "b2")], "source string, rel_type string, target string, src_row string, tgt_row string")
+    ids = lambda x: ({r.gene for r in x[0].collect()}, {r.row_id for r in x[1].collect()})
+    assert ids(sinks.drawn(found, net, data)) == ({"A", "B"}, {"a", "b", "b2"})
+    assert ids(sinks.drawn(found, net, data, evidence_only=True)) == ({"A", "B"}, {"a", "b2"})
+    assert ids(sinks.drawn(found, net, data, every_gene=True)) == ({"A", "B", "C"}, {"a", "b", "b2", "c"})
+    genes, shown = sinks.drawn(found, net, data, every_gene=True, unchanged=True)
+    assert ids((genes, shown)) == ({"A", "B", "C"}, {"a", "b", "b2", "c", "c0"})
+    assert [r.source for r in sinks.isolated(genes, search.relations(found)).collect()] == ["C"]
+    significant = spark.createDataFrame([("A", True, True, True), ("B", False, False, True), ("F", True, True, False)], "gene string, crowded boolean, activating boolean, inhibiting boolean")
+    lines = sinks.formats(genes, shown, 1.0, significant)
+    got = {(r.id, r.property, r.setting) for r in lines.collect()}
+    assert {x for x in got if x[1].startswith("border") or x[0] == "all-nodes"} == {("all-nodes", "color", "255 255 255"), ("all-nodes", "bordercolor", "50 50 50"), ("A", "borderwidth", "2"), ("A", "bordercolor", "150 150 0"), ("B", "bordercolor", "180 0 20")}
+    assert ("A", "color", "255 80 40") in got and ("B", "rppasite", "b2|p|255 80 40|0 180 20|1.0") in got and ("B", "color", "40 80 255") in got
+    assert not any(p == "color" for i, p, _ in ((r.id, r.property, 0) for r in sinks.formats(genes, shown, background=False).collect()) if i != "all-nodes")
+    texts = [json.loads(r.json)  for r in sinks.graph_json(search.relations(found).join(net, ["source", "rel_type", "target"]), lines).collect()]
+    assert {"data": {"source": "A", "target": "B", "edgeType": "phosphorylates", "tooltipText": "B_3, B_5", "pcLinks": ["PMID:1"]}} in texts
+    assert {"data": {"id": "A", "text": "A", "sites": [], "tooltipText": "a, 1.0"}, "css": {"backgroundColor": "rgb(255,80,40)", "borderColor": "rgb(150,150,0)", "borderWidth": "2px"}} in texts
+
+
+@pytest.mark.parametrize("more,genes,marks", [("", {"A", "B"}, {"B-1"}), ("show-all-genes-with-proteomic-data = true\n", {"A", "B", "C"}, {"B-1", "C-1"}), ("hide-data-not-part-of-causal-relations = true\n", {"A", "B"}, {"B-1"})])
+def test_parameters_of_drawing(spark, tmp_path, more, genes, marks):
+    (tmp_path / "data.txt").write_text("ID\tSymbols\tSites\tEffect\tv\nA\tA\t\t\t2\nB-1\tB\tS1\ta\t2\nC-1\tC\tS1\ti\t-2\nC-2\tC\tS2\ti\t0\n")
+    (tmp_path / "priors.txt").write_text("A\tphosphorylates\tB\tPMID:7\tS1\nC\tphosphorylates\tA\t\tS9\n")
+    (tmp_path / "parameters.txt").write_text("proteomics-values-file = data.txt\nid-column = ID\nvalue-column = v\nvalue-transformation = arithmetic-mean\nthreshold-for-data-significance = 1 phosphoprotein\nthreshold-for-data-significance = 1 protein\ncustom-causal-priors-file = priors.txt\n" + more)
+    analysis.run_directory(spark, str(tmp_path))
+    out = tmp_path / "output"
+    assert {r.source for r in tables.sif(spark, str(out / "causative.sif")).collect()} - {"source"} | {"B"} == genes
+    lines = tables.format_lines(spark, str(out / "causative.format")).where("property = 'rppasite'").collect()
+    assert {r.setting.split("|")[0] for r in lines} == marks
+    texts = [json.loads(r.value) for r in spark.read.text(str(out / "causative.json")).collect()]
+    assert [t["data"]["pcLinks"] for t in texts if "source" in t["data"]] == [["PMID:7"]]
+
+
+STAR = ["graph_json", "isolated_changed_genes", "network_significance_counts", "sequences_by_change", "kinase_scores", "kinase_activity", "mutation_effect_t", "current_symbols"]
 
 
 @pytest.mark.parametrize("name", STAR)
