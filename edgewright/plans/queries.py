@@ -645,8 +645,8 @@ def _whole(s: star.Star) -> DataFrame:
 def missing_value_p(s):
     """Whether rows miss more or fewer test months than in random tables of the same sums."""
     flags = detectors.presence(_whole(s), s.rows)
-    state, samples = presence.randomised(flags, s.rows, tables=100, rounds=3)
-    return presence.missing_p(state, samples, flags, 100)
+    state, samples = presence.randomised(flags, s.rows, tables=50, rounds=3)
+    return presence.missing_p(state, samples, flags, 50)
 
 
 def _categories(s: star.Star, of: int) -> DataFrame:
