@@ -300,3 +300,12 @@ def test_star_queries_match_sql(spark, name):
 @pytest.mark.parametrize("name", ["mutation_comparison", "robustness", "missing_value_p", "correlation_network_significance"])
 def test_star_queries_without_sql_run(spark, name):
     assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_a_deviation_of_the_limit_itself_reaches_it_in_any_order(spark):
+    """Whole numbers of variance 225 exactly; summed in some orders their deviation comes out under 15."""
+    orders = [p for v in ((0, 0, 20, 30), (0, 10, 30, 30), (0, 22, 24, 36)) for p in set(itertools.permutations(v))] + [(0, 9, 18, 34)]
+    rows = spark.createDataFrame([(f"r{i}", "protein", [f"R{i}"], None, 1) for i in range(len(orders))], ROWS)
+    values = spark.createDataFrame([(f"r{i}", 0, j, "all", float(x)) for i, v in enumerate(orders) for j, x in enumerate(v)], VALUES)
+    kept = {r.row_id for r in detectors.stdev_filter(rows, values.coalesce(1), {"protein": 15.0}).collect()}
+    assert kept == {f"r{i}" for i in range(len(orders) - 1)}
