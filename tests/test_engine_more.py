@@ -9,8 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from edgewright.functions import stats
 from edgewright.model import PRIORS, ROWS, VALUES, Rules
-from edgewright.operators import detectors, kinase, presence, priors, search, significance
+from edgewright.operators import detectors, kinase, pairwise, presence, priors, search, significance
 from edgewright.plans import analysis, queries
 from edgewright.sources import sinks, tables
 
@@ -309,3 +310,31 @@ def test_a_deviation_of_the_limit_itself_reaches_it_in_any_order(spark):
     values = spark.createDataFrame([(f"r{i}", 0, j, "all", float(x)) for i, v in enumerate(orders) for j, x in enumerate(v)], VALUES)
     kept = {r.row_id for r in detectors.stdev_filter(rows, values.coalesce(1), {"protein": 15.0}).collect()}
     assert kept == {f"r{i}" for i in range(len(orders) - 1)}
+
+
+def test_statistics_of_pairs_are_summed_where_the_pair_lies(spark):
+    """Against numpy, with ties, gaps and samples from any number on; no plan shuffles or sorts by sample or by pair and value."""
+    rng = np.random.default_rng(5)
+    cells = {(r, i): float(rng.integers(0, 4)) for r in "abcdef" for i in range(-2, 14) if rng.random() < 0.8}
+    values = spark.createDataFrame([(r, 0, i, "all", x) for (r, i), x in cells.items()], VALUES)
+    pairs = spark.createDataFrame([(a, b) for a in "abc" for b in "def"], "a string, b string")
+    both = {(a, b): [(cells[a, i], cells[b, i]) for i in range(-2, 14) if (a, i) in cells and (b, i) in cells] for a in "abc" for b in "def"}
+    rank = lambda v: [sum(y < x for y in v) + (sum(y == x for y in v) + 1) / 2 for x in v]
+    found = pairwise.paired_values(pairs, values)
+    pearson, spearman = pairwise.pearson(found), pairwise.spearman_pairs(pairs, values)
+    for df in (pearson, spearman):
+        plan = df._jdf.queryExecution().toString()
+        assert "hashpartitioning(b#" in plan and not any("hashpartitioning" in line and "sample_idx" in line for line in plan.splitlines()) and "Window" not in plan
+    number, table = pairwise.categorical_numeric(found), pairwise.categorical_categorical(found)
+    got = [{(r.a, r.b): r for r in df.collect()} for df in (pearson, spearman, number, table)]
+    for pair, met in both.items():
+        x, y = zip(*met, strict=True)
+        r = np.corrcoef(x, y)[0, 1]
+        assert [g[pair].n for g in got] == [len(met)] * 4
+        assert [got[0][pair].r, got[2][pair].r, got[3][pair].r] == pytest.approx([r] * 3) and got[1][pair].r == pytest.approx(np.corrcoef(rank(x), rank(y))[0, 1])
+        groups = [[b for a, b in met if a == k] for k in sorted(set(x))]
+        within = sum(sum((v - np.mean(g)) ** 2 for v in g) for g in groups)
+        f = sum(len(g) * (np.mean(g) - np.mean(y)) ** 2 for g in groups) / (len(groups) - 1) / (within / (len(met) - len(groups)))
+        assert got[2][pair].p == pytest.approx(stats.f_upper(np.array([f]), np.array([len(groups) - 1.0]), np.array([float(len(met) - len(groups))]))[0])
+        chi = sum((met.count((a, b)) - x.count(a) * y.count(b) / len(met)) ** 2 / (x.count(a) * y.count(b) / len(met)) for a in set(x) for b in set(y))
+        assert got[3][pair].p == pytest.approx(stats.chi2_upper(np.array([chi]), np.array([(len(set(x)) - 1.0) * (len(set(y)) - 1)]))[0])
