@@ -338,3 +338,25 @@ def test_statistics_of_pairs_are_summed_where_the_pair_lies(spark):
         assert got[2][pair].p == pytest.approx(stats.f_upper(np.array([f]), np.array([len(groups) - 1.0]), np.array([float(len(met) - len(groups))]))[0])
         chi = sum((met.count((a, b)) - x.count(a) * y.count(b) / len(met)) ** 2 / (x.count(a) * y.count(b) / len(met)) for a in set(x) for b in set(y))
         assert got[3][pair].p == pytest.approx(stats.chi2_upper(np.array([chi]), np.array([(len(set(x)) - 1.0) * (len(set(y)) - 1)]))[0])
+
+
+def test_rows_are_tested_once_for_all_genes(spark):
+    """70 genes, more than one word of bits: as Welch's test of values joined to groups, without such a join; equal values have no variance."""
+    rng = np.random.default_rng(9)
+    names = ["s1", "s2", "t1", "t2", "t3"]
+    rows = spark.createDataFrame([(r, "protein", [r.upper()], None, 1) for r in names], ROWS)
+    data = [(r, 0, i, "all", 0.1 if r == "t3" else float(rng.integers(0, 9))) for r in names for i in range(3, 15) if r == "t3" or rng.random() < 0.8]
+    values = spark.createDataFrame(data, VALUES)
+    groups = spark.createDataFrame([(f"G{g}", i, ["test", "control", "other"][rng.choice(3, p=[0.45, 0.45, 0.1])]) for g in range(70) for i in range(12) if g], "gene string, sample_idx int, grp string")
+    got = search.group_changes(rows, values, groups, 0.95)
+    assert "sample_idx" not in "".join(line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line or "hashpartitioning" in line)
+    want = detectors.welch(values.select("row_id", "sample_idx", "value").join(groups, "sample_idx"), 0, ("gene", "row_id"))
+    number = lambda x: None if x is None else round(x, 9)
+    both = [{(r.gene, r.row_id): (number(r.diff), number(r.t), number(r.df)) for r in df.collect()} for df in (got, want)]
+    assert both[0] == both[1] and any(k[1] == "t3" and v[1] is None for k, v in both[0].items())
+    net = spark.createDataFrame([(s, "upregulates-expression", t, [], []) for s in ("S1", "S2") for t in ("T1", "T2", "T3")], PRIORS)
+    sign = {(r.gene, r.row_id): r.sign for r in got.collect()}
+    for causal in (True, False):
+        held = {(f"G{g}", s, "upregulates-expression", t) for g in range(1, 70) for s in ("S1", "S2") for t in ("T1", "T2", "T3") if sign.get((f"G{g}", s.lower()), 0) * sign.get((f"G{g}", t.lower()), 0) == (1 if causal else -1)}
+        found = [tuple(r) for r in search.mutation_comparison(net, rows, values, groups, 0.95, causal=causal).collect()]
+        assert len(found) == len(held) and set(found) == held and {f[0] for f in found} & set(sorted(f"G{g}" for g in range(1, 70))[64:])
