@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -79,7 +80,7 @@ class Encoder:
     is full, pieces met once are forgotten.
     """
 
-    FULL = 2_000_000  # pieces, of about 200 bytes each
+    FULL = 1_000_000  # pieces, of about 200 bytes each: a worker keeps them from task to task
     BEGIN = ("\u0120", "\u010a")  # how byte-level BPE writes a space and a line end
 
     def __init__(self, path: str, full: int | None = None):
@@ -148,9 +149,11 @@ class Encoder:
             counts.append(len(cut) - 1)
             del cut[0]
             pieces += cut
-        if new := list(set(pieces).difference(self.known)):
-            self.learn(new)
-        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        at = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            self.learn(list({pieces[i] for i in new}))
+            at[new] = [self.known[pieces[i]] for i in new]
         self.again[at[at < before]] = True
         begin = self.stops[at]
         sizes = self.stops[at + 1] - begin

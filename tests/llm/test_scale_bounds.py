@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from edgewright.llm import decontaminate, quality_model, quality_rules, work
+from edgewright.llm import decontaminate, quality_model, quality_rules, queries, token_store, work
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -87,3 +87,11 @@ def test_label_rows_of_no_document_do_not_count(spark):
     assert quality_model.train(docs, spark.createDataFrame([(10**7, 1)], "doc_id long, quality int")) is None
     scores = quality_model.scored(docs, spark.createDataFrame([], "doc_id long, quality int")).agg(F.min("score"), F.max("score")).first()
     assert tuple(scores) == (1.0, 1.0)
+
+
+def test_an_encoder_forgets_pieces_before_they_fill_a_worker():
+    """Workers live from task to task: two of them and the heap share an executor."""
+    encoder = token_store.Encoder(queries.tokenizer_path())
+    for first in range(0, 1_300_000, 50_000):
+        encoder.batch([" ".join(map(str, range(first, first + 50_000)))])
+    assert len(encoder.known) < 1_100_000
