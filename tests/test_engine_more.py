@@ -58,6 +58,19 @@ def test_random_tables_against_all_tables_of_the_same_sums(spark):
         assert abs(r.p - two([(t[i] == t[j]).sum() for t in every], r.overlap)) < 0.05
 
 
+def test_all_pairs_of_a_block_trade_in_one_call():
+    """Sums of rows and samples stay, samples that a row takes no part in stay as they are, and every sharing out comes up alike."""
+    cells = np.repeat(np.array([[1, 1, 0, 0, 0, 1], [0, 0, 1, 0, 1, 0], [1, 0, 1, 1, 0, 0], [0, 1, 0, 0, 1, 1]], bool)[:, None], 30000, 1)
+    known = np.array([[1, 1, 1, 1, 1, 0], [1, 1, 1, 1, 1, 1], [1, 1, 1, 1, 1, 1], [1, 1, 1, 1, 1, 1]], bool)
+    before = cells.copy()
+    presence._trade(cells, known, np.array([0, 2]), np.array([1, 3]), np.random.default_rng(4))
+    assert (cells.sum(2) == before.sum(2)).all() and (cells[:2].sum(0) == before[:2].sum(0)).all() and (cells[2:].sum(0) == before[2:].sum(0)).all()
+    assert (cells[:2, :, 5] == before[:2, :, 5]).all() and (cells[:2, :, 3] == before[:2, :, 3]).all()
+    for row, ways in ((0, 6), (2, 20)):
+        found, n = np.unique(cells[row], axis=0, return_counts=True)
+        assert len(found) == ways and np.abs(n * ways / 30000 - 1).max() < 0.15
+
+
 def test_samples_in_which_a_type_is_not_measured_take_no_part(spark):
     rows, flags = flags_of(spark, [[1, 0, None, 1], [0, 1, None, 0], [1, 1, None, 0]], ["control", "test", "test", "test"])
     state, samples = presence.randomised(flags, rows, tables=20, rounds=2)
