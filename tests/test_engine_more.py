@@ -325,6 +325,18 @@ def test_a_deviation_of_the_limit_itself_reaches_it_in_any_order(spark):
     assert kept == {f"r{i}" for i in range(len(orders) - 1)}
 
 
+def test_tables_of_pairs_are_counted_from_bits(spark):
+    """As counted from rows of pair and sample, with gaps, samples before 0 and beyond a word, and pairs that never meet; no aggregate by pair and category."""
+    rng = np.random.default_rng(8)
+    cells = [(r, 0, int(i), "all", float(rng.integers(0, 2 + (r < "d")))) for r in "abcdef" for i in range(-70, 150, 7) if rng.random() < 0.7]
+    values = spark.createDataFrame([*cells, ("g", 0, 1000, "all", 1.0), ("c", 1, 3, "all", 9.0), ("d", 0, 4, "all", None)], VALUES)
+    pairs = spark.createDataFrame([(a, b) for a in "abc" for b in "cdefg"], "a string, b string")
+    want = {(r.a, r.b): r for r in pairwise.categorical_categorical(pairwise.paired_values(pairs, values)).collect()}
+    found = pairwise.categorical_pairs(pairs, values)
+    assert {(r.a, r.b): r for r in found.collect()} == want and len(want) == 12
+    assert not any("Aggregate" in line and "keys=[a#" in line and "x#" in line for line in found._jdf.queryExecution().toString().splitlines())
+
+
 def test_statistics_of_pairs_are_summed_where_the_pair_lies(spark):
     """Against numpy, with ties, gaps and samples from any number on; no plan shuffles or sorts by sample or by pair and value."""
     rng = np.random.default_rng(5)
