@@ -71,11 +71,11 @@ def formats(genes: DataFrame, data: DataFrame, saturation: float = 1.0, signific
     mark = F.concat_ws("|", F.regexp_replace("row_id", r"\|", "-"), letter, color(value, saturation), border, F.round(value, 6).cast("string"))
     node = lambda prop, setting: [F.lit("node").alias("kind"), F.col("gene").alias("id"), F.lit(prop).alias("property"), setting.alias("setting")]
     out = data.sparkSession.createDataFrame([("node", "all-nodes", "color", "255 255 255"), ("node", "all-nodes", "bordercolor", DEFAULT_BORDER)], "kind string, id string, property string, setting string")
-    parts = [
-        rows.where("total").select(*node("color", color(value, saturation))),
-        rows.where("total").select(*node("tooltip", F.concat_ws(", ", "row_id", F.round(value, 6).cast("string")))),
-        rows.where("NOT total").select(*node("rppasite", mark)),
-    ]
+    # all lines of a row come from one look at it
+    line = lambda prop, setting: F.struct(F.lit(prop).alias("property"), setting.alias("setting"))
+    tooltip = F.concat_ws(", ", "row_id", F.round(value, 6).cast("string"))
+    lines = F.when(F.col("total"), F.array(line("color", color(value, saturation)), line("tooltip", tooltip))).when(~F.col("total"), F.array(line("rppasite", mark)))
+    parts = [rows.select(F.lit("node").alias("kind"), F.col("gene").alias("id"), F.inline(lines))]
     if significant is not None:
         drawn = significant.join(rows.select("gene").distinct(), "gene", "left_semi")
         hue = F.when(F.col("activating") & F.col("inhibiting"), BOTH).when(F.col("activating"), ACTIVATING).when(F.col("inhibiting"), INHIBITING)
@@ -117,13 +117,15 @@ def _rgb(colour: Column) -> Column:
     return F.concat(F.lit("rgb("), F.regexp_replace(colour, " ", ","), F.lit(")"))
 
 
-def graph_json(relations: DataFrame, formats: DataFrame) -> DataFrame:
+def graph_json(relations: DataFrame, formats: DataFrame, genes: DataFrame | None = None) -> DataFrame:
     """One JSON text for each node and each edge, from relations (with mediators and sites if they have them) and format lines.
 
+    ``genes`` (gene), if at hand, are those at the relations' ends, so that these are not worked out for them once more.
+
     Nodes: data (id, text, sites, tooltipText) and css (backgroundColor,
     borderColor, borderWidth); edges: data (source, target, edgeType, tooltipText: the target's sites, pcLinks: mediators).
     """
-    ends = relations.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    ends = relations.select(F.explode(F.array("source", "target")).alias("id")).distinct() if genes is None else genes.select(F.col("gene").alias("id"))
     one = lambda prop: F.max(F.when(F.col("property") == prop, F.col("setting")))
     part = F.split("setting", r"\|")
     site = F.struct(part[0].alias("siteInfo"), part[1].alias("siteText"), _rgb(part[2]).alias("siteBackgroundColor"), _rgb(part[3]).alias("siteBorderColor"))

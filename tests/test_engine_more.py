@@ -325,6 +325,14 @@ def test_a_deviation_of_the_limit_itself_reaches_it_in_any_order(spark):
     assert kept == {f"r{i}" for i in range(len(orders) - 1)}
 
 
+def test_rows_of_a_drawing_are_looked_at_once(spark):
+    """Total rows give a colour and a tooltip, other rows a site mark, from one window over them."""
+    data = spark.createDataFrame([("G", "G", "protein", 1, 2.0, 1), ("G", "G-1", "phosphoprotein", -1, -2.0, -1), ("H", "H-1", "phosphoprotein", 0, 1.0, 1), ("K", "K", "protein", 1, 1.0, 1)], "gene string, row_id string, data_type string, effect int, value double, sign int")
+    lines = sinks.formats(spark.createDataFrame([("G",), ("H",)], "gene string"), data, 2.0)
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("Window") == 1
+    assert sorted((r.id, r.property) for r in lines.collect()) == [("G", "color"), ("G", "rppasite"), ("G", "tooltip"), ("H", "rppasite"), ("all-nodes", "bordercolor"), ("all-nodes", "color")]
+
+
 def test_tables_of_pairs_are_counted_from_bits(spark):
     """As counted from rows of pair and sample, with gaps, samples before 0 and beyond a word, and pairs that never meet; no aggregate by pair and category."""
     rng = np.random.default_rng(8)
